@@ -1,0 +1 @@
+"""Reserved: every operator here is a batch operator; the workloads covered have no streams."""
