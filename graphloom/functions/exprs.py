@@ -68,6 +68,11 @@ def hash64(value: Column) -> Column:
     return x
 
 
+def uniform(*columns: Column) -> Column:
+    """A number in (0, 1) that the columns fix: for our own random choices."""
+    return (F.shiftrightunsigned(F.xxhash64(*columns), 11) + 0.5) / float(1 << 53)
+
+
 def umod(value: Column, n: int) -> Column:
     """Remainder of the unsigned 64-bit value by ``n`` < 2**61."""
     return ((F.shiftrightunsigned(value, 1) % n) * 2 + value.bitwiseAND(F.lit(1))) % n

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.functions.exprs import hash64, l1, umod
+from graphloom.functions.exprs import l1, uniform
 from graphloom.graph import PropertyGraph
 from graphloom.operators.traverse import bfs
 from graphloom.plans.rounds import Rounds
@@ -14,7 +14,7 @@ from graphloom.plans.rounds import Rounds
 
 def starters(g: PropertyGraph, rounds: int, seed: int = 42) -> list[int]:
     """``rounds`` vertices with out-edges, in hash order."""
-    order = hash64(F.col("id") + F.lit(seed))
+    order = uniform("id", F.lit(seed))
     return [r["id"] for r in g.degrees().filter("out_deg >= 1").orderBy(order, "id").limit(rounds).collect()]
 
 
@@ -68,13 +68,12 @@ def recentre(assigned: DataFrame, dim: int) -> DataFrame:
 def seeds(features: DataFrame, k: int, seed: int = 42) -> list[list[float]]:
     """K-means++ by squared L1 distance: each pick is the smallest of exponential keys, one job a pick,
     then chained so that each centroid is followed by its nearest one."""
-    u = (umod(hash64(F.col("id") + F.lit(seed)), 1 << 40) + 1) / float(1 << 40)
-    first = features.orderBy(u, "id").select("feat").first()
+    first = features.orderBy(uniform("id", F.lit(seed)), "id").select("feat").first()
     if first is None:
         return []
     picked = [[float(x) for x in first["feat"]]]
     for i in range(1, k):
-        u = (umod(hash64(F.col("id") * 64 + F.lit(seed + i)), 1 << 40) + 1) / float(1 << 40)
+        u = uniform("id", F.lit(seed), F.lit(i))
         d = F.col("dist")
         row = assign(features, picked).filter("dist > 0").agg(F.min_by("feat", F.struct((-F.log(u) / (d * d)).alias("x"), "id")).alias("f")).first()["f"]
         if row is None:

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.functions.exprs import U32, hash32, hash32_int, hash64, let, umod
+from graphloom.functions.exprs import U32, hash32, hash32_int, hash64, let, umod, uniform
 from graphloom.graph import HyperGraph, PropertyGraph
 from graphloom.operators.primitives import ranks
 
@@ -92,15 +92,14 @@ def parmat(spark: SparkSession, n: int, m: int, a: float = 0.45, b: float = 0.22
     from graphloom.store import Scratch
 
     scratch = Scratch(spark, "parmat")
-    for i in range(200):
+    for i in range(100):
         size = int(need * 1.3) + 16
         src, dst = F.lit(0).cast("long"), F.lit(0).cast("long")
         rows = spark.range(draws, draws + size)
         draws += size
         for level in range(bits):
-            r = umod(hash64(F.col("id") * 64 + F.lit(level + seed * 1_000_003)), 1 << 50) / float(1 << 50)
             half = 1 << (bits - 1 - level)
-            rows = rows.withColumn(f"r{level}", r)
+            rows = rows.withColumn(f"r{level}", uniform("id", F.lit(level), F.lit(seed)))
             r = F.col(f"r{level}")
             dst = dst + F.when((r >= a) & (r < a + b), half).when(r >= a + b + c, half).otherwise(0)
             src = src + F.when(r >= a + b, half).otherwise(0)
@@ -116,6 +115,8 @@ def parmat(spark: SparkSession, n: int, m: int, a: float = 0.45, b: float = 0.22
         need = m - out.count()
         if need <= 0:
             break
+    else:
+        raise ValueError("the quadrants are too uneven for so many different edges")
     kept = ranks(out, F.col("id"), name="at").filter(F.col("at") < m).select("src", "dst")
     return kept.orderBy("src", "dst") if sort else kept
 

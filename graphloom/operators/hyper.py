@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.functions.exprs import hash64, umod
+from graphloom.functions.exprs import umod
 from graphloom.graph import HyperGraph, PropertyGraph
 from graphloom.operators import traverse
 from graphloom.plans.rounds import Rounds
@@ -36,13 +36,13 @@ def hyper_bfs(h: HyperGraph, source: int) -> DataFrame:
 
 def hyper_cc(h: HyperGraph) -> DataFrame:
     """side, id, label: the smallest vertex that reaches it; null for hyperedges that none reaches."""
-    rounds = Rounds(h.v2h.sparkSession, "hyper-cc")
+    rounds, across = Rounds(h.v2h.sparkSession, "hyper-cc"), Rounds(h.v2h.sparkSession, "hyper-cc-edges")
     state, _ = rounds.cut(h.vertices.select("id", F.col("id").alias("label"), F.lit(True).alias("moved")))
-    edges, _ = rounds.cut(h.hyperedges.select("id", F.lit(None).cast("long").alias("label"), F.lit(False).alias("moved")))
+    edges, _ = across.cut(h.hyperedges.select("id", F.lit(None).cast("long").alias("label"), F.lit(False).alias("moved")))
     while True:
         up = vertex_prop(h, state.filter("moved").select("id", "label"), F.col("label"))
         new = edges.join(up, "id", "left").select("id", F.least("label", "msg").alias("now"), "label")
-        edges, _ = rounds.cut(new.select("id", F.col("now").alias("label"), (F.col("now").isNotNull() & (F.col("label").isNull() | (F.col("now") < F.col("label")))).alias("moved")))
+        edges, _ = across.cut(new.select("id", F.col("now").alias("label"), (F.col("now").isNotNull() & (F.col("label").isNull() | (F.col("now") < F.col("label")))).alias("moved")))
         down = hyperedge_prop(h, edges.filter("moved").select("id", "label"), F.col("label"))
         new = state.join(down, "id", "left").select("id", F.least("label", "msg").alias("now"), "label")
         state, seen = rounds.cut(new.select("id", F.col("now").alias("label"), (F.col("now") < F.col("label")).alias("moved")), moved=F.col("moved"))
@@ -166,12 +166,14 @@ def hyper_mis(h: HyperGraph, seed: int = 0, inverse_prob: int = 3) -> DataFrame:
     r, offset = 1, seed
     while seen["open"]:
         open_ = state.filter("in_set is null").select("id")
-        picked = rounds.keep(open_.filter(umod(hash64(F.col("id") + F.lit(offset)), inverse_prob) == 0), f"picked{r}")
+        picked = rounds.keep(open_.filter(umod(F.xxhash64("id", F.lit(offset)), inverse_prob) == 0), f"picked{r}")
         offset += seen["open"]
         mine = inc.join(picked.select(F.col("id").alias("v"), F.lit(1).alias("p")), "v", "left")
         full = mine.groupBy("h").agg(F.count("*").alias("n"), F.count("p").alias("m")).filter("n = m").select("h")
         back = inc.join(full, "h", "left_semi").select(F.col("v").alias("id")).distinct()
-        chosen = rounds.keep(picked.join(back, "id", "left_anti").withColumn("_in", F.lit(True)), f"chosen{r}")
+        # who is in no open hyperedge can't fill one
+        free = open_.join(inc.select(F.col("v").alias("id")), "id", "left_anti")
+        chosen = rounds.keep(picked.join(back, "id", "left_anti").unionByName(free).distinct().withColumn("_in", F.lit(True)), f"chosen{r}")
         left = inc.join(chosen.select(F.col("id").alias("v")), "v", "left_anti")
         left = rounds.keep(left.select("h", "v"), f"left{r}")
         sizes = left.groupBy("h").agg(F.count("*").alias("n"), F.min("v").alias("v"))

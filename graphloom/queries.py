@@ -455,7 +455,7 @@ def radii(s, d):
 
 @query
 def set_cover(s, d):
-    return decompose.set_cover(part_sym(s, d, SPARSER))
+    return decompose.set_cover(_kept(part_sym(s, d, SPARSER)))
 
 
 @query
@@ -493,7 +493,7 @@ def hyper_bpath(s, d):
 
 @query
 def hyper_pagerank1(s, d):
-    return _r(hyper.hyper_pagerank(order_part(s, d, SPARSE)), "rank")
+    return hyper.hyper_pagerank(order_part(s, d, SPARSE)).withColumn("rank", F.round("rank", 12))
 
 
 @query
@@ -508,13 +508,13 @@ def hyper_bc(s, d):
 
 @query
 def hyper_mis(s, d):
-    return hyper.hyper_mis(order_part(s, d, SPARSE))
+    return hyper.hyper_mis(order_part(s, d, SPARSER))
 
 
 @query
 def hyper_mis_check(s, d):
     """Hyperedges of two or more members that lie wholly inside, and vertices left out that could be added."""
-    h = order_part(s, d, SPARSE)
+    h = order_part(s, d, SPARSER)
     found = Scratch(s, "mis-check").table(hyper.hyper_mis(h), "mis")
     marks = h.v2h.join(found.select(F.col("id").alias("v"), F.col("in_set").cast("int").alias("i")), "v")
     sizes = marks.groupBy("h").agg(F.count("*").alias("n"), F.sum("i").alias("m")).filter("n > 1")

@@ -39,7 +39,7 @@ def encode_row(vertex: int, nbrs, code: str = "byte") -> bytes:
             run = 1
             while run < 64 and i + run < len(gaps) and max(1, (gaps[i + run].bit_length() + 7) // 8) == size:
                 run += 1
-            out += _varint((size - 1) * 64 + run - 1, 7)
+            out += bytes(_varint((size - 1) * 64 + run - 1, 7))
             for g in gaps[i : i + run]:
                 out += g.to_bytes(size, "little")
             i += run

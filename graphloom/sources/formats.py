@@ -117,10 +117,16 @@ def write_edgelist(g: PropertyGraph, path: str, sep: str = " ") -> None:
     g.edges.select(F.concat_ws(sep, *[F.col(c).cast("string") for c in cols]).alias("value")).write.mode("overwrite").text(path)
 
 
+def numbered(spark: SparkSession, path: str, name: str = "at") -> DataFrame:
+    """value and the line's number over all files of ``path`` in name order, whatever splits Spark makes."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_m"))
+    return ranks(lines, F.col("_f"), F.col("_b"), F.col("_m"), name=name).drop("_f", "_b", "_m")
+
+
 def _numbers(spark: SparkSession, path: str) -> tuple[str, DataFrame]:
     """The tag on the first line, and at, value of all numbers after it (any white space between)."""
     scratch = Scratch(spark, "numbers")
-    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("line"))
+    lines = numbered(spark, path, "line")
     words = lines.select("line", F.posexplode(F.split(F.trim("value"), r"\s+")).alias("k", "word")).filter("word <> ''")
     words = scratch.table(ranks(words, F.col("line"), F.col("k"), name="at"), "words")
     tag = words.filter("at = 0").first()["word"]
@@ -194,7 +200,7 @@ def read_hyper(spark: SparkSession, path: str) -> HyperGraph:
 
 def read_community(spark: SparkSession, path: str) -> HyperGraph:
     """Each line a hyperedge with its members; vertex ids compacted in ascending order."""
-    lines = spark.read.text(path).filter(F.trim("value") != "").select("value", F.monotonically_increasing_id().alias("line"))
+    lines = numbered(spark, path, "line").filter(F.trim("value") != "")
     lines = ranks(lines, F.col("line"), name="h")
     pairs = lines.select("h", F.explode(F.split(F.trim("value"), r"\s+")).alias("v")).select(F.col("v").cast("long").alias("v"), "h")
     from graphloom.operators.convert import hypergraph_from_pairs
@@ -235,8 +241,7 @@ def write_trace(trace: DataFrame, n: int, path: str) -> None:
 
 def read_trace(spark: SparkSession, path: str, sample: int) -> DataFrame:
     """sample, level, id of one sample's folder or file: levels are running counts of separators."""
-    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("line"))
-    lines = ranks(lines, F.col("line"), name="at").withColumn("sep", F.col("value").startswith("---").cast("long"))
+    lines = numbered(spark, path).withColumn("sep", F.col("value").startswith("---").cast("long"))
     from graphloom.operators.primitives import scan
 
     numbered = scan(lines, "at", "sep", inclusive=True)
@@ -249,8 +254,7 @@ def write_features(features: DataFrame, path: str) -> None:
 
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:
-    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("line"))
-    return ranks(lines, F.col("line"), name="id").select("id", F.transform(F.split("value", ","), lambda x: x.cast("int")).alias("feat"))
+    return numbered(spark, path, "id").select("id", F.transform(F.split("value", ","), lambda x: x.cast("int")).alias("feat"))
 
 
 def write_ecc(ecc: DataFrame, path: str) -> None:

@@ -205,7 +205,7 @@ h("hyper_bfs", f"f(v, l) USING KEY (v) AS (SELECT 0::BIGINT, 0 UNION SELECT b.ds
 h("hyper_cc", f"f(v, c) USING KEY (v) AS (SELECT id, CASE WHEN id >= 0 THEN id ELSE 1000000000000 END FROM a UNION SELECT b.dst, min(f.c) FROM f JOIN b ON b.src = f.v JOIN recurring.f r ON r.v = b.dst WHERE f.c < r.c GROUP BY b.dst)\nSELECT {_SIDE}, CASE WHEN f.c < 1000000000000 THEN f.c END AS label FROM a JOIN f ON f.v = a.id", SPARSER, True)
 h("hyper_bpath", "need AS (SELECT h, count(*) AS c FROM i GROUP BY h)\nSELECT 'V' AS side, id, id = 0 OR id IN (SELECT y.v FROM i x JOIN need USING (h) JOIN i y USING (h) WHERE c = 1 AND x.v = 0) AS reached FROM v UNION ALL SELECT 'H', id, id IN (SELECT h FROM i JOIN need USING (h) WHERE c = 1 AND v = 0) FROM he", SPARSE)
 _HP = "dv AS (SELECT v, count(*) AS d FROM i GROUP BY v), dh AS (SELECT h, count(*) AS d FROM i GROUP BY h), n AS (SELECT count(*)::DOUBLE AS n FROM v),\nph AS (SELECT he.id, coalesce(sum(1.0::DOUBLE / n / d), 0) AS r FROM n, he LEFT JOIN (i JOIN dv USING (v)) ON i.h = he.id GROUP BY he.id),\npv AS (SELECT v.id, 0.15::DOUBLE / any_value(n) + 0.85::DOUBLE * coalesce(sum(ph.r / d), 0) AS r FROM n, v LEFT JOIN (i JOIN dh USING (h) JOIN ph ON ph.id = i.h) ON i.v = v.id GROUP BY v.id)"
-h("hyper_pagerank1", _HP + "\nSELECT 'V' AS side, id, round(r, 9) AS rank FROM pv UNION ALL SELECT 'H', id, round(r, 9) FROM ph", SPARSE)
+h("hyper_pagerank1", _HP + "\nSELECT 'V' AS side, id, round(r, 12) AS rank FROM pv UNION ALL SELECT 'H', id, round(r, 12) FROM ph", SPARSE)
 h("hyper_entropy", _HP + "\nSELECT he.id, round(sum(pv.r / ph.r * log2(ph.r / pv.r)), 9) AS entropy FROM he LEFT JOIN (i JOIN pv ON pv.id = i.v JOIN ph ON ph.id = i.h) ON i.h = he.id GROUP BY he.id", SPARSE)
 h("hyper_degrees", "\nSELECT 'V' AS side, v.id, count(i.v) AS deg FROM v LEFT JOIN i ON i.v = v.id GROUP BY v.id UNION ALL SELECT 'H', he.id, count(i.h) FROM he LEFT JOIN i ON i.h = he.id GROUP BY he.id", SPARSE)
 h("hyper_reader", "\nSELECT 'V' AS side, v AS id, string_agg(h::VARCHAR, ' ' ORDER BY h) AS members FROM i GROUP BY v UNION ALL SELECT 'H', h, string_agg(v::VARCHAR, ' ' ORDER BY v) FROM i GROUP BY h", SPARSE)
