@@ -119,8 +119,8 @@ def write_edgelist(g: PropertyGraph, path: str, sep: str = " ") -> None:
 
 def numbered(spark: SparkSession, path: str, name: str = "at") -> DataFrame:
     """value and the line's number over all files of ``path`` in name order, whatever splits Spark makes."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_m"))
-    return ranks(lines, F.col("_f"), F.col("_b"), F.col("_m"), name=name).drop("_f", "_b", "_m")
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_k"))
+    return ranks(lines, F.col("_f"), F.col("_b"), F.col("_k"), name=name).drop("_f", "_b", "_k")
 
 
 def _numbers(spark: SparkSession, path: str) -> tuple[str, DataFrame]:
@@ -244,8 +244,8 @@ def read_trace(spark: SparkSession, path: str, sample: int) -> DataFrame:
     lines = numbered(spark, path).withColumn("sep", F.col("value").startswith("---").cast("long"))
     from graphloom.operators.primitives import scan
 
-    numbered = scan(lines, "at", "sep", inclusive=True)
-    return numbered.filter("at > 0 and sep = 0").select(F.lit(sample).alias("sample"), (F.col("scan") - 1).cast("int").alias("level"), F.col("value").cast("long").alias("id"))
+    counted = scan(lines, "at", "sep", inclusive=True)
+    return counted.filter("at > 0 and sep = 0").select(F.lit(sample).alias("sample"), (F.col("scan") - 1).cast("int").alias("level"), F.col("value").cast("long").alias("id"))
 
 
 def write_features(features: DataFrame, path: str) -> None:
