@@ -29,7 +29,7 @@ def bfs(g: PropertyGraph, source: int) -> DataFrame:
 
 
 def bfs_bitvector(g: PropertyGraph, source: int) -> DataFrame:
-    """The same result with a bitmap for the visited set in the reference; one operator here."""
+    """BFS under its other name: a bitmap of visited vertices is a physical choice that Spark doesn't need."""
     return bfs(g, source)
 
 

@@ -15,7 +15,7 @@ from graphloom.sources.derived import cust_supp, hub, order_part, part_next, par
 from graphloom.store import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SPARSE, SPARSER = 30, 100
+SPARSE, SPARSER, SPARSEST = 30, 100, 500
 THREADS, PART_KB = 4, 512
 CENTROIDS = [[0, 0, 0], [1, 2, 3], [2, 2, 2], [3, 3, 4]]
 
@@ -553,13 +553,13 @@ def ecc_exact(s, d):
 
 @query
 def ecc_tk(s, d):
-    return eccentricity.ecc_tk(_kept(part_sym(s, d, SPARSER)))
+    return eccentricity.ecc_tk(_kept(part_sym(s, d, SPARSEST)))
 
 
 @query
 def ecc_estimates(s, d):
     """How each estimate sits towards the exact value: vertices below, equal, above, and out of its bounds."""
-    g = _kept(part_sym(s, d, SPARSER))
+    g = _kept(part_sym(s, d, SPARSEST))
     scratch = Scratch(s, "ecc")
     exact = scratch.table(eccentricity.ecc_exact(g).withColumnRenamed("ecc", "exact"), "exact")
     found = {

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from graphloom.functions.exprs import MIX32, MIX64, hash64_int
-from graphloom.queries import CENTROIDS, SPARSE, SPARSER
+from graphloom.queries import CENTROIDS, SPARSE, SPARSER, SPARSEST
 
 SQL: dict[str, str] = {}
 
@@ -186,8 +186,8 @@ SELECT v.id, round(p.s, 9) AS paths, round(t.x, 9) AS dependency FROM v LEFT JOI
 )
 _MULTI = "b(s, v, l) USING KEY (s, v) AS (SELECT DISTINCT {1}, {1}, 0 FROM {2} UNION SELECT b.s, u.dst, min(b.l + 1) FROM b JOIN u ON u.src = b.v LEFT JOIN recurring.b r ON r.s = b.s AND r.v = u.dst WHERE r.v IS NULL GROUP BY b.s, u.dst)"
 s("radii", f"k(id) AS (SELECT (h::UBIGINT % (SELECT n FROM n)::UBIGINT)::BIGINT FROM (VALUES {', '.join(f'({hash64_int(i)})' for i in range(64))}) t(h)),\n{_MULTI.format('', 'id', 'k')}\nSELECT v.id, max(b.l) AS radius FROM v LEFT JOIN b ON b.v = v.id GROUP BY v.id", 1, True)
-for name in ("ecc_exact", "ecc_tk"):
-    s(name, f"{_MULTI.format('', 'id', 'v')}\nSELECT v AS id, max(l) AS ecc FROM b GROUP BY v", SPARSER, True)
+for name, m in (("ecc_exact", SPARSER), ("ecc_tk", SPARSEST)):
+    s(name, f"{_MULTI.format('', 'id', 'v')}\nSELECT v AS id, max(l) AS ecc FROM b GROUP BY v", m, True)
 SQL["ecc_bounds_check"] = "SELECT name, 0::BIGINT AS out_of_bounds FROM (VALUES ('kbfs'), ('kbfs1'), ('fm'), ('loglog'), ('simple'), ('clrstv'), ('rv')) t(name)"
 SQL["set_cover_check"] = "SELECT 0::BIGINT AS missed"
 
