@@ -19,6 +19,7 @@ spans; null ids keep their row; repeated rows each get one.
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,8 @@ SUPPORT, GENERALISE, REMOVE = 4, 0.8, 0.95
 #: Bits of the candidate map, whatever the corpus size: 2 MB.
 MAP_BITS = 1 << 24
 TERM_BYTES = 3
+#: Sums that a task of the counting pass holds before it sends them on.
+SUMS = 200_000
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _NOT_LOCAL = re.compile(r"[^A-Za-z0-9._%+-]")
@@ -130,27 +133,51 @@ def _bits(batches):
     yield pa.RecordBatch.from_arrays([pa.array([marks.tobytes()], pa.binary())], ["marks"])
 
 
-def _candidates(marks):
-    """Distinct terms of each text that the map may hold."""
+def _candidates(marks, copied):
+    """term, text_key, n: how many texts of a partition hold a term that the map may hold.
+
+    Texts that may have copies come one by one with their key, all others as sums.
+    """
+
+    def hit(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+        cells = values & np.uint64(MAP_BITS - 1)
+        return ((bits[(cells >> np.uint64(3)).astype(np.int64)] >> (cells & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+
+    def rows(terms: list[int], keys: list[int | None], counts: list[int]):
+        return pa.RecordBatch.from_arrays([pa.array(terms, pa.int64()), pa.array(keys, pa.int64()), pa.array(counts, pa.int64())], ["term", "text_key", "n"])
 
     def run(batches):
-        hashes, bits = WordHashes(), np.frombuffer(marks.value, np.uint8)
+        hashes, bits, copies = WordHashes(), np.frombuffer(marks.value, np.uint8), np.frombuffer(copied.value, np.uint8)
+        sums: Counter[int] = Counter()
         for batch in batches:
-            keys, out = [], []
+            out, keys = [], []
             for raw in bytes_of(batch.column(0)):
-                terms = [hashes[t] for t in set(raw.translate(_CUT).lower().split()) if len(t) >= TERM_BYTES]
-                terms = np.array(terms, np.uint64)
-                cells = terms & np.uint64(MAP_BITS - 1)
-                hit = (bits[(cells >> np.uint64(3)).astype(np.int64)] >> (cells & np.uint64(7)).astype(np.uint8)) & 1
-                terms = terms[hit.astype(bool)].view(np.int64).tolist()
-                key = _signed(xxhash.xxh3_64_intdigest(raw))
-                keys += [key] * len(terms)
-                out += terms
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.int64())], ["text_key", "term"])
+                terms = np.array([hashes[t] for t in set(raw.translate(_CUT).lower().split()) if len(t) >= TERM_BYTES], np.uint64)
+                terms = terms[hit(bits, terms)].view(np.int64).tolist()
+                key = xxhash.xxh3_64_intdigest(raw)
+                if hit(copies, np.array([key], np.uint64))[0]:
+                    keys += [_signed(key)] * len(terms)
+                    out += terms
+                else:
+                    sums.update(terms)
+            if out:
+                yield rows(out, keys, [1] * len(out))
+            if len(sums) > SUMS:
+                yield rows(list(sums), [None] * len(sums), list(sums.values()))
+                sums.clear()
+        yield rows(list(sums), [None] * len(sums), list(sums.values()))
 
     return run
 
 
+def _map_of(spark, values: DataFrame):
+    """Bit map of a column of hashes, of fixed size."""
+    marks = np.zeros(MAP_BITS // 8, np.uint8)
+    for row in values.mapInArrow(_bits, "marks binary").toLocalIterator():
+        marks |= np.frombuffer(row.marks, np.uint8)
+    return spark.sparkContext.broadcast(marks.tobytes())
+
+
 def _disclosing(scratch: Scratch, found: DataFrame, docs: DataFrame, support: int, generalise: float, remove: float) -> DataFrame:
     """entity, term, action: the terms that reveal enough of an entity."""
     spark = scratch.spark
@@ -163,15 +190,16 @@ def _disclosing(scratch: Scratch, found: DataFrame, docs: DataFrame, support: in
     # hot entities stand in many texts; AQE splits their side of these joins
     together = wanted.join(holding.dropDuplicates(["text_key"]).select("text_key", "terms"), "text_key").select("entity", F.explode("terms").alias("term"))
     together = scratch.table(together.groupBy("entity", "term").agg(F.count("*").alias("co")).filter(F.col("co") >= support), "together")
+    # a term is as frequent at least as in the texts that hold entities; that rules out common words
+    rare = holding.dropDuplicates(["text_key"]).select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df_least"))
+    most = F.col("co") * F.pow(F.lit(float(texts)) / F.col("df_e"), F.lit(1 - generalise)) * (1 + 1e-9)
+    together = scratch.table(together.join(rare, "term").join(known, "entity").filter(F.col("df_least") <= most).select("entity", "term", "co"), "rare")
     if together.isEmpty():
         return together.select("entity", "term", F.lit("").alias("action"))
-    marks = np.zeros(MAP_BITS // 8, np.uint8)
-    for row in together.select("term").mapInArrow(_bits, "marks binary").toLocalIterator():
-        marks |= np.frombuffer(row.marks, np.uint8)
-    shared = spark.sparkContext.broadcast(marks.tobytes())
-    seen = docs.select("text").mapInArrow(_candidates(shared), "text_key long, term long")
-    seen = seen.join(together.select("term").distinct(), "term", "left_semi").distinct()
-    often = seen.groupBy("term").agg(F.count("*").alias("df_t"))
+    copied = found.groupBy("text_key").count().filter("count > 1").select("text_key")
+    seen = docs.select("text").mapInArrow(_candidates(_map_of(spark, together.select("term")), _map_of(spark, copied)), "term long, text_key long, n long")
+    seen = seen.join(together.select("term").distinct(), "term", "left_semi").groupBy("term", "text_key").agg(F.sum("n").alias("n"))
+    often = seen.groupBy("term").agg(F.sum(F.when(F.col("text_key").isNull(), F.col("n")).otherwise(1)).alias("df_t"))
     n = F.lit(float(texts))
     measured = together.join(often, "term").join(known, "entity")
     measured = measured.withColumn("pmi", F.log2(n * F.col("co") / (F.col("df_e") * F.col("df_t")))).withColumn("whole", F.log2(n / F.col("df_e")))
