@@ -141,6 +141,10 @@ class Scanner:
                     if len(pairs) < self._least(n):
                         break
                     a, b = self._densest([p for p, _ in pairs], n)
+                    # again inside the stretch only: words before it no longer take the anchors
+                    start, stop = max(0, a - n // 4), b + 1 + n // 4
+                    pairs = [(p + start, q) for p, q in align(words[lo + start : min(hi, lo + stop)], template)]
+                    a, b = self._densest([p for p, _ in pairs], n)
                     got = sum(a <= p <= b for p, _ in pairs)
                     if got >= self._least(n):
                         found.append((name, lo + a, lo + b + 1, got, n))
