@@ -59,22 +59,85 @@ def mix(values: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def shingles(text: bytes, k: int, hashes: WordHashes) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the ``k``-word shingles of a whole text.
+#: Bytes of text that are hashed as one vector; a longer text is a vector of its own.
+VECTOR_BYTES = 1 << 20
+_STEP = np.uint64(0xD1342543DE82EF95)
+_BACK = np.uint64(pow(0xD1342543DE82EF95, -1, 1 << 64))
+_LETTERS = mix(np.arange(1, 257, dtype=np.uint64))
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
-    ``bytes.lower`` and ``bytes.split`` know ASCII only: A-Z and the six characters
-    [\\x20\\x09-\\x0D].  Fewer than ``k`` words count as one shingle, no words as none.
+
+class Shingler:
+    """Sorted distinct 64-bit hashes of the ``k``-word shingles of whole texts.
+
+    A-Z are lower-cased and words are cut at [\\x20\\x09-\\x0D].  Fewer than ``k`` words count as
+    one shingle, no words as none.  Many texts are hashed as one vector: a word's hash is the
+    difference of two prefix sums of a polynomial over its bytes, shifted back to power zero.
     """
-    words = text.lower().split()
-    n = len(words)
-    if not n:
-        return np.empty(0, np.uint64)
-    ids = np.fromiter(map(hashes.__getitem__, words), np.uint64, n)
-    width = min(n, k)
-    acc = ids[: n - width + 1].copy()
-    for i in range(1, width):
-        acc = mix(acc) + ids[i : n - width + 1 + i]
-    return np.unique(mix(acc + np.uint64(width)))
+
+    def __init__(self, k: int):
+        self.k = k
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def _powers(self, n: int) -> None:
+        if len(self.up) < n:
+            for name, factor in (("up", _STEP), ("down", _BACK)):
+                powers = np.full(n, factor, np.uint64)
+                powers[0] = 1
+                setattr(self, name, np.multiply.accumulate(powers))
+
+    def sets(self, texts: list[bytes], seen=None, weigh=None):
+        """One array a text, in order.
+
+        ``seen`` gets the hashes of all words of some texts at a time.  With ``weigh``, numbers for
+        an array of words, each text gives (set, smallest number among the words of each shingle).
+        """
+        some, size = [], 0
+        for text in texts:
+            if some and size + len(text) > VECTOR_BYTES:
+                yield from self._vector(some, seen, weigh)
+                some, size = [], 0
+            some.append(text)
+            size += len(text) + 1
+        if some:
+            yield from self._vector(some, seen, weigh)
+
+    def _vector(self, texts: list[bytes], seen, weigh):
+        joined = b" ".join(texts).lower() + b" "
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        raw = np.frombuffer(joined, np.uint8)
+        self._powers(max(len(raw), VECTOR_BYTES + 1))
+        sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(_LETTERS[raw] * self.up[: len(raw)], out=sums[1:])
+        gap = _SPACE[raw]
+        change = np.diff(gap.astype(np.int8), prepend=1)
+        start, stop = np.flatnonzero(change == -1), np.flatnonzero(change == 1)
+        words = mix((sums[stop] - sums[start]) * self.down[start])
+        first = np.searchsorted(start, np.concatenate([[0], ends]))  # first word of each text
+        if seen:
+            seen(words)
+        acc, weights = words, weigh(words) if weigh else None
+        least = weights
+        for i in range(1, self.k):
+            acc = mix(acc[:-1]) + words[i:] if len(acc) else acc
+            if weigh and len(least):
+                least = np.minimum(least[:-1], weights[i:])
+        acc = mix(acc + np.uint64(self.k))
+        for a, b in zip(first.tolist(), first[1:].tolist(), strict=False):
+            if b - a >= self.k:
+                mine = acc[a : b - self.k + 1]
+                if weigh:
+                    tokens, at = np.unique(mine, return_index=True)
+                    yield tokens, least[a : b - self.k + 1][at]
+                else:
+                    yield np.unique(mine)
+                continue
+            one = words[a : a + (b > a)]
+            for i in range(a + 1, b):
+                one = mix(one) + words[i : i + 1]
+            one = mix(one + np.uint64(b - a))
+            yield (one, weights[a:b].min(keepdims=True) if b > a else one) if weigh else one
 
 
 def bytes_of(column: pa.Array) -> list[bytes]:

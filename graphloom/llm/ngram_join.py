@@ -7,15 +7,16 @@ similarity t or more then share a shingle among their first n - ceil(t n) + 1.
 joined on those prefix shingles, candidates pass the length and positional filters, each
 remaining pair is verified once, after the suffix filter, on the whole sets.
 
-The order uses document frequencies from a count sketch of fixed size (two rows of
-SKETCH_WIDTH counters, the smaller one counts).  Any order that all documents share gives the
-same result; the sketch only pushes frequent shingles out of the prefixes.
+The order uses frequencies from count sketches of fixed size (two rows of SKETCH_WIDTH counters,
+the smaller one counts), one of shingles and one of words: a shingle is as rare as its sketch or
+its rarest word says.  Any order that all documents share gives the same result; the sketches
+only push frequent shingles out of the prefixes.
 
-Candidates come in two rounds.  First each prefix shingle and length class links its members
-to the smallest member only; the links found merge classes into components.  Then only
+Candidates come in rounds.  In each of the first ones every prefix shingle and length band
+compares its members with one hub only, and links found merge classes into components.  Then
 shingles that still lie in two or more components are joined, and only pairs from different
 components count.  No link that could join two components is skipped, so components are exact,
-while a tight group of m near copies costs about m verifications, not m squared.
+while a tight group of m near copies costs a few times m verifications, not m squared.
 
 Defined results: null and empty texts have an empty set, link with nothing and are components
 of their own; rows with a null id link with nothing and get a null component; rows that share an
@@ -30,34 +31,47 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import WordHashes, bytes_of, needed, shingles, tune
+from graphloom.llm.common import Shingler, bytes_of, needed, tune
 from graphloom.operators.components import min_labels
 from graphloom.store import Scratch
 
-#: Counters in each of the two rows of the frequency sketch, whatever the input's size: 4 MB in all.
+#: Counters in each of the two rows of each frequency sketch, whatever the input's size: 8 MB in all.
 SKETCH_WIDTH = 1 << 19
 SKETCH_CHUNKS = 64
+#: The bit map of shared prefix shingles has 64 bits a shingle, but 2 to this power at most (16 MB).
+MAP_BITS_LOG = 27
+#: Rounds of hubs before all remaining pairs of different components are looked at; fewer if one links nothing.
+STAR_ROUNDS = 2
+HUB_PAIRS = 500
+#: Longs of a set's parity: the number of its shingles, modulo 2, in each of 64 times as many hash places.
+PARITY_WORDS = 8
+#: Documents in candidate pairs up to which their ids are broadcast to the texts instead of shuffling texts.
+BROADCAST_TARGETS = 200_000
 
 
 def _cells(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     w = np.uint64(SKETCH_WIDTH - 1)
-    return (tokens & w).astype(np.int64), ((tokens >> np.uint64(32)) & w).astype(np.int64) + SKETCH_WIDTH
+    return (tokens & w).astype(np.int64), ((tokens >> np.uint64(32)) & w).astype(np.int64)
 
 
 def _measure(k: int):
     """One row a document (size and digest of its set), and the partition's share of the sketch."""
 
     def run(batches):
-        hashes, sketch = WordHashes(), np.zeros(2 * SKETCH_WIDTH, np.int32)
+        shingler, sketch = Shingler(k), np.zeros((2, 2, SKETCH_WIDTH), np.int32)
+
+        def count(kind: int, values: np.ndarray) -> None:
+            for row, cells in enumerate(_cells(values)):
+                sketch[kind, row] += np.bincount(cells, minlength=SKETCH_WIDTH).astype(np.int32)
+
         for batch in batches:
             ids, sizes, digests, seen = batch.column(0).to_pylist(), [], [], []
-            for text in bytes_of(batch.column(1)):
-                tokens = shingles(text, k, hashes)
+            for tokens in shingler.sets(bytes_of(batch.column(1)), seen=lambda words: count(1, words)):
                 sizes.append(len(tokens))
                 digests.append(xxhash.xxh3_128_digest(tokens.tobytes()))
                 seen.append(tokens)
-            for cells in _cells(np.concatenate(seen)) if seen else ():
-                np.add.at(sketch, cells, 1)
+            if seen:
+                count(0, np.concatenate(seen))
             m = len(ids)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.nulls(m, pa.int32())], ["doc_id", "n", "body", "chunk"])
         if sketch.any():
@@ -83,31 +97,82 @@ def _prefixes(k: int, percent: int, sketch):
     """The rarest shingles of each set, as many as the prefix filter needs."""
 
     def run(batches):
-        hashes, counts = WordHashes(), np.frombuffer(sketch.value, np.int32)
+        shingler, counts = Shingler(k), np.frombuffer(sketch.value, np.int32).reshape(2, 2, SKETCH_WIDTH)
+
+        def often_of(kind: int, values: np.ndarray) -> np.ndarray:
+            a, b = _cells(values)
+            return np.minimum(counts[kind, 0][a], counts[kind, 1][b])
+
         for batch in batches:
-            ids, sizes, heads = [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), bytes_of(batch.column(1)), strict=True):
-                tokens = shingles(text, k, hashes)
+            ids, sizes, heads, odd = [], [], [], []
+            found = shingler.sets(bytes_of(batch.column(1)), weigh=lambda words: often_of(1, words))
+            for doc, (tokens, rarest) in zip(batch.column(0).to_pylist(), found, strict=True):
                 n = len(tokens)
                 if not n or doc is None:
                     continue
-                a, b = _cells(tokens)
-                often = np.minimum(counts[a], counts[b])
+                often = np.minimum(often_of(0, tokens), rarest)
                 take = n - -(-percent * n // 100) + 1
                 ids.append(doc)
                 sizes.append(n)
-                heads.append(tokens[np.lexsort((tokens, often))[:take]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(heads, pa.list_(pa.int64()))], ["doc_id", "n", "head"])
+                odd.append(np.packbits(np.bincount((tokens >> np.uint64(40)).astype(np.int64) & (64 * PARITY_WORDS - 1), minlength=64 * PARITY_WORDS) & 1).view(np.int64))
+                at = np.lexsort((tokens, often))[:take]
+                heads.append(tokens[at].view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(odd, pa.list_(pa.int64())), pa.array(heads, pa.list_(pa.int64()))], ["doc_id", "n", "odd", "head"])
 
     return run
 
 
-def _sets(k: int):
+def _chosen(bits, size: int):
+    """The prefix shingles that a bit map may hold, with their places."""
+
     def run(batches):
-        hashes = WordHashes()
+        marks, mask = np.frombuffer(bits.value, np.uint8), np.uint64(size - 1)
         for batch in batches:
-            bodies = [shingles(t, k, hashes).tobytes() for t in bytes_of(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bodies, pa.binary())], ["doc_id", "tokens"])
+            kept, places, tokens = [], [], []
+            for row, head in enumerate(batch.column(3)):
+                head = head.values.to_numpy()
+                cells = head.view(np.uint64) & mask
+                at = np.flatnonzero((marks[(cells >> np.uint64(3)).astype(np.int64)] >> (cells & np.uint64(7)).astype(np.uint8)) & 1)
+                if len(at):
+                    kept.append(row)
+                    places.append(at.astype(np.int32))
+                    tokens.append(head[at])
+            rows = [batch.column(c).take(pa.array(kept, pa.int64())) for c in range(3)]
+            yield pa.RecordBatch.from_arrays([*rows, pa.array(places, pa.list_(pa.int32())), pa.array(tokens, pa.list_(pa.int64()))], ["rep", "n", "odd", "pos", "tok"])
+
+    return run
+
+
+def _marks(size: int):
+    """Bit map pieces of the tokens of a partition, one a chunk."""
+
+    def run(batches):
+        chunks: dict[int, np.ndarray] = {}
+        width = size // SKETCH_CHUNKS
+        for batch in batches:
+            cells = (batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) & np.uint64(size - 1)).astype(np.int64)
+            for c in np.unique(cells // width).tolist():
+                part = chunks.setdefault(c, np.zeros(width // 8, np.uint8))
+                mine = cells[cells // width == c] - c * width
+                np.bitwise_or.at(part, mine >> 3, (1 << (mine & 7)).astype(np.uint8))
+        for c, part in chunks.items():
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["chunk", "body"])
+
+    return run
+
+
+def _spread(k: int):
+    """A document's set for each hub it meets: hub, salt, doc_id, tokens."""
+
+    def run(batches):
+        shingler = Shingler(k)
+        for batch in batches:
+            for doc, tokens, targets in zip(batch.column(0).to_pylist(), shingler.sets(bytes_of(batch.column(1))), batch.column(2).to_pylist(), strict=True):
+                body, m = tokens.tobytes(), len(targets)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([t["hub"] for t in targets], pa.int64()), pa.array([t["salt"] for t in targets], pa.int32()), pa.array([doc] * m, pa.int64()), pa.array([body] * m, pa.binary())],
+                    ["hub", "salt", "doc_id", "tokens"],
+                )
 
     return run
 
@@ -131,14 +196,23 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int, parts: int = 16) -> bool
 
 
 def _verify(percent: int):
+    """Rows sorted by (hub, salt), the hub's own set first: only that one is held."""
+
     def run(batches):
+        key, own = None, None
         for batch in batches:
-            keep = [
-                similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent)
-                for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
-            ]
-            kept = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], ["a", "b"])
+            a, b = [], []
+            for hub, salt, doc, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                tokens = np.frombuffer(body, np.uint64)
+                if (hub, salt) != key:
+                    key, own = (hub, salt), None
+                if doc == hub:
+                    own = tokens
+                elif own is not None and similar(own, tokens, percent):
+                    a.append(hub)
+                    b.append(doc)
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
 
@@ -146,8 +220,8 @@ def _verify(percent: int):
 class JaccardJoin:
     """One run of the join over ``docs``; results are tables in the shared folder.
 
-    ``sets``: doc_id, n, body (digest of the set); ``links``: pairs (a, b), a < b, of class
-    representatives that join components; ``labels``: class representative to component.
+    ``sets``: doc_id, n, body (digest of the set); ``labels``: class representative to component,
+    for the classes that link with others.
     """
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80):
@@ -171,59 +245,124 @@ class JaccardJoin:
             self.sets.filter("n > 0 and doc_id is not null").groupBy("n", "body").agg(F.min("doc_id").alias("rep")), "classes"
         )
         sketch = self._sketch(measured.filter("chunk is not null").select("chunk", "body"))
-        heads = self.docs.mapInArrow(_prefixes(self.words, self.percent, sketch), "doc_id long, n int, head array<long>")
+        heads = self.docs.mapInArrow(_prefixes(self.words, self.percent, sketch), "doc_id long, n int, odd array<long>, head array<long>")
         heads = heads.join(self.classes.select(F.col("rep").alias("doc_id"), F.col("n").cast("int").alias("n")), ["doc_id", "n"], "left_semi")
-        posts = put(heads.select(F.col("doc_id").alias("rep"), "n", F.posexplode("head").alias("pos", "tok")), "posts")
-        shared = posts.groupBy("tok").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi").select("tok")
-        live = put(posts.join(shared, "tok", "left_semi"), "live")
-        self.scratch.drop("posts")
-        first = put(self._near(self._stars(live), "near1"), "links1")
-        labels = put(min_labels(first), "labels1")
-        second = put(self._near(self._across(live, labels), "near2"), "links2")
-        self.links = first.unionByName(second)
-        self.labels = put(min_labels(self.links), "labels2")
+        heads = put(heads.select("doc_id", "n", "odd", "head"), "heads")
+        live = put(self._live(heads), "live")
+        self.scratch.drop("heads")
+        self.labels = self.spark.createDataFrame([], "id long, label long")
+        for r in range(STAR_ROUNDS):
+            found = put(self._near(self._stars(live, r), f"star{r}"), f"links{r}")
+            if found.isEmpty():
+                break
+            self._join_up(found, f"labels{r}")
+        found = put(self._near(self._across(live), "across"), "links")
+        if not found.isEmpty():
+            self._join_up(found, "labels")
+
+    def _live(self, heads: DataFrame) -> DataFrame:
+        """rep, n, odd and the places and hashes of prefix shingles that other classes may share.
+
+        Most prefix shingles are sole; a bit map drops them before rows move.  Those that it lets
+        through by mistake meet nothing in the joins.
+        """
+        shared = heads.select(F.explode("head").alias("tok")).groupBy("tok").agg(F.count("*").alias("n")).filter("n > 1").select("tok")
+        shared = self.scratch.table(shared, "shared")
+        size = 1 << min(MAP_BITS_LOG, max(16, (64 * shared.count()).bit_length()))
+        cells = F.floor(F.col("tok").bitwiseAND(F.lit(size - 1)) / (size // SKETCH_CHUNKS)).cast("int").alias("chunk")
+        parts = shared.select(cells, "tok").repartition(SKETCH_CHUNKS, "chunk").mapInArrow(_marks(size), "chunk int, body binary")
+        marks = np.zeros((SKETCH_CHUNKS, size // SKETCH_CHUNKS // 8), np.uint8)
+        for row in parts.toLocalIterator():  # SKETCH_CHUNKS rows, MAP_BITS_LOG bounds their size
+            marks[row.chunk] |= np.frombuffer(row.body, np.uint8)
+        bits = self.spark.sparkContext.broadcast(marks.tobytes())
+        return heads.mapInArrow(_chosen(bits, size), "rep long, n int, odd array<long>, pos array<int>, tok array<long>")
 
     def _sketch(self, chunks: DataFrame):
         sums = chunks.repartition(SKETCH_CHUNKS, "chunk").mapInArrow(_add_up, "chunk int, body binary")
-        whole = np.zeros((SKETCH_CHUNKS, 2 * SKETCH_WIDTH // SKETCH_CHUNKS), np.int32)
+        whole = np.zeros((SKETCH_CHUNKS, 4 * SKETCH_WIDTH // SKETCH_CHUNKS), np.int32)
         for row in sums.toLocalIterator():  # SKETCH_CHUNKS rows of fixed size
             whole[row.chunk] = np.frombuffer(row.body, np.int32)
         return self.spark.sparkContext.broadcast(whole.tobytes())
 
-    def _passes(self, n_a, pos_a, n_b, pos_b):
-        """Length filter, and the positional one: what may still follow suffices for the overlap."""
-        p = self.percent
-        least = F.ceil(F.lit(p) * (n_a + n_b) / F.lit(100 + p))
-        return (100 * F.least(n_a, n_b) >= p * F.greatest(n_a, n_b)) & (F.least(n_a - pos_a, n_b - pos_b) >= least)
-
-    def _stars(self, live: DataFrame) -> DataFrame:
-        band = F.floor(F.log(F.col("n").cast("double")) / F.lit(-np.log(self.percent / 100))).cast("int")
-        live = live.withColumn("band", band)
-        hub = live.groupBy("tok", "band").agg(F.min(F.struct("n", "rep", "pos")).alias("hub"))
-        pairs = live.join(hub, ["tok", "band"]).filter(F.col("rep") != F.col("hub.rep"))
-        pairs = pairs.filter(self._passes(F.col("n"), F.col("pos"), F.col("hub.n"), F.col("hub.pos")))
-        return pairs.select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).distinct()
-
-    def _across(self, live: DataFrame, labels: DataFrame) -> DataFrame:
-        known = labels.select(F.col("id").alias("rep"), "label")
+    def _posts(self, live: DataFrame) -> DataFrame:
+        """One row a document and prefix shingle, with the component so far."""
+        known = self.labels.select(F.col("id").alias("rep"), "label")
         live = live.join(known, "rep", "left").withColumn("comp", F.coalesce("label", "rep")).drop("label")
-        live = self.scratch.table(live, "live2")
-        split = live.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("tok")
-        live = self.scratch.table(live.join(split, "tok", "left_semi"), "open")
-        x, y = live.alias("x"), live.alias("y")
-        pairs = x.join(y, F.col("x.tok") == F.col("y.tok")).filter((F.col("x.rep") < F.col("y.rep")) & (F.col("x.comp") != F.col("y.comp")))
-        pairs = pairs.filter(self._passes(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos")))
-        return pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+        return live.withColumn("p", F.explode(F.arrays_zip("pos", "tok"))).select("rep", "n", "odd", "comp", F.col("p.pos").alias("pos"), F.col("p.tok").alias("tok"))
+
+    def _stars(self, live: DataFrame, r: int) -> DataFrame:
+        """Each member of a shingle and length band against one hub, if it isn't in the hub's component yet.
+
+        The hub is the smallest set first, then one by a hash that changes with the round; bands
+        shift too.
+        """
+        band = F.floor(F.log(F.col("n").cast("double")) / F.lit(-np.log(self.percent / 100)) + F.lit(r / 2)).cast("int")
+        whole, live = live, self._posts(live).withColumn("band", band)
+        first = F.col("n").cast("long") if r == 0 else F.xxhash64("rep", F.lit(r))
+        live = live.select("tok", "band", "rep", "n", "comp", first.alias("first"))
+        hub = live.groupBy("tok", "band").agg(F.min(F.struct("first", "rep", "n", "comp")).alias("hub"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+        hub = hub.filter("lo < hi").select("tok", "band", F.col("hub.rep").alias("a"), F.col("hub.n").alias("an"), F.col("hub.comp").alias("ac"))
+        pairs = live.join(hub, ["tok", "band"]).filter((F.col("comp") != F.col("ac")) & (100 * F.least("n", "an") >= self.percent * F.greatest("n", "an")))
+        pairs = pairs.select("a", F.col("rep").alias("b")).distinct()
+        docs = whole.select("rep", F.struct("n", *[F.col("odd")[i].alias(f"odd{i}") for i in range(PARITY_WORDS)]).alias("d"))
+        pairs = pairs.join(docs.select(F.col("rep").alias("a"), F.col("d").alias("x")), "a").join(docs.select(F.col("rep").alias("b"), F.col("d").alias("y")), "b")
+        return pairs.filter(self._alike()).select("a", "b")
+
+    @staticmethod
+    def _doc():
+        return F.struct("rep", "n", "pos", "comp", *[F.col("odd")[i].alias(f"odd{i}") for i in range(PARITY_WORDS)])
+
+    def _alike(self):
+        """Length filter, and parities that differ in no more places than similar sets may differ in
+        shingles: an odd place needs a shingle that one set lacks."""
+        x, y, p = F.col("x"), F.col("y"), self.percent
+        differ = sum((F.bit_count(x[f"odd{i}"].bitwiseXOR(y[f"odd{i}"])) for i in range(PARITY_WORDS)), F.lit(0))
+        most = x.n + y.n - 2 * F.ceil(F.lit(p) * (x.n + y.n) / F.lit(100 + p))
+        return (100 * F.least(x.n, y.n) >= p * F.greatest(x.n, y.n)) & (differ <= most)
+
+    def _across(self, live: DataFrame) -> DataFrame:
+        """All pairs of different components that share a shingle and pass the filters."""
+        posts = self._posts(live)
+        split = posts.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("tok")
+        open_ = self.scratch.table(posts.join(split, "tok", "left_semi").select("tok", self._doc().alias("x")), "open")
+        pairs = open_.join(open_.withColumnRenamed("x", "y"), "tok")
+        x, y, p = F.col("x"), F.col("y"), self.percent
+        # the smaller set's index prefix meets the larger one's whole prefix
+        smaller = F.struct(x.n, x.rep) < F.struct(y.n, y.rep)
+        index = x.pos < x.n - F.ceil(F.lit(2 * p) * x.n / F.lit(100 + p)) + 1
+        rows = pairs.filter(smaller & index & (x.comp != y.comp) & self._alike())
+        rows = rows.select(x.rep.alias("a"), y.rep.alias("b"), (x.n - x.pos).alias("xl"), (y.n - y.pos).alias("yl"), F.ceil(F.lit(p) * (x.n + y.n) / F.lit(100 + p)).alias("least"))
+        # positional filter: from the first shared shingle on, enough must be left in both
+        rows = rows.groupBy("a", "b").agg(F.max("xl").alias("xl"), F.max("yl").alias("yl"), F.max("least").alias("least"))
+        return rows.filter(F.least("xl", "yl") >= F.col("least")).select("a", "b")
 
     def _near(self, pairs: DataFrame, name: str) -> DataFrame:
-        """Those of the candidate pairs that are similar; each is verified once."""
+        """Those of the candidate pairs that are similar.
+
+        Both sets of a pair meet at its first end, the hub; a hub with many pairs is copied, one
+        copy for each HUB_PAIRS of them, so no task gets more than those.
+        """
         pairs = self.scratch.table(pairs, name)
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        sets = self.docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets(self.words), "doc_id long, tokens binary")
-        sets = self.scratch.table(sets, f"{name}-sets")
-        both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x")), "a")
-        both = both.join(sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y")
-        return both.mapInArrow(_verify(self.percent), "a long, b long")
+        hubs = self.scratch.table(pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB_PAIRS).cast("int").alias("salts")), f"{name}-hubs")
+        member = pairs.join(hubs, "a").select(F.col("b").alias("doc_id"), F.struct(F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt")).alias("t"))
+        own = hubs.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+        own = own.select(F.col("a").alias("doc_id"), F.struct(F.col("a").alias("hub"), "salt").alias("t"))
+        targets = self.scratch.table(member.unionByName(own).groupBy("doc_id").agg(F.collect_list("t").alias("targets")), f"{name}-targets")
+        small = targets.limit(BROADCAST_TARGETS + 1).count() <= BROADCAST_TARGETS  # counted, else a shuffled join
+        met = self.docs.join(F.broadcast(targets) if small else targets, "doc_id").select("doc_id", "text", "targets")
+        met = met.mapInArrow(_spread(self.words), "hub long, salt int, doc_id long, tokens binary")
+        met = met.repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.col("doc_id") != F.col("hub"))
+        return met.mapInArrow(_verify(self.percent), "a long, b long")
+
+    def _join_up(self, found: DataFrame, name: str) -> None:
+        """Components after new links: links between components, each once, are labelled, not links between documents."""
+        known = self.labels
+        a = found.join(known.select(F.col("id").alias("a"), F.col("label").alias("la")), "a", "left")
+        both = a.join(known.select(F.col("id").alias("b"), F.col("label").alias("lb")), "b", "left")
+        ends = both.select(F.coalesce("la", "a").alias("x"), F.coalesce("lb", "b").alias("y"))
+        steps = min_labels(ends.filter("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
+        old = known.join(steps.select(F.col("id").alias("label"), F.col("label").alias("to")), "label", "left").select("id", F.coalesce("to", "label").alias("label"))
+        self.labels = self.scratch.table(old.unionByName(steps.join(known.select("id"), "id", "left_anti")), name)
 
     def components(self) -> DataFrame:
         """doc_id, n_shingles, component_id: one row per row of the input."""
