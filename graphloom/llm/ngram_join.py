@@ -251,6 +251,7 @@ class JaccardJoin:
         live = put(self._live(heads), "live")
         self.scratch.drop("heads")
         self.labels = self.spark.createDataFrame([], "id long, label long")
+        self.tested: list[DataFrame] = []
         for r in range(STAR_ROUNDS):
             found = put(self._near(self._stars(live, r), f"star{r}"), f"links{r}")
             if found.isEmpty():
@@ -339,10 +340,16 @@ class JaccardJoin:
     def _near(self, pairs: DataFrame, name: str) -> DataFrame:
         """Those of the candidate pairs that are similar.
 
-        Both sets of a pair meet at its first end, the hub; a hub with many pairs is copied, one
+        Pairs of earlier rounds aren't verified again.  Both sets of a pair meet at its first end,
+        the hub; a hub with many pairs is copied, one
         copy for each HUB_PAIRS of them, so no task gets more than those.
         """
-        pairs = self.scratch.table(pairs, name)
+        ends = F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")
+        fresh = pairs.select("a", "b", *ends)
+        for done in self.tested:
+            fresh = fresh.join(done, ["lo", "hi"], "left_anti")
+        pairs = self.scratch.table(fresh.select("a", "b"), name)
+        self.tested.append(pairs.select(*ends))
         hubs = self.scratch.table(pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB_PAIRS).cast("int").alias("salts")), f"{name}-hubs")
         member = pairs.join(hubs, "a").select(F.col("b").alias("doc_id"), F.struct(F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt")).alias("t"))
         own = hubs.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
