@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import needed
 from graphloom.store import Scratch
 
-#: Keys in the sample that places shard borders; it bounds what the driver sees, not what is joined.
+#: Keys, about, in the hash sample that places shard borders; it bounds what the driver sees, not what is joined.
 SAMPLE = 20_000
 TOP = "\U0010ffff"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -86,7 +86,8 @@ def apply_rules(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     ruled = ruled.select(reversed_host(F.col("host")).alias("key"), "host", "path", F.concat("host", "path").alias("rule"), "verdict")
 
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sample = sorted(r.key for r in urls.select("key", "h").orderBy(F.hash("h"), "h").limit(SAMPLE).select("key").collect())
+    part = min(1.0, SAMPLE / max(1, urls.count()))
+    sample = sorted(r.key for r in urls.filter(F.hash("h") <= F.lit(min(2**31 - 1, int(-(2**31) + part * 2**32)))).select("key").collect())
     borders = sorted({sample[len(sample) * i // shards] for i in range(1, shards)}) if sample else []
     shared = spark.sparkContext.broadcast(borders)  # at most one key a shard
 
