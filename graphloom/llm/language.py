@@ -57,8 +57,12 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
     """Log likelihoods, TABLE x languages, of at most SAMPLE labelled rows a language."""
     rows = needed(labelled, id=id_col, text=text_col, lang=lang_col)
     counts = np.zeros((TABLE, len(languages)))
+    there = {r["lang"]: r["count"] for r in rows.filter(F.col("lang").isin(*languages)).groupBy("lang").count().collect()}
     for at, lang in enumerate(languages):
-        ranked = rows.filter(F.col("lang") == lang).orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
+        # a hash limit leaves little more than SAMPLE rows before the sort, however many partitions there are
+        part = min(1.0, 1.2 * SAMPLE / max(1, there.get(lang, 0)))
+        low = F.xxhash64("id") <= F.lit(min(2**63 - 1, int(-(2**63) + part * 2**64)))
+        ranked = rows.filter((F.col("lang") == lang) & low).orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
         sums = ranked.select("text").mapInArrow(_count_cells, "cells binary")
         for row in sums.toLocalIterator():
             counts[:, at] += np.frombuffer(row.cells, np.int64)
