@@ -25,6 +25,22 @@ def query(f):
     return f
 
 
+def sampled(m: int):
+    """Two queries of one operator: ``f`` over the orders that ``m`` divides, as its SQL twin reads them, and ``f_whole`` over all."""
+
+    def register(f):
+        for name, step in ((f.__name__, m), (f"{f.__name__}_whole", 1)):
+
+            def run(s, d, step=step):
+                return f(s, d, step)
+
+            run.__name__ = name
+            query(run)
+        return f
+
+    return register
+
+
 def _r(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.round(F.col(n), 9) for n in names})
 
@@ -56,24 +72,24 @@ def degree_decades(s, d):
     return metrics.degree_histogram(part_next(s, d))
 
 
-@query
-def graph_transpose(s, d):
-    return part_next(s, d, SPARSE).transpose().edges
+@sampled(SPARSE)
+def graph_transpose(s, d, m):
+    return part_next(s, d, m).transpose().edges
 
 
-@query
-def graph_symmetrize(s, d):
-    return part_sym(s, d, SPARSE).edges
+@sampled(SPARSE)
+def graph_symmetrize(s, d, m):
+    return part_sym(s, d, m).edges
 
 
-@query
-def graph_adjacency(s, d):
-    return part_sym(s, d, SPARSE).adjacency().select("id", F.array_join(F.transform("nbrs", lambda x: x.cast("string")), " ").alias("nbrs"))
+@sampled(SPARSE)
+def graph_adjacency(s, d, m):
+    return part_sym(s, d, m).adjacency().select("id", F.array_join(F.transform("nbrs", lambda x: x.cast("string")), " ").alias("nbrs"))
 
 
-@query
-def weighted_simplify(s, d):
-    g = part_weighted(s, d, SPARSE)
+@sampled(SPARSE)
+def weighted_simplify(s, d, m):
+    g = part_weighted(s, d, m)
     twice = g.edges.unionByName(g.edges.withColumn("w", F.col("w") + 1))
     return PropertyGraph(g.vertices, twice).simplify().edges
 
@@ -174,9 +190,9 @@ def remove_duplicates(s, d):
     return primitives.remove_duplicates(part_next(s, d).edges.select("dst"), "dst")
 
 
-@query
-def search(s, d):
-    g = part_next(s, d, SPARSE)
+@sampled(SPARSE)
+def search(s, d, m):
+    g = part_next(s, d, m)
     return primitives.search(g.edges, g.vertices.select(F.col("id").alias("probe")), "src")
 
 
@@ -220,15 +236,15 @@ def order_map(s, d):
     return reorder.order_map(table(s, d, "part").select(F.col("p_partkey").alias("old_id"), (n - 1 - F.col("p_partkey")).alias("new_id")))
 
 
-@query
-def relabel_so(s, d):
-    g = part_next(s, d, SPARSE)
+@sampled(SPARSE)
+def relabel_so(s, d, m):
+    g = part_next(s, d, m)
     return g.relabel(reorder.order_sort(g)).edges
 
 
-@query
-def relabel_weighted(s, d):
-    g = part_weighted(s, d, SPARSE)
+@sampled(SPARSE)
+def relabel_weighted(s, d, m):
+    g = part_weighted(s, d, m)
     return g.relabel(reorder.order_sort(g)).edges
 
 
@@ -268,41 +284,41 @@ def overflow(s, d):
     return metrics.overflow(part_next(s, d), 64)
 
 
-@query
-def modularity(s, d):
-    g = part_next(s, d, SPARSE)
+@sampled(SPARSE)
+def modularity(s, d, m):
+    g = part_next(s, d, m)
     return _r(metrics.modularity(g, g.vertices.select("id", F.floor(F.col("id") / 50).alias("label"))), "value")
 
 
-@query
-def rabbit_adjacency(s, d):
-    return reorder.rabbit_adjacency(part_next(s, d, SPARSE))
+@sampled(SPARSE)
+def rabbit_adjacency(s, d, m):
+    return reorder.rabbit_adjacency(part_next(s, d, m))
 
 
 @query
 def order_gorder(s, d):
-    return reorder.order_gorder(part_next(s, d, SPARSE))
+    return reorder.order_gorder(part_next(s, d))
 
 
 @query
 def order_rcm(s, d):
-    return reorder.order_rcm(part_sym(s, d, SPARSE))
+    return reorder.order_rcm(part_sym(s, d))
 
 
 @query
 def order_rcm_gorder(s, d):
-    return reorder.order_rcm_gorder(_kept(part_next(s, d, SPARSE)))
+    return reorder.order_rcm_gorder(_kept(part_next(s, d)))
 
 
 @query
 def order_rabbit(s, d):
-    return reorder.order_rabbit(part_sym(s, d, SPARSE))
+    return reorder.order_rabbit(part_sym(s, d))
 
 
 @query
 def order_checks(s, d):
     """Sequential and clustered orders are permutations: rows out of place, by order."""
-    g = _kept(part_next(s, d, SPARSE))
+    g = _kept(part_next(s, d))
     sym = _kept(g.symmetrize())
     clusters = g.vertices.select("id", (F.col("id") % 7).cast("int").alias("cluster"))
     found = {"gorder": reorder.order_gorder(g), "rcm": reorder.order_rcm(sym), "rabbit": reorder.order_rabbit(sym), "fon": reorder.order_clusters(g, clusters), "fo": reorder.order_balanced(g, clusters, PART_KB, THREADS)}
@@ -317,9 +333,9 @@ def order_checks(s, d):
 # traversal
 
 
-@query
-def bfs_levels(s, d):
-    g = _kept(part_sym(s, d, SPARSE))
+@sampled(SPARSE)
+def bfs_levels(s, d, m):
+    g = _kept(part_sym(s, d, m))
     return traverse.bfs(g, hub(g)).filter("level is not null").groupBy("level").agg(F.count("*").alias("n"))
 
 
@@ -335,29 +351,29 @@ def bfs_bitvector(s, d):
     return traverse.bfs_bitvector(g, hub(g)).select("id", "level")
 
 
-@query
-def components(s, d):
-    return traverse.components(part_sym(s, d, SPARSE))
+@sampled(SPARSE)
+def components(s, d, m):
+    return traverse.components(part_sym(s, d, m))
 
 
-@query
-def components_shortcut(s, d):
-    return traverse.components(part_sym(s, d, SPARSE), shortcut=True)
+@sampled(SPARSE)
+def components_shortcut(s, d, m):
+    return traverse.components(part_sym(s, d, m), shortcut=True)
 
 
-@query
-def components_directed(s, d):
-    return traverse.components(part_next(s, d, SPARSE))
+@sampled(SPARSE)
+def components_directed(s, d, m):
+    return traverse.components(part_next(s, d, m))
 
 
-@query
-def bfs_cc(s, d):
-    return traverse.bfs_cc(part_next(s, d, SPARSER))
+@sampled(SPARSER)
+def bfs_cc(s, d, m):
+    return traverse.bfs_cc(part_next(s, d, m))
 
 
-@query
-def sssp(s, d):
-    g = _kept(part_weighted(s, d, SPARSE))
+@sampled(SPARSE)
+def sssp(s, d, m):
+    g = _kept(part_weighted(s, d, m))
     return traverse.sssp(g, hub(g), "w")
 
 
@@ -385,9 +401,9 @@ def gas_sssp(s, d):
     return gas.gas_sssp(g, hub(g))
 
 
-@query
-def gas_cc(s, d):
-    return gas.gas_cc(part_next(s, d, SPARSER))
+@sampled(SPARSER)
+def gas_cc(s, d, m):
+    return gas.gas_cc(part_next(s, d, m))
 
 
 # ranking
@@ -403,9 +419,9 @@ def pagerank10_sparse(s, d):
     return _r(ranking.pagerank(part_sym(s, d, SPARSE)), "rank")
 
 
-@query
-def pagerank_delta(s, d):
-    return _r(ranking.pagerank_delta(part_sym(s, d, SPARSE), max_iter=5), "rank")
+@sampled(SPARSE)
+def pagerank_delta(s, d, m):
+    return _r(ranking.pagerank_delta(part_sym(s, d, m), max_iter=5), "rank")
 
 
 @query
@@ -432,14 +448,14 @@ def triangles_per_vertex(s, d):
     return decompose.triangles(part_sym(s, d)).withColumnRenamed("count", "n")
 
 
-@query
-def kcore(s, d):
-    return decompose.kcore(part_sym(s, d, SPARSE))
+@sampled(SPARSE)
+def kcore(s, d, m):
+    return decompose.kcore(part_sym(s, d, m))
 
 
-@query
-def mis(s, d):
-    return decompose.mis(part_sym(s, d, SPARSE))
+@sampled(SPARSE)
+def mis(s, d, m):
+    return decompose.mis(part_sym(s, d, m))
 
 
 @query
@@ -455,13 +471,13 @@ def radii(s, d):
 
 @query
 def set_cover(s, d):
-    return decompose.set_cover(_kept(part_sym(s, d, SPARSER)))
+    return decompose.set_cover(_kept(part_sym(s, d)))
 
 
 @query
 def set_cover_check(s, d):
     """Elements that some set holds and the cover misses."""
-    g = _kept(part_sym(s, d, SPARSER))
+    g = _kept(part_sym(s, d))
     found = Scratch(s, "cover-check").table(decompose.set_cover(g), "cover")
     inside = g.edges.join(found.filter("in_cover").select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct()
     return g.edges.select(F.col("dst").alias("id")).distinct().join(inside, "id", "left_anti").agg(F.count("*").alias("missed"))
@@ -470,15 +486,15 @@ def set_cover_check(s, d):
 # hypergraphs
 
 
-@query
-def hyper_bfs(s, d):
-    h = order_part(s, d, SPARSE)
+@sampled(SPARSE)
+def hyper_bfs(s, d, m):
+    h = order_part(s, d, m)
     return hyper.hyper_bfs(h, 0).select("side", "id", "level")
 
 
-@query
-def hyper_cc(s, d):
-    return hyper.hyper_cc(order_part(s, d, SPARSER))
+@sampled(SPARSER)
+def hyper_cc(s, d, m):
+    return hyper.hyper_cc(order_part(s, d, m))
 
 
 @query
@@ -486,35 +502,35 @@ def hyper_sssp(s, d):
     return hyper.hyper_sssp(generate.add_hyper_weights(order_part(s, d)), 0)
 
 
-@query
-def hyper_bpath(s, d):
-    return hyper.hyper_bpath(order_part(s, d, SPARSE), 0)
+@sampled(SPARSE)
+def hyper_bpath(s, d, m):
+    return hyper.hyper_bpath(order_part(s, d, m), 0)
 
 
-@query
-def hyper_pagerank1(s, d):
-    return hyper.hyper_pagerank(order_part(s, d, SPARSE)).withColumn("rank", F.round("rank", 12))
+@sampled(SPARSE)
+def hyper_pagerank1(s, d, m):
+    return hyper.hyper_pagerank(order_part(s, d, m)).withColumn("rank", F.round("rank", 12))
 
 
-@query
-def hyper_entropy(s, d):
-    return _r(hyper.hyper_pagerank(order_part(s, d, SPARSE), entropy=True).filter("side = 'H'").select("id", "entropy"), "entropy")
+@sampled(SPARSE)
+def hyper_entropy(s, d, m):
+    return _r(hyper.hyper_pagerank(order_part(s, d, m), entropy=True).filter("side = 'H'").select("id", "entropy"), "entropy")
 
 
 @query
 def hyper_bc(s, d):
-    return _r(hyper.hyper_bc(order_part(s, d, SPARSER), 0), "paths", "dependency")
+    return _r(hyper.hyper_bc(order_part(s, d), 0), "paths", "dependency")
 
 
 @query
 def hyper_mis(s, d):
-    return hyper.hyper_mis(order_part(s, d, SPARSER))
+    return hyper.hyper_mis(order_part(s, d))
 
 
 @query
 def hyper_mis_check(s, d):
     """Hyperedges of two or more members that lie wholly inside, and vertices left out that could be added."""
-    h = order_part(s, d, SPARSER)
+    h = order_part(s, d)
     found = Scratch(s, "mis-check").table(hyper.hyper_mis(h), "mis")
     marks = h.v2h.join(found.select(F.col("id").alias("v"), F.col("in_set").cast("int").alias("i")), "v")
     sizes = marks.groupBy("h").agg(F.count("*").alias("n"), F.sum("i").alias("m")).filter("n > 1")
@@ -525,41 +541,41 @@ def hyper_mis_check(s, d):
 
 @query
 def hyper_kcore(s, d):
-    return hyper.hyper_kcore(order_part(s, d, SPARSER))
+    return hyper.hyper_kcore(order_part(s, d))
 
 
-@query
-def hyper_degrees(s, d):
-    return hyper.hyper_degrees(order_part(s, d, SPARSE))
+@sampled(SPARSE)
+def hyper_degrees(s, d, m):
+    return hyper.hyper_degrees(order_part(s, d, m))
 
 
-@query
-def hyper_reader(s, d):
-    return hyper.hyper_dump(order_part(s, d, SPARSE))
+@sampled(SPARSE)
+def hyper_reader(s, d, m):
+    return hyper.hyper_dump(order_part(s, d, m))
 
 
-@query
-def clique_expand(s, d):
-    return order_part(s, d, SPARSE).expand().edges.groupBy("src", "dst").agg(F.count("*").alias("n"))
+@sampled(SPARSE)
+def clique_expand(s, d, m):
+    return order_part(s, d, m).expand().edges.groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
 # eccentricities
 
 
-@query
-def ecc_exact(s, d):
-    return eccentricity.ecc_exact(_kept(part_sym(s, d, SPARSER)))
+@sampled(SPARSER)
+def ecc_exact(s, d, m):
+    return eccentricity.ecc_exact(_kept(part_sym(s, d, m)))
 
 
-@query
-def ecc_tk(s, d):
-    return eccentricity.ecc_tk(_kept(part_sym(s, d, SPARSEST)))
+@sampled(SPARSEST)
+def ecc_tk(s, d, m):
+    return eccentricity.ecc_tk(_kept(part_sym(s, d, m)))
 
 
 @query
 def ecc_estimates(s, d):
     """How each estimate sits towards the exact value: vertices below, equal, above, and out of its bounds."""
-    g = _kept(part_sym(s, d, SPARSEST))
+    g = _kept(part_sym(s, d))
     scratch = Scratch(s, "ecc")
     exact = scratch.table(eccentricity.ecc_exact(g).withColumnRenamed("ecc", "exact"), "exact")
     found = {
@@ -583,40 +599,40 @@ def ecc_bounds_check(s, d):
 # local clustering
 
 
-@query
-def nibble_t3(s, d):
-    g = _kept(part_sym(s, d, SPARSE))
+@sampled(SPARSE)
+def nibble_t3(s, d, m):
+    g = _kept(part_sym(s, d, m))
     return _r(local.nibble(g, hub(g), T=3, eps=1e-9), "mass")
 
 
-@query
-def nibble_truncated(s, d):
-    g = _kept(part_sym(s, d, SPARSE))
+@sampled(SPARSE)
+def nibble_truncated(s, d, m):
+    g = _kept(part_sym(s, d, m))
     return _r(local.nibble(g, hub(g), T=3, eps=0.01), "mass")
 
 
-@query
-def sweep(s, d):
-    g = _kept(part_sym(s, d, SPARSE))
+@sampled(SPARSE)
+def sweep(s, d, m):
+    g = _kept(part_sym(s, d, m))
     return _r(local.sweep_cut(g, local.nibble(g, hub(g), T=3, eps=1e-9)), "conductance")
 
 
-@query
-def heat_kernel(s, d):
-    g = _kept(part_sym(s, d, SPARSE))
+@sampled(SPARSE)
+def heat_kernel(s, d, m):
+    g = _kept(part_sym(s, d, m))
     return _r(local.heat_kernel(g, hub(g), N=3, eps=1e-9), "mass")
 
 
 @query
 def heat_kernel_walks(s, d):
-    g = _kept(part_sym(s, d, SPARSE))
+    g = _kept(part_sym(s, d))
     return _r(local.heat_kernel_walks(g, hub(g), N=200), "mass")
 
 
 @query
 def pr_nibble_check(s, d):
     """Both push rules: mass that isn't kept, and residuals above the limit."""
-    g = _kept(part_sym(s, d, SPARSE))
+    g = _kept(part_sym(s, d))
     deg, out = g.degrees(), None
     for name, opt in (("plain", False), ("optimised", True)):
         one = local.pr_nibble(g, hub(g), eps=1e-3, optimised=opt).join(deg, "id")
@@ -627,7 +643,7 @@ def pr_nibble_check(s, d):
 
 @query
 def pr_nibble(s, d):
-    g = _kept(part_sym(s, d, SPARSE))
+    g = _kept(part_sym(s, d))
     return _r(local.pr_nibble(g, hub(g), eps=1e-3), "mass", "residual")
 
 
@@ -728,32 +744,32 @@ def parmat(s, d):
 
 @query
 def add_weights(s, d):
-    return generate.add_weights(part_sym(s, d, SPARSE)).edges
+    return generate.add_weights(part_sym(s, d)).edges
 
 
 @query
 def add_hyper_weights(s, d):
-    return generate.add_hyper_weights(order_part(s, d, SPARSE)).v2h
+    return generate.add_hyper_weights(order_part(s, d)).v2h
 
 
-@query
-def el2csr(s, d):
-    return convert.el2csr(part_next(s, d, SPARSE), undirected=True, weights=1).select("id", "offset", F.array_join(F.transform("nbrs", lambda x: x.cast("string")), " ").alias("nbrs"), F.size("ws").alias("n_weights"))
+@sampled(SPARSE)
+def el2csr(s, d, m):
+    return convert.el2csr(part_next(s, d, m), undirected=True, weights=1).select("id", "offset", F.array_join(F.transform("nbrs", lambda x: x.cast("string")), " ").alias("nbrs"), F.size("ws").alias("n_weights"))
 
 
-@query
-def gen_el(s, d):
-    return convert.gen_el(convert.el2csr(part_next(s, d, SPARSE)))
+@sampled(SPARSE)
+def gen_el(s, d, m):
+    return convert.gen_el(convert.el2csr(part_next(s, d, m)))
 
 
-@query
-def to_mesh(s, d):
-    return convert.to_mesh(order_part(s, d, SPARSE))
+@sampled(SPARSE)
+def to_mesh(s, d, m):
+    return convert.to_mesh(order_part(s, d, m))
 
 
-@query
-def compact_ids(s, d):
-    return convert.compact(order_part(s, d, SPARSE).v2h, "v", "h")
+@sampled(SPARSE)
+def compact_ids(s, d, m):
+    return convert.compact(order_part(s, d, m).v2h, "v", "h")
 
 
 @query
@@ -763,11 +779,11 @@ def log_summary(s, d):
 
 
 def _codec(name: str, code: str) -> None:
-    def run(s, d):
-        return codec.decode(codec.encode(part_next(s, d, SPARSE), code), code).edges
+    def run(s, d, m):
+        return codec.decode(codec.encode(part_next(s, d, m), code), code).edges
 
     run.__name__ = name
-    query(run)
+    sampled(SPARSE)(run)
 
 
 _codec("codec_byte", "byte")
@@ -780,6 +796,6 @@ def codec_bytes(s, d):
     return codec.encode(part_next(s, d)).agg(F.sum(F.length("data")).alias("bytes"), F.sum("degree").alias("m"))
 
 
-@query
-def codec_hyper(s, d):
-    return codec.decode_hyper(codec.encode_hyper(order_part(s, d, SPARSE)))[0]
+@sampled(SPARSE)
+def codec_hyper(s, d, m):
+    return codec.decode_hyper(codec.encode_hyper(order_part(s, d, m)))[0]
