@@ -5,8 +5,9 @@ protected entities.  Terms that stand beside an entity may give it away: over th
 texts of the corpus, with N texts, the pointwise mutual information of term t and entity e,
 log2(N co(e, t) / (df(e) df(t))), is the part of e's information log2(N / df(e)) that t reveals.
 In texts that hold e, a term that reveals the share GENERALISE or more is generalised (to its
-shape), from REMOVE on it is removed.  SUPPORT texts must show the pair, so that chance
-neighbours of an entity seen once or twice don't count.
+shape), from REMOVE on it is removed.  Every entity and pair is scored, those of one text too:
+co is taken less DISCOUNT (absolute discounting), so that the chance of small counts weighs
+against them by degrees.
 
 Counts cover the whole corpus: co-occurrences come from the texts that hold entities; df(t)
 from all texts, where a bit map of fixed size first drops terms that can't be candidates and a
@@ -32,7 +33,9 @@ from graphloom.store import Scratch
 
 KINDS = ("email", "ip", "card", "phone")
 ACTIONS = ("generalise", "remove")
-SUPPORT, GENERALISE, REMOVE = 4, 0.8, 0.95
+GENERALISE, REMOVE = 0.8, 0.95
+#: Church and Gale's: what a count of a pair is above its expectation in another sample.
+DISCOUNT = 0.75
 #: Bits of the candidate map, whatever the corpus size: 2 MB.
 MAP_BITS = 1 << 24
 TERM_BYTES = 3
@@ -178,21 +181,20 @@ def _map_of(spark, values: DataFrame):
     return spark.sparkContext.broadcast(marks.tobytes())
 
 
-def _disclosing(scratch: Scratch, found: DataFrame, docs: DataFrame, support: int, generalise: float, remove: float) -> DataFrame:
+def _disclosing(scratch: Scratch, found: DataFrame, docs: DataFrame, generalise: float, remove: float) -> DataFrame:
     """entity, term, action: the terms that reveal enough of an entity."""
     spark = scratch.spark
     texts = found.select("text_key").distinct().count()
     # copies are no evidence: one row a text
     holding = found.filter(F.size("entities") > 0).select("text_key", "entities", F.array_distinct(F.transform("terms", lambda t: t.term)).alias("terms"))
     pairs = found.filter(F.size("entities") > 0).select("text_key", F.explode("entities").alias("entity")).distinct()
-    known = scratch.table(pairs.groupBy("entity").agg(F.count("*").alias("df_e")).filter(F.col("df_e") >= support), "entities")
-    wanted = scratch.table(pairs.join(known.select("entity"), "entity", "left_semi"), "held")
+    known = scratch.table(pairs.groupBy("entity").agg(F.count("*").alias("df_e")), "entities")
     # hot entities stand in many texts; AQE splits their side of these joins
-    together = wanted.join(holding.dropDuplicates(["text_key"]).select("text_key", "terms"), "text_key").select("entity", F.explode("terms").alias("term"))
-    together = scratch.table(together.groupBy("entity", "term").agg(F.count("*").alias("co")).filter(F.col("co") >= support), "together")
+    together = pairs.join(holding.dropDuplicates(["text_key"]).select("text_key", "terms"), "text_key").select("entity", F.explode("terms").alias("term"))
+    together = together.groupBy("entity", "term").agg(F.count("*").alias("co"))
     # a term is as frequent at least as in the texts that hold entities; that rules out common words
     rare = holding.dropDuplicates(["text_key"]).select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df_least"))
-    most = F.col("co") * F.pow(F.lit(float(texts)) / F.col("df_e"), F.lit(1 - generalise)) * (1 + 1e-9)
+    most = (F.col("co") - DISCOUNT) * F.pow(F.lit(float(texts)) / F.col("df_e"), F.lit(1 - generalise)) * (1 + 1e-9)
     together = scratch.table(together.join(rare, "term").join(known, "entity").filter(F.col("df_least") <= most).select("entity", "term", "co"), "rare")
     if together.isEmpty():
         return together.select("entity", "term", F.lit("").alias("action"))
@@ -202,13 +204,13 @@ def _disclosing(scratch: Scratch, found: DataFrame, docs: DataFrame, support: in
     often = seen.groupBy("term").agg(F.sum(F.when(F.col("text_key").isNull(), F.col("n")).otherwise(1)).alias("df_t"))
     n = F.lit(float(texts))
     measured = together.join(often, "term").join(known, "entity")
-    measured = measured.withColumn("pmi", F.log2(n * F.col("co") / (F.col("df_e") * F.col("df_t")))).withColumn("whole", F.log2(n / F.col("df_e")))
+    measured = measured.withColumn("pmi", F.log2(n * (F.col("co") - DISCOUNT) / (F.col("df_e") * F.col("df_t")))).withColumn("whole", F.log2(n / F.col("df_e")))
     share = F.when(F.col("whole") > 0, F.col("pmi") / F.col("whole")).otherwise(F.lit(0.0))
     action = F.when(share >= remove, F.lit("remove")).when(share >= generalise, F.lit("generalise"))
     return measured.select("entity", "term", action.alias("action")).filter("action is not null")
 
 
-def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """doc_id, text_key, base, terms: one row per row of ``docs``.
 
     ``base``: array of (kind, start, end); ``terms``: array of (kind, start, end) whose kind is the action.
@@ -222,7 +224,7 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         f"doc_id {kinds['doc_id']}, text_key long, base array<struct<kind:string,start:int,end:int>>, entities array<long>, terms array<struct<term:long,start:int,end:int>>",
     )
     found = scratch.table(found, "found")
-    pairs = scratch.table(_disclosing(scratch, found, docs, support, generalise, remove), "disclosing")
+    pairs = scratch.table(_disclosing(scratch, found, docs, generalise, remove), "disclosing")
     one = found.filter(F.size("entities") > 0).select("text_key", "entities").distinct().select("text_key", F.explode("entities").alias("entity"))
     hits = one.join(pairs, "entity").groupBy("text_key", "term").agg(F.max("action").alias("action"))  # remove outranks generalise
     places = found.filter(F.size("entities") > 0).select("text_key", "terms").dropDuplicates(["text_key"]).select("text_key", F.explode("terms").alias("t")).select("text_key", "t.*")

@@ -335,6 +335,18 @@ def test_pii(spark, docs, rows, none):
     assert pii.digest(pii.find_spans(none)).count() == 0
 
 
+def test_pii_of_rare_entities(spark):
+    rng = random.Random(6)
+    texts = [f"{words(rng, 20, 40)} t{i}" for i in range(1200)]
+    texts[7] = f"w1 w2 Quibblix wrote from one@mail.example.com t7 {words(rng, 10, 40)}"
+    texts[8] = f"w3 Brandlum called, two@mail.example.com {words(rng, 10, 40)}"
+    texts[9] = f"w3 Brandlum called, two@mail.example.com {words(rng, 10, 40)} again"
+    table = docs_of(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])
+    clean = {r.doc_id: r.text for r in pii.sanitise(table).collect()}
+    assert "Quibblix" not in clean[7] and "[name]" in clean[7] and clean[7].startswith("w1 w2 ") and clean[6] == texts[6]
+    assert "Brandlum" not in clean[8] + clean[9] and clean[8].startswith("w3 ")
+
+
 def lcs(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
