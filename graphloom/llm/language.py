@@ -162,7 +162,7 @@ def identify(
 
 def markup_language(html: Column) -> Column:
     """The language attribute of the html tag, null if there is none."""
-    lang = F.regexp_extract(F.substring(html, 1, 5000), r"(?i)<html[^>]*?\slang\s*=\s*[\"']?([A-Za-z-]+)", 1)
+    lang = F.regexp_extract(html, r"(?i)<html[^>]*?\slang\s*=\s*[\"']?([A-Za-z-]+)", 1)
     return F.when(lang != "", lang)
 
 

@@ -223,6 +223,11 @@ def test_language_evidence(spark):
     assert [r[0] for r in html.select(language.markup_language(F.col("h"))).collect()] == ["pt-BR", None, None]
 
 
+def test_markup_language_of_a_late_tag(spark):
+    late = spark.createDataFrame([(f"<!-- {'licence ' * 2000}--><html {'data-x=1 ' * 600}lang=fr><p>",)], "h string")
+    assert late.select(language.markup_language(F.col("h"))).first()[0] == "fr"
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header><h1>Site</h1></header><nav><a href=x>Menu</a></nav>
 <div class="cookie-notice">We use cookies</div><div id="main-7" class="layout has-sidebar"><div class="sidebar">Side <p>links</p></div>
 <div class="post-body-33"><h2>Head &amp; line</h2><p>First   para<b>graph</b> &eacute;&excl; with text.<p>Second<br>line, of the main text.</p>
