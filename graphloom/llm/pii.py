@@ -38,7 +38,6 @@ GENERALISE, REMOVE = 0.8, 0.95
 DISCOUNT = 0.75
 #: Bits of the candidate map, whatever the corpus size: 2 MB.
 MAP_BITS = 1 << 24
-TERM_BYTES = 3
 #: Sums that a task of the counting pass holds before it sends them on.
 SUMS = 200_000
 
@@ -119,7 +118,7 @@ def _find(batches):
                 while nxt is not None and nxt[1] < b:
                     end, nxt = max(end, nxt[2]), next(near, None)
                 term = m[0].encode().lower()
-                if a >= end and len(term) >= TERM_BYTES:
+                if a >= end:
                     inside.append({"term": _signed(xxhash.xxh3_64_intdigest(term)), "start": a, "end": b})
             terms.append(inside)
         yield pa.RecordBatch.from_arrays(
@@ -155,7 +154,7 @@ def _candidates(marks, copied):
         for batch in batches:
             out, keys = [], []
             for raw in bytes_of(batch.column(0)):
-                terms = np.array([hashes[t] for t in set(raw.translate(_CUT).lower().split()) if len(t) >= TERM_BYTES], np.uint64)
+                terms = np.array([hashes[t] for t in set(raw.translate(_CUT).lower().split())], np.uint64)
                 terms = terms[hit(bits, terms)].view(np.int64).tolist()
                 key = xxhash.xxh3_64_intdigest(raw)
                 if hit(copies, np.array([key], np.uint64))[0]:

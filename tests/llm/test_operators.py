@@ -352,6 +352,16 @@ def test_pii_of_rare_entities(spark):
     assert "Brandlum" not in clean[8] + clean[9] and clean[8].startswith("w3 ")
 
 
+def test_pii_of_short_terms(spark):
+    rng = random.Random(7)
+    texts = [f"{words(rng, 20, 40)} t{i}" for i in range(150)]
+    for i in range(6):
+        texts[i] = f"w1 w2 Qi X wrote from qi@mail.example.com {words(rng, 20, 40)} t{i}"
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs_of(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])).collect()}
+    for i in range(6):
+        assert {"Qi", "X"}.isdisjoint(clean[i].split()) and clean[i].startswith("w1 w2 ")
+
+
 def lcs(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
