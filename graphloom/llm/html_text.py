@@ -1,11 +1,12 @@
 """HTML extraction by consensus host paths.
 
 Pass 1 parses every page and scores its containers: characters in text blocks, less those in
-links, for the element and a discount for each level up.  The best containers vote for their
+links, for the element and a discount for each level up.  The scored containers vote for their
 generalised path, tags with classes and ids whose digits are dropped.  A grouped aggregation in
 Spark adds up the votes by host and path; the path with the most votes wins its host.  Pass 2
 parses again and extracts the elements at the host's winning path; a page that has none of them
-(or whose own best container holds far more text) falls back to its own best container.
+(or whose own best container holds far more text) falls back to its own best container.  Either
+way an element inside an article, or else inside main, stands for all of that article or main.
 
 In the container, menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles
 and comment sections are left out, by tag or by the words of class, id and role.  Character
@@ -217,8 +218,8 @@ def _widest(root: Node, found: list[Node]) -> list[Node]:
 
 
 def vote(page: str) -> list[tuple[str, float]]:
-    """Up to three paths of a page with their shares of its score."""
-    ranked = best_containers(parse(page))[:3]
+    """The paths of all scored containers of a page with their shares of the best score."""
+    ranked = best_containers(parse(page))
     top = ranked[0][0] if ranked else 1.0
     shares: dict[str, float] = {}
     for s, node in ranked:
@@ -227,11 +228,19 @@ def vote(page: str) -> list[tuple[str, float]]:
     return list(shares.items())
 
 
+def _whole(node: Node) -> Node:
+    """The outermost article that holds a node, else the outermost main, else the node itself."""
+    above = [node]
+    while above[-1].parent is not None:
+        above.append(above[-1].parent)
+    return next((a for name in ("article", "main") for a in reversed(above) if a.name == name), node)
+
+
 def extract(page: str, path: str | None) -> str:
     """Main text of a page, by its host's path if it has elements there."""
     root = parse(page)
     ranked = best_containers(root)
-    own = blocks(ranked[0][1]) if ranked else blocks(root)
+    own = blocks(_whole(ranked[0][1])) if ranked else blocks(root)
     if path is None:
         return "\n".join(own)
     at, todo = [], [root]
@@ -244,7 +253,7 @@ def extract(page: str, path: str | None) -> str:
                 todo.append(child)
     if path == "" or not at:
         return "\n".join(own if path else blocks(root))
-    chosen = [b for node in _widest(root, at) for b in blocks(node)]
+    chosen = [b for node in _widest(root, [_whole(n) for n in at]) for b in blocks(node)]
     if sum(map(len, own)) > OUTVOTED * sum(map(len, chosen)):
         chosen = own
     return "\n".join(chosen)

@@ -252,6 +252,20 @@ def test_html(spark):
     assert {r.host: r.path for r in html_text.host_paths(pages).collect()}["a.org"].endswith("div.post-body")
 
 
+def test_html_of_nested_articles(spark):
+    def long(w):
+        return f"{w} text goes on, and on. " * 60
+
+    nested = f"<body><article><h1>Head</h1><p>Lead of it.</p><div class=body><p>{long('Body')}</p></div></article><footer>F</footer></body>"
+    parts = f"<body><main><article><section class=a><p>{long('First')}</p></section><section class=b><p>Second part.</p></section><nav>Menu</nav></article></main></body>"
+    inner = f"<body><article><p>Outer words.</p><article class=part><p>{long('Inner')}</p></article></article></body>"
+    pages = spark.createDataFrame([(i, f"http://{h}.org", p) for i, (h, p) in enumerate([("n", nested), ("p", parts), ("i", inner)])], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extract_text(pages).collect()}
+    assert got == {0: f"Head\nLead of it.\n{long('Body').strip()}", 1: f"{long('First').strip()}\nSecond part.", 2: f"Outer words.\n{long('Inner').strip()}"}
+    six = "<body>" + "".join(f"<div class=c{w}><p>{'x, ' * n}</p></div>" for w, n in zip("abcdef", range(60, 0, -10), strict=True)) + "</body>"
+    assert len(html_text.vote(six)) == 7
+
+
 def test_html_of_the_tables(spark, data):
     pages = spark.read.parquet(f"{data}/pages.parquet")
     for r in html_text.extract_text(pages).join(pages.select("page_id", "html"), "page_id").collect():
