@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,12 @@ ARROW_ROWS = 256
 WORD_CACHE = 400_000
 #: A lookup table with at most so many rows is broadcast; a larger one is joined by salted keys.
 BROADCAST_ROWS = 50_000
+#: A list of ids with at most so many rows is broadcast (some 40 MB); a longer one as a bit map.
+BROADCAST_IDS = 500_000
+#: Bits of that map, as a power of two: 16 MB whatever the length of the list.
+FILTER_LOG = 27
+#: Pieces that a bit map is built in.
+MAP_CHUNKS = 64
 
 
 def tune(spark: SparkSession) -> None:
@@ -38,6 +45,80 @@ def salted_lookup(big: DataFrame, small: DataFrame, key: str, salt: Column, salt
     return big.withColumn("_salt", F.pmod(salt, F.lit(salts)).cast("int")).join(spread, [key, "_salt"], "left").drop("_salt")
 
 
+def _mark(size: int):
+    """Pieces of a bit map of 64-bit values, at most one a chunk and partition."""
+
+    def run(batches):
+        chunks: dict[int, np.ndarray] = {}
+        width = size // MAP_CHUNKS
+        for batch in batches:
+            cells = (batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) & np.uint64(size - 1)).astype(np.int64)
+            for c in np.unique(cells // width).tolist():
+                part = chunks.setdefault(c, np.zeros(width // 8, np.uint8))
+                mine = cells[cells // width == c] - c * width
+                np.bitwise_or.at(part, mine >> 3, (1 << (mine & 7)).astype(np.uint8))
+        for c, part in chunks.items():
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["chunk", "body"])
+
+    return run
+
+
+def bit_map(values: DataFrame, size: int) -> bytes:
+    """Bit map of ``size`` bits over the low bits of a column of longs that are spread well.
+
+    Values meet at their chunk's task, so the driver gets MAP_CHUNKS pieces, size / 8 bytes in all,
+    however many partitions there are.
+    """
+    name = values.columns[0]
+    cell = F.floor(F.col(name).bitwiseAND(F.lit(size - 1)) / (size // MAP_CHUNKS)).cast("int").alias("chunk")
+    parts = values.filter(F.col(name).isNotNull()).select(cell, name).repartition(MAP_CHUNKS, "chunk").mapInArrow(_mark(size), "chunk int, body binary")
+    marks = np.zeros((MAP_CHUNKS, size // MAP_CHUNKS // 8), np.uint8)
+    for row in parts.collect():  # MAP_CHUNKS rows, size / 8 bytes in all
+        marks[row.chunk] |= np.frombuffer(row.body, np.uint8)
+    return marks.tobytes()
+
+
+def map_holds(bits: np.ndarray, size: int, values: np.ndarray) -> np.ndarray:
+    """Which of the unsigned ``values`` a bit map may hold."""
+    cells = values & np.uint64(size - 1)
+    return ((bits[(cells >> np.uint64(3)).astype(np.int64)] >> (cells & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+
+
+def _may_hold(spark: SparkSession, ids: DataFrame, count: int):
+    """A condition on an id column: false only for ids that aren't listed.  Ids alone travel to Python."""
+    size = 1 << min(FILTER_LOG, max(16, (16 * count).bit_length()))
+    shared = spark.sparkContext.broadcast(bit_map(ids.select(F.xxhash64(ids.columns[0]).alias("h")), size))
+
+    @F.pandas_udf("boolean")
+    def held(h: pd.Series) -> pd.Series:
+        return pd.Series(map_holds(np.frombuffer(shared.value, np.uint8), size, h.to_numpy(np.int64).view(np.uint64)))
+
+    return lambda key: held(F.xxhash64(key))
+
+
+def drop_rows(rows: DataFrame, key: Column, gone: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
+    """The rows whose key (null equals null) isn't in ``gone``, a table with one column of distinct keys.
+
+    Whole rows don't move: a list of at most ``limit`` keys (counted here) is broadcast; of a longer
+    one a bit map of bounded size is, and only rows that it may hold meet the list in a shuffle.
+    """
+    gone = gone.select(F.col(gone.columns[0]).alias("_gone"))
+    if (count := gone.count()) <= limit:
+        return rows.join(F.broadcast(gone), key.eqNullSafe(F.col("_gone")), "left_anti")
+    may = _may_hold(rows.sparkSession, gone, count)
+    marked = rows.withColumn("_may", may(key))
+    stay, look = marked.filter("not _may").drop("_may"), marked.filter("_may").drop("_may")
+    return stay.unionByName(look.join(gone, key.eqNullSafe(F.col("_gone")), "left_anti"))
+
+
+def pick_rows(rows: DataFrame, key: str, table: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Inner join of ``rows`` to a table with one row a key, moving few other rows than those that match."""
+    if (count := table.count()) <= limit:
+        return rows.join(F.broadcast(table), key)
+    may = _may_hold(rows.sparkSession, table.select(key), count)
+    return rows.filter(may(F.col(key))).join(table, key)
+
+
 class WordHashes(dict):
     """Word (bytes) to a 64-bit hash that is the same in every process."""
 

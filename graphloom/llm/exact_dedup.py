@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import needed
+from graphloom.llm.common import drop_rows, needed
 from graphloom.store import Scratch
 
 SPACES = r"[\x20\x09-\x0D]+"
@@ -114,4 +114,4 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         marked = docs.withColumn("_mark", F.struct(docs[id_col].cast("long").alias("id"), F.sha2(text, 256).alias("sha")))
         keep = verdict.filter("kept").select(F.struct(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha")).alias("_mark")).distinct()
         return marked.join(keep, "_mark", "left_semi").dropDuplicates(["_mark"]).drop("_mark")
-    return docs.join(dropped, docs[id_col].cast("long").eqNullSafe(F.col("_id")), "left_anti")
+    return drop_rows(docs, docs[id_col].cast("long"), scratch.table(dropped.select("_id"), "dropped"))
