@@ -11,8 +11,9 @@ log posterior = tempered text likelihood + declared language + address suffix +
 * Host: one grouped aggregation sums the text posteriors by host; each level of the hierarchy
   whole table > suffix > host is smoothed towards the one above with KAPPA pseudo-documents.
 
-A row is rejected when the posterior of the best language is below ``least``, or when its text
-has no letters at all.
+One more class, of prior NEITHER, stands for junk and other languages: its trigrams fall into any
+cell alike.  A row is rejected when the posterior of the best language is below ``least``, or when
+its text has no letters at all.
 
 Defined results: null and empty texts have no letters, so they are rejected whatever is declared;
 unknown declarations and suffixes are no evidence; a null host is a host of its own; an empty
@@ -23,10 +24,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import needed, salted_lookup, tune
+from graphloom.llm.common import drop_rows, needed, salted_lookup, tune
 from graphloom.store import Scratch
 
 LANGUAGES = ("de", "en", "es", "fr")
@@ -35,6 +36,8 @@ SAMPLE = 1500
 TABLE = 1 << 15
 TEMPER = 1 / 3
 TRUST, SUFFIX_TRUST, KAPPA = 0.9, 0.8, 20.0
+#: Prior of texts in none of the languages, whose trigrams fall into any cell alike.
+NEITHER = 0.01
 #: Country suffixes that speak for a language.
 SUFFIXES = {"de": "de", "at": "de", "es": "es", "mx": "es", "fr": "fr", "uk": "en", "us": "en", "au": "en"}
 
@@ -55,27 +58,29 @@ def trigram_cells(text: str) -> np.ndarray:
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", languages: tuple[str, ...] = LANGUAGES) -> np.ndarray:
     """Log likelihoods, TABLE x languages, of at most SAMPLE labelled rows a language."""
-    rows = needed(labelled, id=id_col, text=text_col, lang=lang_col)
+    rows = needed(labelled, id=id_col, text=text_col, lang=lang_col).filter(F.col("lang").isin(*languages))
+    scratch = Scratch(rows.sparkSession, "language-fit")
+    there = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    # a hash limit leaves little more than SAMPLE rows a language before any row moves
+    least = {x: min(2**63 - 1, int(-(2**63) + min(1.0, 1.2 * SAMPLE / max(1, there.get(x, 0))) * 2**64)) for x in languages}
+    low = F.create_map(*[F.lit(y) for x in languages for y in (x, least[x])])[F.col("lang")]
+    near = scratch.table(rows.filter(F.xxhash64("id") <= low), "near")
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "text")
+    chosen = near.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= SAMPLE).select("lang", "text")
     counts = np.zeros((TABLE, len(languages)))
-    there = {r["lang"]: r["count"] for r in rows.filter(F.col("lang").isin(*languages)).groupBy("lang").count().collect()}
-    for at, lang in enumerate(languages):
-        # a hash limit leaves little more than SAMPLE rows before the sort, however many partitions there are
-        part = min(1.0, 1.2 * SAMPLE / max(1, there.get(lang, 0)))
-        low = F.xxhash64("id") <= F.lit(min(2**63 - 1, int(-(2**63) + part * 2**64)))
-        ranked = rows.filter((F.col("lang") == lang) & low).orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
-        sums = ranked.select("text").mapInArrow(_count_cells, "cells binary")
-        for row in sums.toLocalIterator():
-            counts[:, at] += np.frombuffer(row.cells, np.int64)
+    for row in chosen.mapInArrow(_count_cells, "lang string, cells binary").collect():  # one row a language
+        counts[:, languages.index(row.lang)] += np.frombuffer(row.cells, np.int64)
     smooth = counts + 0.5
     return np.log(smooth / smooth.sum(axis=0)).astype(np.float32)
 
 
 def _count_cells(batches):
-    total = np.zeros(TABLE, np.int64)
+    total: dict[str, np.ndarray] = {}
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            total += np.bincount(trigram_cells(text or ""), minlength=TABLE)
-    yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["cells"])
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            seen = np.bincount(trigram_cells(text or ""), minlength=TABLE)
+            total[lang] = total[lang] + seen if lang in total else seen
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([x.astype(np.int64).tobytes() for x in total.values()], pa.binary())], ["lang", "cells"])
 
 
 def _score(model, languages):
@@ -134,15 +139,17 @@ def identify(
     scored = scratch.table(scored.withColumn("text_post", _softmax(F.col("text_ll"))), "scored")
 
     # hierarchy of priors: everything > suffix > host
-    k, parts = len(languages), [F.sum(F.when(F.col("n_letters") > 0, F.col("text_post")[i]).otherwise(0.0)).alias(f"s{i}") for i in range(len(languages))]
+    # whole millionths, so that the order of rows can't change a sum
+    k = len(languages)
+    parts = [F.sum(F.when(F.col("n_letters") > 0, F.round(F.col("text_post")[i] * 1e6).cast("long")).otherwise(0)).alias(f"s{i}") for i in range(k)]
     hosts = scratch.table(scored.groupBy("host", "suffix").agg(*parts), "hosts")
     again = [F.sum(f"s{i}").alias(f"s{i}") for i in range(k)]
 
     def smooth(sums: DataFrame, above: list[Column], name: str) -> DataFrame:
         total = sum((F.col(f"s{i}") for i in range(k)), F.lit(0.0))
-        return sums.withColumn(name, F.array(*[(F.col(f"s{i}") + KAPPA * above[i]) / (total + KAPPA) for i in range(k)])).drop(*[f"s{i}" for i in range(k)])
+        return sums.withColumn(name, F.array(*[(F.col(f"s{i}") / 1e6 + KAPPA * above[i]) / (total / 1e6 + KAPPA) for i in range(k)])).drop(*[f"s{i}" for i in range(k)])
 
-    whole = smooth(hosts.agg(*[F.coalesce(F.sum(f"s{i}"), F.lit(0.0)).alias(f"s{i}") for i in range(k)]), [F.lit(1.0 / k)] * k, "p").first()["p"]
+    whole = smooth(hosts.agg(*[F.coalesce(F.sum(f"s{i}"), F.lit(0)).alias(f"s{i}") for i in range(k)]), [F.lit(1.0 / k)] * k, "p").first()["p"]
     suffixes = smooth(hosts.groupBy("suffix").agg(*again), [F.lit(float(x)) for x in whole], "suffix_prior")
     priors = smooth(hosts.join(suffixes, "suffix"), [F.col("suffix_prior")[i] for i in range(k)], "prior")
     priors = scratch.table(priors.groupBy("host").agg(F.max_by("prior", "suffix").alias("prior")), "priors")
@@ -151,8 +158,13 @@ def identify(
     found = salted_lookup(scored, priors, "host", F.xxhash64("id", "declared"))
     names = F.array(*[F.lit(x) for x in languages])
     place = F.create_map(*[F.lit(x) for pair in SUFFIXES.items() for x in pair])[F.col("suffix")]
-    logs = F.zip_with(F.zip_with("text_ll", _evidence(F.col("declared"), languages, TRUST), lambda a, b: a + b), F.zip_with(_evidence(place, languages, SUFFIX_TRUST), F.transform("prior", lambda x: F.log(x)), lambda a, b: a + b), lambda a, b: a + b)
-    found = found.withColumn("post", _softmax(logs))
+    told, at = _evidence(F.col("declared"), languages, TRUST), _evidence(place, languages, SUFFIX_TRUST)
+    add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
+    logs = add(add(F.col("text_ll"), told), add(at, F.transform("prior", lambda x: F.log(x) + float(np.log(1 - NEITHER)))))
+    # text of no known language: cells at random, and any declaration or suffix is as likely as another
+    blind = F.when(told[0] != 0, float(-np.log(k))).otherwise(0.0) + F.when(at[0] != 0, float(-np.log(k))).otherwise(0.0)
+    neither = F.col("n_letters") * (TEMPER * -float(np.log(TABLE))) + float(np.log(NEITHER)) + blind
+    found = found.withColumn("post", F.slice(_softmax(F.concat(logs, F.array(neither))), 1, k))
     best = lambda c: F.element_at(names, F.array_position(F.col(c), F.array_max(c)).cast("int"))
     return found.select(
         "id", best("post").alias("lang"), F.array_max("post").alias("posterior"), best("text_post").alias("text_lang"),
@@ -166,14 +178,16 @@ def markup_language(html: Column) -> Column:
     return F.when(lang != "", lang)
 
 
-def identify_documents(docs: DataFrame, model: np.ndarray, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least: float = 0.5) -> DataFrame:
-    """Documents: the metadata language counts as declared, the source as host."""
-    return identify(docs, model, id_col, text_col, declared=F.col(lang_col), host=F.col(source_col), least=least).withColumnRenamed("id", "doc_id")
+def identify_documents(docs: DataFrame, model: np.ndarray, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", least: float = 0.5) -> DataFrame:
+    """Documents: the source stands for the host.  Their metadata language is no evidence, the model is fitted on it."""
+    return identify(docs, model, id_col, text_col, host=F.col(source_col), least=least).withColumnRenamed("id", "doc_id")
 
 
-def accepted_rows(docs: DataFrame, model: np.ndarray, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least: float = 0.5) -> DataFrame:
+def accepted_rows(docs: DataFrame, model: np.ndarray, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that aren't rejected, with all their columns.  An id stays if one of its rows does."""
     scratch = Scratch(docs.sparkSession, "language-kept")
-    verdict = scratch.table(identify_documents(docs, model, id_col, text_col, lang_col, source_col, least).select(F.col("doc_id").alias("_id"), "rejected"), "verdict")
-    gone = verdict.groupBy("_id").agg(F.bool_and("rejected").alias("all")).filter("all").select("_id")
-    return docs.join(gone, docs[id_col].eqNullSafe(F.col("_id")), "left_anti")
+    verdict = scratch.table(identify_documents(docs, model, id_col, text_col, source_col, least).select(F.col("doc_id").alias("_id"), "rejected"), "verdict")
+    gone = verdict.filter("rejected").select("_id").distinct()
+    kept = verdict.filter("not rejected").select("_id").distinct()
+    gone = scratch.table(gone.join(kept, gone["_id"].eqNullSafe(kept["_id"]), "left_anti"), "gone")
+    return drop_rows(docs, docs[id_col], gone)
