@@ -13,10 +13,12 @@ its rarest word says.  Any order that all documents share gives the same result;
 only push frequent shingles out of the prefixes.
 
 Candidates come in rounds.  In each of the first ones every prefix shingle and length band
-compares its members with one hub only, and links found merge classes into components.  Then
-shingles that still lie in two or more components are joined, and only pairs from different
-components count.  No link that could join two components is skipped, so components are exact,
-while a tight group of m near copies costs a few times m verifications, not m squared.
+compares its members with one hub only, and links found merge classes into components; rounds
+go on while they merge.  Then shingles that still lie in two or more components are joined, and
+only pairs from different components count.  No link that could join two components is skipped,
+so components are exact, while a tight group of m near copies costs a few times m verifications,
+not m squared.  A pair comes from the first prefix shingle that it shares: a later one skips it
+if the first LEADS shingles of the two documents show an earlier one in common.
 
 Defined results: null and empty texts have an empty set, link with nothing and are components
 of their own; rows with a null id link with nothing and get a null component; rows that share an
@@ -31,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import Shingler, bytes_of, needed, tune
+from graphloom.llm.common import BROADCAST_IDS, Shingler, bit_map, bytes_of, drop_rows, map_holds, needed, pick_rows, tune
 from graphloom.operators.components import min_labels
 from graphloom.store import Scratch
 
@@ -40,13 +42,16 @@ SKETCH_WIDTH = 1 << 19
 SKETCH_CHUNKS = 64
 #: The bit map of shared prefix shingles has 64 bits a shingle, but 2 to this power at most (16 MB).
 MAP_BITS_LOG = 27
-#: Rounds of hubs before all remaining pairs of different components are looked at; fewer if one links nothing.
-STAR_ROUNDS = 2
+#: Rounds of hubs before all remaining pairs of different components are looked at, at most; the last one is the
+#: first whose links are fewer than one in STAR_YIELD of its pairs.
+STAR_ROUNDS, STAR_YIELD = 3, 5
+#: Shared prefix shingles of a document, rarest first, that each of its postings carries.
+LEADS = 8
 HUB_PAIRS = 500
+#: Documents in candidate pairs up to which their ids are broadcast to the texts.
+BROADCAST_TARGETS = 200_000
 #: Longs of a set's parity: the number of its shingles, modulo 2, in each of 64 times as many hash places.
 PARITY_WORDS = 8
-#: Documents in candidate pairs up to which their ids are broadcast to the texts instead of shuffling texts.
-BROADCAST_TARGETS = 200_000
 
 
 def _cells(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -126,13 +131,12 @@ def _chosen(bits, size: int):
     """The prefix shingles that a bit map may hold, with their places."""
 
     def run(batches):
-        marks, mask = np.frombuffer(bits.value, np.uint8), np.uint64(size - 1)
+        marks = np.frombuffer(bits.value, np.uint8)
         for batch in batches:
             kept, places, tokens = [], [], []
             for row, head in enumerate(batch.column(3)):
                 head = head.values.to_numpy()
-                cells = head.view(np.uint64) & mask
-                at = np.flatnonzero((marks[(cells >> np.uint64(3)).astype(np.int64)] >> (cells & np.uint64(7)).astype(np.uint8)) & 1)
+                at = np.flatnonzero(map_holds(marks, size, head.view(np.uint64)))
                 if len(at):
                     kept.append(row)
                     places.append(at.astype(np.int32))
@@ -143,24 +147,6 @@ def _chosen(bits, size: int):
     return run
 
 
-def _marks(size: int):
-    """Bit map pieces of the tokens of a partition, one a chunk."""
-
-    def run(batches):
-        chunks: dict[int, np.ndarray] = {}
-        width = size // SKETCH_CHUNKS
-        for batch in batches:
-            cells = (batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) & np.uint64(size - 1)).astype(np.int64)
-            for c in np.unique(cells // width).tolist():
-                part = chunks.setdefault(c, np.zeros(width // 8, np.uint8))
-                mine = cells[cells // width == c] - c * width
-                np.bitwise_or.at(part, mine >> 3, (1 << (mine & 7)).astype(np.uint8))
-        for c, part in chunks.items():
-            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["chunk", "body"])
-
-    return run
-
-
 def _spread(k: int):
     """A document's set for each hub it meets: hub, salt, doc_id, tokens."""
 
@@ -240,11 +226,12 @@ class JaccardJoin:
     def _run(self) -> None:
         put = self.scratch.table
         measured = put(self.docs.mapInArrow(_measure(self.words), "doc_id long, n long, body binary, chunk int"), "measured")
-        self.sets = measured.filter("chunk is null").drop("chunk")
+        self.sets = put(measured.filter("chunk is null").drop("chunk"), "sets")
         self.classes = put(
             self.sets.filter("n > 0 and doc_id is not null").groupBy("n", "body").agg(F.min("doc_id").alias("rep")), "classes"
         )
         sketch = self._sketch(measured.filter("chunk is not null").select("chunk", "body"))
+        self.scratch.drop("measured")
         heads = self.docs.mapInArrow(_prefixes(self.words, self.percent, sketch), "doc_id long, n int, odd array<long>, head array<long>")
         heads = heads.join(self.classes.select(F.col("rep").alias("doc_id"), F.col("n").cast("int").alias("n")), ["doc_id", "n"], "left_semi")
         heads = put(heads.select("doc_id", "n", "odd", "head"), "heads")
@@ -254,10 +241,14 @@ class JaccardJoin:
         self.tested: list[DataFrame] = []
         for r in range(STAR_ROUNDS):
             found = put(self._near(self._stars(live, r), f"star{r}"), f"links{r}")
-            if found.isEmpty():
+            links = found.count()
+            self.scratch.drop(f"hubs{r}")
+            if links:
+                self._join_up(found, f"labels{r}")
+            if STAR_YIELD * links < self.scratch.read(f"star{r}", "a long, b long").count():
                 break
-            self._join_up(found, f"labels{r}")
         found = put(self._near(self._across(live), "across"), "links")
+        self.scratch.drop("open")
         if not found.isEmpty():
             self._join_up(found, "labels")
 
@@ -270,26 +261,25 @@ class JaccardJoin:
         shared = heads.select(F.explode("head").alias("tok")).groupBy("tok").agg(F.count("*").alias("n")).filter("n > 1").select("tok")
         shared = self.scratch.table(shared, "shared")
         size = 1 << min(MAP_BITS_LOG, max(16, (64 * shared.count()).bit_length()))
-        cells = F.floor(F.col("tok").bitwiseAND(F.lit(size - 1)) / (size // SKETCH_CHUNKS)).cast("int").alias("chunk")
-        parts = shared.select(cells, "tok").repartition(SKETCH_CHUNKS, "chunk").mapInArrow(_marks(size), "chunk int, body binary")
-        marks = np.zeros((SKETCH_CHUNKS, size // SKETCH_CHUNKS // 8), np.uint8)
-        for row in parts.toLocalIterator():  # SKETCH_CHUNKS rows, MAP_BITS_LOG bounds their size
-            marks[row.chunk] |= np.frombuffer(row.body, np.uint8)
-        bits = self.spark.sparkContext.broadcast(marks.tobytes())
+        bits = self.spark.sparkContext.broadcast(bit_map(shared, size))
+        self.scratch.drop("shared")
         return heads.mapInArrow(_chosen(bits, size), "rep long, n int, odd array<long>, pos array<int>, tok array<long>")
 
     def _sketch(self, chunks: DataFrame):
         sums = chunks.repartition(SKETCH_CHUNKS, "chunk").mapInArrow(_add_up, "chunk int, body binary")
         whole = np.zeros((SKETCH_CHUNKS, 4 * SKETCH_WIDTH // SKETCH_CHUNKS), np.int32)
-        for row in sums.toLocalIterator():  # SKETCH_CHUNKS rows of fixed size
+        for row in sums.collect():  # SKETCH_CHUNKS rows of fixed size, 8 MB in all
             whole[row.chunk] = np.frombuffer(row.body, np.int32)
         return self.spark.sparkContext.broadcast(whole.tobytes())
 
     def _posts(self, live: DataFrame) -> DataFrame:
         """One row a document and prefix shingle, with the component so far."""
         known = self.labels.select(F.col("id").alias("rep"), "label")
-        live = live.join(known, "rep", "left").withColumn("comp", F.coalesce("label", "rep")).drop("label")
-        return live.withColumn("p", F.explode(F.arrays_zip("pos", "tok"))).select("rep", "n", "odd", "comp", F.col("p.pos").alias("pos"), F.col("p.tok").alias("tok"))
+        small = known.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS  # counted, else a shuffled join
+        live = live.join(F.broadcast(known) if small else known, "rep", "left").withColumn("comp", F.coalesce("label", "rep")).drop("label")
+        posts = live.select("rep", "n", "odd", "comp", F.slice("tok", 1, LEADS).alias("lead"), F.posexplode(F.arrays_zip("pos", "tok")).alias("nth", "p"))
+        before = F.slice("lead", 1, F.least("nth", F.lit(LEADS)))
+        return posts.select("rep", "n", "odd", "comp", before.alias("before"), F.col("p.pos").alias("pos"), F.col("p.tok").alias("tok"))
 
     def _stars(self, live: DataFrame, r: int) -> DataFrame:
         """Each member of a shingle and length band against one hub, if it isn't in the hub's component yet.
@@ -302,7 +292,8 @@ class JaccardJoin:
         first = F.col("n").cast("long") if r == 0 else F.xxhash64("rep", F.lit(r))
         live = live.select("tok", "band", "rep", "n", "comp", first.alias("first"))
         hub = live.groupBy("tok", "band").agg(F.min(F.struct("first", "rep", "n", "comp")).alias("hub"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-        hub = hub.filter("lo < hi").select("tok", "band", F.col("hub.rep").alias("a"), F.col("hub.n").alias("an"), F.col("hub.comp").alias("ac"))
+        # as a table, so that a frequent shingle's side of the join below may be split
+        hub = self.scratch.table(hub.filter("lo < hi").select("tok", "band", F.col("hub.rep").alias("a"), F.col("hub.n").alias("an"), F.col("hub.comp").alias("ac")), f"hubs{r}")
         pairs = live.join(hub, ["tok", "band"]).filter((F.col("comp") != F.col("ac")) & (100 * F.least("n", "an") >= self.percent * F.greatest("n", "an")))
         pairs = pairs.select("a", F.col("rep").alias("b")).distinct()
         docs = whole.select("rep", F.struct("n", *[F.col("odd")[i].alias(f"odd{i}") for i in range(PARITY_WORDS)]).alias("d"))
@@ -311,7 +302,7 @@ class JaccardJoin:
 
     @staticmethod
     def _doc():
-        return F.struct("rep", "n", "pos", "comp", *[F.col("odd")[i].alias(f"odd{i}") for i in range(PARITY_WORDS)])
+        return F.struct("rep", "n", "pos", "comp", "before", *[F.col("odd")[i].alias(f"odd{i}") for i in range(PARITY_WORDS)])
 
     def _alike(self):
         """Length filter, and parities that differ in no more places than similar sets may differ in
@@ -326,16 +317,15 @@ class JaccardJoin:
         posts = self._posts(live)
         split = posts.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("tok")
         open_ = self.scratch.table(posts.join(split, "tok", "left_semi").select("tok", self._doc().alias("x")), "open")
-        pairs = open_.join(open_.withColumnRenamed("x", "y"), "tok")
         x, y, p = F.col("x"), F.col("y"), self.percent
         # the smaller set's index prefix meets the larger one's whole prefix
+        index = open_.filter(x.pos < x.n - F.ceil(F.lit(2 * p) * x.n / F.lit(100 + p)) + 1)
+        pairs = index.join(open_.withColumnRenamed("x", "y"), "tok")
         smaller = F.struct(x.n, x.rep) < F.struct(y.n, y.rep)
-        index = x.pos < x.n - F.ceil(F.lit(2 * p) * x.n / F.lit(100 + p)) + 1
-        rows = pairs.filter(smaller & index & (x.comp != y.comp) & self._alike())
-        rows = rows.select(x.rep.alias("a"), y.rep.alias("b"), (x.n - x.pos).alias("xl"), (y.n - y.pos).alias("yl"), F.ceil(F.lit(p) * (x.n + y.n) / F.lit(100 + p)).alias("least"))
         # positional filter: from the first shared shingle on, enough must be left in both
-        rows = rows.groupBy("a", "b").agg(F.max("xl").alias("xl"), F.max("yl").alias("yl"), F.max("least").alias("least"))
-        return rows.filter(F.least("xl", "yl") >= F.col("least")).select("a", "b")
+        left = F.least(x.n - x.pos, y.n - y.pos) >= F.ceil(F.lit(p) * (x.n + y.n) / F.lit(100 + p))
+        first = ~F.arrays_overlap(x.before, y.before)
+        return pairs.filter(smaller & (x.comp != y.comp) & left & self._alike() & first).select(x.rep.alias("a"), y.rep.alias("b")).distinct()
 
     def _near(self, pairs: DataFrame, name: str) -> DataFrame:
         """Those of the candidate pairs that are similar.
@@ -355,8 +345,7 @@ class JaccardJoin:
         own = hubs.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
         own = own.select(F.col("a").alias("doc_id"), F.struct(F.col("a").alias("hub"), "salt").alias("t"))
         targets = self.scratch.table(member.unionByName(own).groupBy("doc_id").agg(F.collect_list("t").alias("targets")), f"{name}-targets")
-        small = targets.limit(BROADCAST_TARGETS + 1).count() <= BROADCAST_TARGETS  # counted, else a shuffled join
-        met = self.docs.join(F.broadcast(targets) if small else targets, "doc_id").select("doc_id", "text", "targets")
+        met = pick_rows(self.docs, "doc_id", targets, BROADCAST_TARGETS).select("doc_id", "text", "targets")
         met = met.mapInArrow(_spread(self.words), "hub long, salt int, doc_id long, tokens binary")
         met = met.repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.col("doc_id") != F.col("hub"))
         return met.mapInArrow(_verify(self.percent), "a long, b long")
@@ -393,5 +382,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     """The rows of ``docs`` with the smallest id of their component; null ids stay."""
     join = JaccardJoin(docs, id_col, text_col, words, percent)
     parts = join.scratch.table(join.components(), "components")
-    gone = parts.filter("doc_id <> component_id").select(F.col("doc_id").alias("_id"))
-    return docs.join(gone, docs[id_col].cast("long") == F.col("_id"), "left_anti")
+    gone = join.scratch.table(parts.filter("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct(), "gone")
+    return drop_rows(docs, docs[id_col].cast("long"), gone)
