@@ -54,6 +54,14 @@ o AS (SELECT *, 2.0 * source_size / w AS r, row_number() OVER (ORDER BY 2.0 * so
 l AS (SELECT a.k, (1.5 * (SELECT sum(source_size) FROM s) - coalesce((SELECT sum(2.0 * b.source_size) FROM o b WHERE b.k < a.k), 0)) / (SELECT sum(b.w) FROM o b WHERE b.k >= a.k) AS rate, a.r FROM o a),
 c AS (SELECT rate, r FROM l WHERE rate <= r ORDER BY k LIMIT 1),
 t AS (SELECT o.source, o.source_size, CASE WHEN o.r < (SELECT r FROM c) THEN 2.0 * o.source_size ELSE o.w * (SELECT rate FROM c) END::DOUBLE AS target FROM o),
-q AS (SELECT source, source_size, target, least(2, floor(target / source_size))::BIGINT AS whole, target - least(2, floor(target / source_size)) * source_size AS lacks FROM t),
-x AS (SELECT d.doc_id, d.size, q.*, sum(d.size) OVER (PARTITION BY q.source ORDER BY ('0x' || substr(md5('mix' || d.doc_id), 1, 13))::BIGINT, d.doc_id) AS upto FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source)
-SELECT doc_id, size, source_size, target, size * (whole + CASE WHEN lacks > 0 AND upto - size / 2.0 <= lacks THEN 1 ELSE 0 END)::BIGINT AS taken FROM x"""
+q AS (SELECT source, source_size, target, CASE WHEN source_size > 0 THEN least(2, floor(target / source_size)) ELSE 0 END::BIGINT AS whole FROM t),
+-- documents above some size are certain; the others are sampled in proportion to size
+g AS (SELECT q.source, d.size, (q.target - q.whole * q.source_size) - coalesce(sum(d.size * count(*)) OVER (PARTITION BY q.source ORDER BY d.size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS rest,
+    sum(d.size::DOUBLE * d.size * count(*)) OVER (PARTITION BY q.source ORDER BY d.size) AS square
+  FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source WHERE d.size > 0 GROUP BY q.source, q.target, q.whole, q.source_size, d.size),
+m AS (SELECT source, max(size) AS largest, arg_max(rest, size) AS lacks, arg_max(rest / square, size) AS rate FROM g WHERE rest * size < square GROUP BY source),
+v AS (SELECT d.doc_id, d.size, q.*, coalesce(m.largest, 0) AS largest, coalesce(m.lacks, 0) AS lacks, greatest(coalesce(m.rate, 0), 0) * d.size AS part,
+    (('0x' || substr(md5('mix' || d.doc_id), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496 AS u
+  FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source LEFT JOIN m ON m.source IS NOT DISTINCT FROM q.source),
+x AS (SELECT *, sum(CASE WHEN size > largest THEN 0 ELSE size END) OVER (PARTITION BY source ORDER BY CASE WHEN size <= largest AND part > 0 THEN (u / (1 - u)) / (part / (1 - part)) ELSE 1e300 END, doc_id) AS upto FROM v)
+SELECT doc_id, size, source_size, target, size * (whole + CASE WHEN size > largest OR (lacks > 0 AND upto - size / 2.0 <= lacks) THEN 1 ELSE 0 END)::BIGINT AS taken FROM x"""
