@@ -9,11 +9,14 @@ shape), from REMOVE on it is removed.  Every entity and pair is scored, those of
 co is taken less DISCOUNT (absolute discounting), so that the chance of small counts weighs
 against them by degrees.
 
+Entities that stand in the same texts have the same counts, so they are counted as one class: a
+long text with many entities of its own gives each of its terms once, not once an entity.
+
 Counts cover the whole corpus: co-occurrences come from the texts that hold entities; df(t)
 from all texts, where a bit map of fixed size first drops terms that can't be candidates and a
 join then keeps the exact ones.
 
-Equal texts count once and get equal spans.  Defined results: null and empty texts have no
+Equal texts (by a 128-bit hash) count once and get equal spans.  Defined results: null and empty texts have no
 spans; null ids keep their row; repeated rows each get one.
 """
 
@@ -28,12 +31,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import WordHashes, bytes_of, needed, salted_lookup, tune
+from graphloom.llm.common import WordHashes, bit_map, bytes_of, map_holds, needed, salted_lookup, tune
 from graphloom.store import Scratch
 
 KINDS = ("email", "ip", "card", "phone")
 ACTIONS = ("generalise", "remove")
-GENERALISE, REMOVE = 0.8, 0.95
+GENERALISE, REMOVE = 0.75, 0.95
 #: Church and Gale's: what a count of a pair is above its expectation in another sample.
 DISCOUNT = 0.75
 #: Bits of the candidate map, whatever the corpus size: 2 MB.
@@ -104,7 +107,7 @@ def _find(batches):
         for raw in bytes_of(batch.column(1)):
             text = raw.decode("utf-8", "replace")
             found = base_spans(text)
-            keys.append(_signed(xxhash.xxh3_64_intdigest(raw)))
+            keys.append(xxhash.xxh3_128_digest(raw))
             spans.append([{"kind": k, "start": a, "end": b} for k, a, b in found])
             if not found:
                 entities.append([])
@@ -122,17 +125,14 @@ def _find(batches):
                     inside.append({"term": _signed(xxhash.xxh3_64_intdigest(term)), "start": a, "end": b})
             terms.append(inside)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(keys, pa.int64()), pa.array(spans, spans_type), pa.array(entities, pa.list_(pa.int64())), pa.array(terms, terms_type)],
-            ["doc_id", "text_key", "base", "entities", "terms"],
+            [batch.column(0), pa.array(keys, pa.binary()), pa.array([_low(k) for k in keys], pa.int64()), pa.array(spans, spans_type), pa.array(entities, pa.list_(pa.int64())), pa.array(terms, terms_type)],
+            ["doc_id", "text_key", "low", "base", "entities", "terms"],
         )
 
 
-def _bits(batches):
-    marks = np.zeros(MAP_BITS // 8, np.uint8)
-    for batch in batches:
-        cells = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) & np.uint64(MAP_BITS - 1)
-        np.bitwise_or.at(marks, (cells >> np.uint64(3)).astype(np.int64), (1 << (cells & np.uint64(7))).astype(np.uint8))
-    yield pa.RecordBatch.from_arrays([pa.array([marks.tobytes()], pa.binary())], ["marks"])
+def _low(key: bytes) -> int:
+    """A text key's part that bit maps go by."""
+    return int.from_bytes(key[:8], "little", signed=True)
 
 
 def _candidates(marks, copied):
@@ -141,12 +141,8 @@ def _candidates(marks, copied):
     Texts that may have copies come one by one with their key, all others as sums.
     """
 
-    def hit(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
-        cells = values & np.uint64(MAP_BITS - 1)
-        return ((bits[(cells >> np.uint64(3)).astype(np.int64)] >> (cells & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
-
-    def rows(terms: list[int], keys: list[int | None], counts: list[int]):
-        return pa.RecordBatch.from_arrays([pa.array(terms, pa.int64()), pa.array(keys, pa.int64()), pa.array(counts, pa.int64())], ["term", "text_key", "n"])
+    def rows(terms: list[int], keys: list[bytes | None], counts: list[int]):
+        return pa.RecordBatch.from_arrays([pa.array(terms, pa.int64()), pa.array(keys, pa.binary()), pa.array(counts, pa.int64())], ["term", "text_key", "n"])
 
     def run(batches):
         hashes, bits, copies = WordHashes(), np.frombuffer(marks.value, np.uint8), np.frombuffer(copied.value, np.uint8)
@@ -155,10 +151,10 @@ def _candidates(marks, copied):
             out, keys = [], []
             for raw in bytes_of(batch.column(0)):
                 terms = np.array([hashes[t] for t in set(raw.translate(_CUT).lower().split())], np.uint64)
-                terms = terms[hit(bits, terms)].view(np.int64).tolist()
-                key = xxhash.xxh3_64_intdigest(raw)
-                if hit(copies, np.array([key], np.uint64))[0]:
-                    keys += [_signed(key)] * len(terms)
+                terms = terms[map_holds(bits, MAP_BITS, terms)].view(np.int64).tolist()
+                key = xxhash.xxh3_128_digest(raw)
+                if map_holds(copies, MAP_BITS, np.array([_low(key)], np.int64).view(np.uint64))[0]:
+                    keys += [key] * len(terms)
                     out += terms
                 else:
                     sums.update(terms)
@@ -172,41 +168,47 @@ def _candidates(marks, copied):
     return run
 
 
-def _map_of(spark, values: DataFrame):
-    """Bit map of a column of hashes, of fixed size."""
-    marks = np.zeros(MAP_BITS // 8, np.uint8)
-    for row in values.mapInArrow(_bits, "marks binary").toLocalIterator():
-        marks |= np.frombuffer(row.marks, np.uint8)
-    return spark.sparkContext.broadcast(marks.tobytes())
+_ACTION = "array<struct<kind:string,start:int,end:int>>"
+
+
+def _holding(found: DataFrame) -> DataFrame:
+    """text_key, terms of the distinct texts that hold entities."""
+    return found.filter(F.size("entities") > 0).select("text_key", F.array_distinct(F.transform("terms", lambda t: t.term)).alias("terms")).dropDuplicates(["text_key"])
+
+
+def _classes(scratch: Scratch, found: DataFrame) -> DataFrame:
+    """text_key, class, df_e: the classes of entities in each text, and in how many texts a class is."""
+    pairs = scratch.table(found.filter(F.size("entities") > 0).select("text_key", F.explode("entities").alias("entity")).distinct(), "pairs")
+    texts = [F.bit_xor(F.xxhash64("text_key", F.lit(i))).alias(f"x{i}") for i in range(2)]
+    known = pairs.groupBy("entity").agg(F.count("*").alias("df_e"), *texts).select("entity", "df_e", F.xxhash64("df_e", "x0", "x1").alias("class"))
+    # a hot entity stands in many texts; AQE splits its side of this join
+    return scratch.table(pairs.join(known, "entity").select("text_key", "class", "df_e").distinct(), "classes")
 
 
-def _disclosing(scratch: Scratch, found: DataFrame, docs: DataFrame, generalise: float, remove: float) -> DataFrame:
-    """entity, term, action: the terms that reveal enough of an entity."""
+def _disclosing(scratch: Scratch, found: DataFrame, classes: DataFrame, docs: DataFrame, generalise: float, remove: float) -> DataFrame:
+    """class, term, action: the terms that reveal enough of a class of entities."""
     spark = scratch.spark
-    texts = found.select("text_key").distinct().count()
-    # copies are no evidence: one row a text
-    holding = found.filter(F.size("entities") > 0).select("text_key", "entities", F.array_distinct(F.transform("terms", lambda t: t.term)).alias("terms"))
-    pairs = found.filter(F.size("entities") > 0).select("text_key", F.explode("entities").alias("entity")).distinct()
-    known = scratch.table(pairs.groupBy("entity").agg(F.count("*").alias("df_e")), "entities")
-    # hot entities stand in many texts; AQE splits their side of these joins
-    together = pairs.join(holding.dropDuplicates(["text_key"]).select("text_key", "terms"), "text_key").select("entity", F.explode("terms").alias("term"))
-    together = together.groupBy("entity", "term").agg(F.count("*").alias("co"))
+    texts, holding = found.select("text_key").distinct().count(), _holding(found)
+    known = classes.select("class", "df_e").distinct()
+    together = classes.join(holding, "text_key").select("class", F.explode("terms").alias("term"))
+    together = together.groupBy("class", "term").agg(F.count("*").alias("co"))
     # a term is as frequent at least as in the texts that hold entities; that rules out common words
-    rare = holding.dropDuplicates(["text_key"]).select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df_least"))
+    rare = holding.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df_least"))
     most = (F.col("co") - DISCOUNT) * F.pow(F.lit(float(texts)) / F.col("df_e"), F.lit(1 - generalise)) * (1 + 1e-9)
-    together = scratch.table(together.join(rare, "term").join(known, "entity").filter(F.col("df_least") <= most).select("entity", "term", "co"), "rare")
+    together = scratch.table(together.join(rare, "term").join(known, "class").filter(F.col("df_least") <= most).select("class", "df_e", "term", "co"), "rare")
     if together.isEmpty():
-        return together.select("entity", "term", F.lit("").alias("action"))
-    copied = found.groupBy("text_key").count().filter("count > 1").select("text_key")
-    seen = docs.select("text").mapInArrow(_candidates(_map_of(spark, together.select("term")), _map_of(spark, copied)), "term long, text_key long, n long")
+        return together.select("class", "term", F.lit("").alias("action"))
+    copied = found.groupBy("text_key", "low").count().filter("count > 1").select("low")
+    marks = [spark.sparkContext.broadcast(bit_map(values, MAP_BITS)) for values in (together.select("term").distinct(), copied)]
+    seen = docs.select("text").mapInArrow(_candidates(*marks), "term long, text_key binary, n long")
     seen = seen.join(together.select("term").distinct(), "term", "left_semi").groupBy("term", "text_key").agg(F.sum("n").alias("n"))
     often = seen.groupBy("term").agg(F.sum(F.when(F.col("text_key").isNull(), F.col("n")).otherwise(1)).alias("df_t"))
     n = F.lit(float(texts))
-    measured = together.join(often, "term").join(known, "entity")
+    measured = together.join(often, "term")
     measured = measured.withColumn("pmi", F.log2(n * (F.col("co") - DISCOUNT) / (F.col("df_e") * F.col("df_t")))).withColumn("whole", F.log2(n / F.col("df_e")))
     share = F.when(F.col("whole") > 0, F.col("pmi") / F.col("whole")).otherwise(F.lit(0.0))
     action = F.when(share >= remove, F.lit("remove")).when(share >= generalise, F.lit("generalise"))
-    return measured.select("entity", "term", action.alias("action")).filter("action is not null")
+    return measured.select("class", "term", action.alias("action")).filter("action is not null")
 
 
 def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
@@ -220,17 +222,19 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kinds = dict(docs.dtypes)
     found = docs.mapInArrow(
         _find,
-        f"doc_id {kinds['doc_id']}, text_key long, base array<struct<kind:string,start:int,end:int>>, entities array<long>, terms array<struct<term:long,start:int,end:int>>",
+        f"doc_id {kinds['doc_id']}, text_key binary, low long, base array<struct<kind:string,start:int,end:int>>, entities array<long>, terms array<struct<term:long,start:int,end:int>>",
     )
     found = scratch.table(found, "found")
-    pairs = scratch.table(_disclosing(scratch, found, docs, generalise, remove), "disclosing")
-    one = found.filter(F.size("entities") > 0).select("text_key", "entities").distinct().select("text_key", F.explode("entities").alias("entity"))
-    hits = one.join(pairs, "entity").groupBy("text_key", "term").agg(F.max("action").alias("action"))  # remove outranks generalise
+    classes = _classes(scratch, found)
+    reveal = scratch.table(_disclosing(scratch, found, classes, docs, generalise, remove), "disclosing")
+    # only terms that stand in the text itself meet the lists of its classes
+    there = classes.join(reveal.select("class").distinct(), "class", "left_semi").join(_holding(found), "text_key").select("text_key", "class", F.explode("terms").alias("term"))
+    hits = there.join(reveal, ["class", "term"]).groupBy("text_key", "term").agg(F.max("action").alias("action"))  # remove outranks generalise
     places = found.filter(F.size("entities") > 0).select("text_key", "terms").dropDuplicates(["text_key"]).select("text_key", F.explode("terms").alias("t")).select("text_key", "t.*")
     spans = places.join(hits, ["text_key", "term"]).select("text_key", F.struct(F.col("action").alias("kind"), "start", "end").alias("s"))
     spans = scratch.table(spans.groupBy("text_key").agg(F.array_sort(F.collect_list("s")).alias("terms")), "spans")
     rows = salted_lookup(found.select("doc_id", "text_key", "base"), spans, "text_key", F.xxhash64("doc_id"))
-    return rows.select("doc_id", "text_key", "base", F.coalesce("terms", F.array().cast("array<struct<kind:string,start:int,end:int>>")).alias("terms"))
+    return rows.select("doc_id", "text_key", "base", F.coalesce("terms", F.array().cast(_ACTION)).alias("terms"))
 
 
 def _shape(word: str) -> str:
@@ -241,11 +245,12 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     """doc_id, text: base spans become their kind's mark, terms are generalised to their shape or removed."""
     spans = find_spans(docs, id_col, text_col, **limits)
     spans = spans.select("text_key", F.concat("base", "terms").alias("spans")).filter(F.size("spans") > 0).dropDuplicates(["text_key"])
+    spans = Scratch(docs.sparkSession, "sanitise").table(spans, "spans")
 
     def keyed(batches):
         for batch in batches:
-            keys = [_signed(xxhash.xxh3_64_intdigest(raw)) for raw in bytes_of(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.int64())], ["doc_id", "text", "text_key"])
+            keys = [xxhash.xxh3_128_digest(raw) for raw in bytes_of(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary())], ["doc_id", "text", "text_key"])
 
     def rewrite(batches):
         for batch in batches:
@@ -264,8 +269,8 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
 
     rows = needed(docs, doc_id=id_col, text=text_col)
     kind = dict(rows.dtypes)["doc_id"]
-    rows = rows.mapInArrow(keyed, f"doc_id {kind}, text string, text_key long")
-    return rows.join(spans, "text_key", "left").select("doc_id", "text", "spans").mapInArrow(rewrite, f"doc_id {kind}, text string")
+    rows = rows.mapInArrow(keyed, f"doc_id {kind}, text string, text_key binary")
+    return salted_lookup(rows, spans, "text_key", F.xxhash64("doc_id")).select("doc_id", "text", "spans").mapInArrow(rewrite, f"doc_id {kind}, text string")
 
 
 def digest(spans: DataFrame) -> DataFrame:

@@ -69,6 +69,11 @@ def op10_pii(spark, sf_dir):
     return pii.digest(pii.find_spans(_read(spark, sf_dir, "documents")))
 
 
+def op10_pii_sanitised(spark, sf_dir):
+    """The texts that the operator gives out."""
+    return pii.sanitise(_read(spark, sf_dir, "documents"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -79,6 +84,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_license_scan, op2_exact_dedup, op3_token_counts, op4_url_filter, op5_language_id, op5_language_id_pages,
-        op6_decontamination, op7_html_extraction, op8_ngram_jaccard, op9_mixing, op10_pii, pipeline,
+        op6_decontamination, op7_html_extraction, op8_ngram_jaccard, op9_mixing, op10_pii, op10_pii_sanitised, pipeline,
     )
 }
