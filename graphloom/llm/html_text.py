@@ -9,12 +9,14 @@ parses again and extracts the elements at the host's winning path; a page that h
 way an element inside an article, or else inside main, stands for all of that article or main.
 
 In the container, menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles
-and comment sections are left out, by tag or by the words of class, id and role.  Character
+and comment sections are left out, by tag or by the words of class, id and role; the header of an
+article or main is the article's and stays.  Character
 references are decoded, white space inside a block becomes one space, blocks are joined by \\n.
 
 Defined results: null and empty pages give an empty text; pages without markup give their text;
-unclosed and crossing tags are closed as browsers do for p, li, td and the like; a null url is
-the empty host; repeated pages each get a row.
+unclosed and crossing tags are closed as browsers do for p, li, td and the like; a quote in a tag
+that never closes is a plain character, and so are all later ones; a null url is the empty host;
+repeated pages each get a row.  Parsing takes time in proportion to a page, however it nests.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ import re
 from collections import Counter
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,19 +34,20 @@ from graphloom.llm.common import needed, salted_lookup, tune
 from graphloom.llm.url_filter import host_and_path
 from graphloom.store import Scratch
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"(/?)([A-Za-z][^\s/>]*)")
+_PLAIN = re.compile(r"[^>\"']*")
 _ATTRIBUTE = re.compile(r"(?:^|[\s/])(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?(?=[\s/]|$)", re.I)
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"[a-z]+")
 
-RAW = frozenset("script style noscript template textarea iframe svg math object xmp noembed noframes title".split())
+RAW = frozenset("script style noscript template textarea iframe svg object xmp noembed noframes title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 "
     "header hgroup html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul hr".split()
 )
 #: Elements that are never main text.
-DROP = RAW | frozenset("head nav header footer aside form button select dialog menu input label fieldset datalist output canvas audio video map".split())
+DROP = RAW | frozenset("head nav header footer aside form button select dialog menu input label fieldset datalist output canvas audio video map annotation".split())
 #: Words of class, id or role that mark what isn't main text.
 BOILER = frozenset(
     "ad ads advert adverts advertisement advertising banner banners sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb breadcrumbs "
@@ -65,15 +69,34 @@ _SENTENCE = re.compile(r"[.!?,;:]")
 OUTVOTED = 3
 
 
+#: For each kind of element that an opening tag may close: an open paragraph, and the sets in CLOSES.
+_KINDS = [frozenset({"p"}), *dict.fromkeys(map(frozenset, CLOSES.values()))]
+_CLOSED_BY = {name: _KINDS.index(frozenset(kinds)) for name, kinds in CLOSES.items()}
+_MARKED = _SCOPE.union(*_KINDS)
+
+
 class Node:
-    __slots__ = ("children", "drop", "name", "parent", "step")
+    """An element.  What tags to come ask of the elements around them is worked out once, from its parent."""
+
+    __slots__ = ("article", "children", "drop", "main", "name", "near", "parent", "path", "step")
 
     def __init__(self, name: str, parent: Node | None, step: str, drop: bool):
         self.name, self.parent, self.step, self.drop, self.children = name, parent, step, drop, []
+        if parent is None:
+            self.near, self.article, self.main, self.path = (None,) * len(_KINDS), None, None, b""
+            return
+        self.path = xxhash.xxh3_128_digest(parent.path + step.encode("utf-8", "replace"))
+        self.article = parent.article or (self if name == "article" else None)
+        self.main = parent.main or (self if name == "main" else None)
+        self.near = parent.near
+        if name in _MARKED:  # the outermost open element of each kind in this scope
+            self.near = tuple((up or self) if name in kind else None if name in _SCOPE else up for kind, up in zip(_KINDS, parent.near, strict=True))
 
 
 def _open(name: str, attributes: str, parent: Node) -> Node:
     kinds, drop, step = [], name in DROP, name
+    if name == "header" and (parent.article or parent.main):  # of the article, not of the site
+        drop = False
     if attributes.strip():
         for key, value in _ATTRIBUTE.findall(attributes):
             key, value = key.lower(), value.strip("\"'").lower()
@@ -89,50 +112,89 @@ def _open(name: str, attributes: str, parent: Node) -> Node:
     return Node(name, parent, step, drop)
 
 
+class _Tags:
+    """Tags of a page in one pass: (start, end, closing, name, attributes), name empty for comments and the like.
+
+    A quote that never closes would swallow the page; from the first tag with one on, quotes count
+    as plain characters.  So no part of a page is read more than twice.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.last, self.quotes = page, page.rfind(">"), True
+
+    def _end(self, at: int) -> int:
+        """Where the tag that ``at`` lies in has its ">"."""
+        page, i = self.page, at
+        near = page.find(">", at)
+        if not self.quotes or (page.find('"', at, near) < 0 and page.find("'", at, near) < 0):
+            return near
+        while self.quotes:
+            i = _PLAIN.match(page, i).end()
+            if i < len(page) and page[i] == ">":
+                return i
+            i = page.find(page[i], i + 1) + 1 if i < len(page) else 0
+            if not i:
+                self.quotes = False
+        return near
+
+    def after(self, at: int):
+        page = self.page
+        while (start := page.find("<", at)) >= 0:
+            if page.startswith(("<!--", "<![CDATA["), start):
+                close = "-->" if page.startswith("<!--", start) else "]]>"
+                end = page.find(close, start + 4)
+                return start, len(page) if end < 0 else end + 3, "", "", ""
+            if start > self.last:
+                return None
+            if page.startswith(("<!", "<?"), start):
+                return start, page.find(">", start) + 1, "", "", ""
+            if m := _NAME.match(page, start + 1):
+                end = self._end(m.end())
+                return start, end + 1, m[1], m[2].lower(), page[m.end() : end]
+            at = start + 1
+        return None
+
+
 def parse(page: str) -> Node:
     """A forgiving tree: text and elements in page order."""
     root = node = Node("#root", None, "", False)
+    tags, opened = _Tags(page), Counter()
     at, end = 0, len(page)
-    while at < end:
-        m = _TOKEN.search(page, at)
-        if not m:
-            break
-        if m.start() > at:
-            node.children.append(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
+    while tag := tags.after(at):
+        start, stop, closing, name, attributes = tag
+        if start > at:
+            node.children.append(page[at:start])
+        at = stop
+        if not name:
             continue
-        name = m[2].lower()
-        if m[1]:
-            up = node
-            while up is not root and up.name != name:
-                up = up.parent
-            if up is not root:
-                node = up.parent
+        if closing:
+            if opened[name]:
+                while node.name != name:
+                    opened[node.name] -= 1
+                    node = node.parent
+                opened[name] -= 1
+                node = node.parent
             continue
+        close = None
         if name == "p" or (name in BLOCK and name not in ("td", "th", "tr", "li", "option")):  # a block closes an open paragraph
-            up = node
-            while up is not root and up.name != "p" and up.name not in _SCOPE:
-                up = up.parent
-            if up.name == "p":
-                node = up.parent
-        if name in CLOSES:
-            up, found = node, None
-            while up is not root and (up.name not in _SCOPE or up.name in CLOSES[name]):
-                if up.name in CLOSES[name]:
-                    found = up
-                up = up.parent
-            if found:
-                node = found.parent
-        child = _open(name, m[3], node)
+            close = node.near[0]
+        if name in _CLOSED_BY:
+            close = close or node.near[_CLOSED_BY[name]]
+        while close is not None:
+            opened[node.name] -= 1
+            node, done = node.parent, node is close
+            if done:
+                close = node.near[_CLOSED_BY[name]] if name in _CLOSED_BY else None
+        child = _open(name, attributes, node)
         node.children.append(child)
-        if name in VOID or m[3].endswith("/") and name not in BLOCK:
+        if name in VOID or attributes.endswith("/") and name not in BLOCK:
             continue
         if name in RAW:
-            stop = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            at = stop.end() if stop else end
+            shut = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
+            at = shut.end() if shut else end
             continue
         node = child
+        opened[name] += 1
     if at < end:
         node.children.append(page[at:])
     return root
@@ -174,11 +236,8 @@ def blocks(node: Node) -> list[str]:
 
 
 def path_of(node: Node) -> str:
-    steps = []
-    while node is not None and node.step:
-        steps.append(node.step)
-        node = node.parent
-    return "/".join(reversed(steps))
+    """A hash of the tag-class path to the node, and its last step: paths of deep trees would be long keys."""
+    return f"{node.path.hex()}/{node.step}" if node.parent is not None else ""
 
 
 def best_containers(root: Node) -> list[tuple[float, Node]]:
@@ -230,10 +289,7 @@ def vote(page: str) -> list[tuple[str, float]]:
 
 def _whole(node: Node) -> Node:
     """The outermost article that holds a node, else the outermost main, else the node itself."""
-    above = [node]
-    while above[-1].parent is not None:
-        above.append(above[-1].parent)
-    return next((a for name in ("article", "main") for a in reversed(above) if a.name == name), node)
+    return node.article or node.main or node
 
 
 def extract(page: str, path: str | None) -> str:
@@ -243,12 +299,12 @@ def extract(page: str, path: str | None) -> str:
     own = blocks(_whole(ranked[0][1])) if ranked else blocks(root)
     if path is None:
         return "\n".join(own)
-    at, todo = [], [root]
+    at, todo, key = [], [root], bytes.fromhex(path.partition("/")[0])
     while todo:
         node = todo.pop()
         for child in node.children:
             if isinstance(child, Node) and not child.drop:
-                if path.endswith(child.step) and path_of(child) == path:
+                if child.path == key:
                     at.append(child)
                 todo.append(child)
     if path == "" or not at:
