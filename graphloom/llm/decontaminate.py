@@ -5,11 +5,14 @@ bottom-m shingles under one hash permutation; sketches are partitioned by the it
 and m grows with the size class so that a document with ``percent`` of the item's q shingles
 must hold a sketch member: m = q - ceil(percent q) + 1, so no containment is missed (the usual
 banded index can't promise that when a document is a thousand times longer than the item).
-A document is probed with all its shingles, size classes that its own set can't contain are
-skipped, and candidates are verified by the exact share of the item's shingles in the text,
-compared as word tuples.
-
-The item set is a stated query set, read in blocks of BLOCK items; a task holds one block.
+A document's sketch has a depth of its own for each size class: of n shingles that the items know,
+the bottom n - a + 1, where a is the least that an item of that class needs; a class that the
+document is too small for isn't looked at.  Sketches of both sides meet wherever the containment
+holds, and candidates are verified by the exact share of the item's shingles in the text, compared
+as word tuples.
+
+The item set is a stated query set, read in blocks of BLOCK items or BLOCK_BYTES of text; the
+driver indexes a block once and broadcasts it.  Each block reads the documents once.
 Documents are never shuffled, so a hot passage costs its own rows only.
 
 Words are lower-cased (A-Z) and cut at [\\x20\\x09-\\x0D].  Defined results: null and empty texts
@@ -24,15 +27,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import bytes_of, mix, needed, tune
+from graphloom.llm.common import bytes_of, drop_rows, mix, needed, tune
 from graphloom.store import Scratch
 
-#: Items in one block: the bound on what a task and the driver hold at once.
-BLOCK = 20_000
+#: Items and bytes of text in one block: the bounds on what a task and the driver hold of the items (one longer item is a block).
+BLOCK, BLOCK_BYTES = 20_000, 16 << 20
 
 
 def shingle_tuples(text: bytes, k: int) -> list[tuple[bytes, ...]]:
-    words = text.lower().split()
+    return _tuples(text.lower().split(), k)
+
+
+def _tuples(words: list[bytes], k: int) -> list[tuple[bytes, ...]]:
     if not words:
         return []
     width = min(k, len(words))
@@ -44,30 +50,27 @@ class ItemIndex:
 
     def __init__(self, items: list[tuple[int | None, bytes]], k: int, percent: int):
         self.k, self.percent = k, percent
-        self.items = [(i, s) for i, t in items if (s := set(shingle_tuples(t, k)))]
+        texts = [(i, words) for i, t in items if (words := t.lower().split())]
         self.vocabulary: dict[bytes, int] = {}
-        for _, s in self.items:
-            for t in s:
-                for w in t:
-                    self.vocabulary.setdefault(w, len(self.vocabulary) + 1)
-        self.widths = sorted({len(t) for _, s in self.items for t in s})
+        for _, words in texts:
+            for w in words:
+                self.vocabulary.setdefault(w, len(self.vocabulary) + 1)
+        self.items = [(i, set(_tuples(words, k))) for i, words in texts]
+        self.widths = sorted({min(k, len(words)) for _, words in texts})
         #: size class (bit length of the item's set) to sketch member to items
         self.sketches: dict[int, dict[int, list[int]]] = {}
-        for at, (_, s) in enumerate(self.items):
-            q = len(s)
-            bottom = sorted(self._hash(t) for t in s)[: q - self.least(q) + 1]
+        for at, (_, words) in enumerate(texts):
+            ids = np.array([self.vocabulary[w] for w in words], np.uint64)
+            hashes = np.unique(self._hashes(ids, min(k, len(words))))
+            q = len(self.items[at][1])
             members = self.sketches.setdefault(q.bit_length(), {})
-            for h in bottom:
+            for h in hashes[: q - self.least(q) + 1].tolist():
                 members.setdefault(h, []).append(at)
         self.sorted = {c: np.array(sorted(m), np.uint64) for c, m in self.sketches.items()}
 
     def least(self, q: int) -> int:
         return -(-self.percent * q // 100)
 
-    def _hash(self, words: tuple[bytes, ...]) -> int:
-        ids = np.array([self.vocabulary[w] for w in words], np.uint64)
-        return int(self._hashes(ids, len(words))[0])
-
     @staticmethod
     def _hashes(ids: np.ndarray, width: int) -> np.ndarray:
         acc = mix(ids[: len(ids) - width + 1])
@@ -90,9 +93,10 @@ class ItemIndex:
                 continue
             hashes = np.unique(self._hashes(ids, width)[known])
             for size, members in self.sorted.items():
-                if len(hashes) < self.least(1 << (size - 1)):
+                depth = len(hashes) - self.least(1 << (size - 1)) + 1
+                if depth < 1:
                     continue  # too few known shingles for any item of this class
-                hit = members[np.isin(members, hashes, assume_unique=True)]
+                hit = members[np.isin(members, hashes[:depth], assume_unique=True)]
                 for h in hit.tolist():
                     seen.update(self.sketches[size][h])
         if seen:
@@ -105,9 +109,9 @@ class ItemIndex:
                     yield item, both, len(wanted)
 
 
-def _probe(items, k: int, percent: int):
+def _probe(shared):
     def run(batches):
-        index = ItemIndex(items.value, k, percent)
+        index = shared.value
         for batch in batches:
             rows = [(doc, *found) for doc, text in zip(batch.column(0).to_pylist(), bytes_of(batch.column(1)), strict=True) for found in index.search(text)]
             columns = list(zip(*rows, strict=True)) if rows else [()] * 4
@@ -123,16 +127,19 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
     docs = needed(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     items = needed(items, item_id=item_id, text=item_text).select(F.col("item_id").cast("long").alias("item_id"), F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("text"))
     found, block = [], []
+    size = 0
 
     def probe() -> None:
-        shared = spark.sparkContext.broadcast(list(block))
-        found.append(docs.mapInArrow(_probe(shared, words, percent), "doc_id long, item_id long, shared long, item_shingles long"))
+        shared = spark.sparkContext.broadcast(ItemIndex(block, words, percent))
+        found.append(docs.mapInArrow(_probe(shared), "doc_id long, item_id long, shared long, item_shingles long"))
         block.clear()
 
     for row in items.toLocalIterator():
         block.append((row.item_id, bytes(row.text)))
-        if len(block) == BLOCK:
+        size += len(row.text)
+        if len(block) == BLOCK or size > BLOCK_BYTES:
             probe()
+            size = 0
     if block or not found:
         probe()
     out = found[0]
@@ -145,4 +152,4 @@ def clean_rows(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     """The rows of ``docs`` that contain no item, with all their columns; rows that share an id go together."""
     scratch = Scratch(docs.sparkSession, "leaks")
     leaks = scratch.table(contained_items(docs, items, id_col, text_col, item_text=item_text, words=words, percent=percent).select(F.col("doc_id").alias("_id")).distinct(), "leaks")
-    return docs.join(leaks, docs[id_col].cast("long").eqNullSafe(F.col("_id")), "left_anti")
+    return drop_rows(docs, docs[id_col].cast("long"), leaks)
