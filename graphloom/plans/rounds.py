@@ -40,8 +40,8 @@ def fixpoint(init: DataFrame, step: Callable[[DataFrame, int], DataFrame], chang
     for i in range(1, max_iter + 1):
         state, seen = rounds.cut(step(state, i), changed=changed)
         if not seen["changed"]:
-            break
-    return state
+            return state
+    raise RuntimeError(f"{label} still changes after {max_iter} rounds")
 
 
 def bucket_loop(state: DataFrame, step: Callable[[DataFrame, DataFrame, int], DataFrame], order: str = "increasing", max_iter: int = 10_000, label: str = "buckets") -> DataFrame:

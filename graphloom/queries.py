@@ -15,7 +15,6 @@ from graphloom.sources.derived import cust_supp, hub, order_part, part_next, par
 from graphloom.store import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SPARSE, SPARSER, SPARSEST = 30, 100, 500
 THREADS, PART_KB = 4, 512
 CENTROIDS = [[0, 0, 0], [1, 2, 3], [2, 2, 2], [3, 3, 4]]
 
@@ -25,22 +24,6 @@ def query(f):
     return f
 
 
-def sampled(m: int):
-    """Two queries of one operator: ``f`` over the orders that ``m`` divides, as its SQL twin reads them, and ``f_whole`` over all."""
-
-    def register(f):
-        for name, step in ((f.__name__, m), (f"{f.__name__}_whole", 1)):
-
-            def run(s, d, step=step):
-                return f(s, d, step)
-
-            run.__name__ = name
-            query(run)
-        return f
-
-    return register
-
-
 def _r(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.round(F.col(n), 9) for n in names})
 
@@ -72,24 +55,24 @@ def degree_decades(s, d):
     return metrics.degree_histogram(part_next(s, d))
 
 
-@sampled(SPARSE)
-def graph_transpose(s, d, m):
-    return part_next(s, d, m).transpose().edges
+@query
+def graph_transpose(s, d):
+    return part_next(s, d).transpose().edges
 
 
-@sampled(SPARSE)
-def graph_symmetrize(s, d, m):
-    return part_sym(s, d, m).edges
+@query
+def graph_symmetrize(s, d):
+    return part_sym(s, d).edges
 
 
-@sampled(SPARSE)
-def graph_adjacency(s, d, m):
-    return part_sym(s, d, m).adjacency().select("id", F.array_join(F.transform("nbrs", lambda x: x.cast("string")), " ").alias("nbrs"))
+@query
+def graph_adjacency(s, d):
+    return part_sym(s, d).adjacency().select("id", F.array_join(F.transform("nbrs", lambda x: x.cast("string")), " ").alias("nbrs"))
 
 
-@sampled(SPARSE)
-def weighted_simplify(s, d, m):
-    g = part_weighted(s, d, m)
+@query
+def weighted_simplify(s, d):
+    g = part_weighted(s, d)
     twice = g.edges.unionByName(g.edges.withColumn("w", F.col("w") + 1))
     return PropertyGraph(g.vertices, twice).simplify().edges
 
@@ -190,9 +173,9 @@ def remove_duplicates(s, d):
     return primitives.remove_duplicates(part_next(s, d).edges.select("dst"), "dst")
 
 
-@sampled(SPARSE)
-def search(s, d, m):
-    g = part_next(s, d, m)
+@query
+def search(s, d):
+    g = part_next(s, d)
     return primitives.search(g.edges, g.vertices.select(F.col("id").alias("probe")), "src")
 
 
@@ -236,15 +219,15 @@ def order_map(s, d):
     return reorder.order_map(table(s, d, "part").select(F.col("p_partkey").alias("old_id"), (n - 1 - F.col("p_partkey")).alias("new_id")))
 
 
-@sampled(SPARSE)
-def relabel_so(s, d, m):
-    g = part_next(s, d, m)
+@query
+def relabel_so(s, d):
+    g = part_next(s, d)
     return g.relabel(reorder.order_sort(g)).edges
 
 
-@sampled(SPARSE)
-def relabel_weighted(s, d, m):
-    g = part_weighted(s, d, m)
+@query
+def relabel_weighted(s, d):
+    g = part_weighted(s, d)
     return g.relabel(reorder.order_sort(g)).edges
 
 
@@ -284,15 +267,15 @@ def overflow(s, d):
     return metrics.overflow(part_next(s, d), 64)
 
 
-@sampled(SPARSE)
-def modularity(s, d, m):
-    g = part_next(s, d, m)
+@query
+def modularity(s, d):
+    g = part_next(s, d)
     return _r(metrics.modularity(g, g.vertices.select("id", F.floor(F.col("id") / 50).alias("label"))), "value")
 
 
-@sampled(SPARSE)
-def rabbit_adjacency(s, d, m):
-    return reorder.rabbit_adjacency(part_next(s, d, m))
+@query
+def rabbit_adjacency(s, d):
+    return reorder.rabbit_adjacency(part_next(s, d))
 
 
 @query
@@ -333,9 +316,9 @@ def order_checks(s, d):
 # traversal
 
 
-@sampled(SPARSE)
-def bfs_levels(s, d, m):
-    g = _kept(part_sym(s, d, m))
+@query
+def bfs_levels(s, d):
+    g = _kept(part_sym(s, d))
     return traverse.bfs(g, hub(g)).filter("level is not null").groupBy("level").agg(F.count("*").alias("n"))
 
 
@@ -351,29 +334,29 @@ def bfs_bitvector(s, d):
     return traverse.bfs_bitvector(g, hub(g)).select("id", "level")
 
 
-@sampled(SPARSE)
-def components(s, d, m):
-    return traverse.components(part_sym(s, d, m))
+@query
+def components(s, d):
+    return traverse.components(part_sym(s, d))
 
 
-@sampled(SPARSE)
-def components_shortcut(s, d, m):
-    return traverse.components(part_sym(s, d, m), shortcut=True)
+@query
+def components_shortcut(s, d):
+    return traverse.components(part_sym(s, d), shortcut=True)
 
 
-@sampled(SPARSE)
-def components_directed(s, d, m):
-    return traverse.components(part_next(s, d, m))
+@query
+def components_directed(s, d):
+    return traverse.components(part_next(s, d))
 
 
-@sampled(SPARSER)
-def bfs_cc(s, d, m):
-    return traverse.bfs_cc(part_next(s, d, m))
+@query
+def bfs_cc(s, d):
+    return traverse.bfs_cc(part_next(s, d))
 
 
-@sampled(SPARSE)
-def sssp(s, d, m):
-    g = _kept(part_weighted(s, d, m))
+@query
+def sssp(s, d):
+    g = _kept(part_weighted(s, d))
     return traverse.sssp(g, hub(g), "w")
 
 
@@ -401,9 +384,9 @@ def gas_sssp(s, d):
     return gas.gas_sssp(g, hub(g))
 
 
-@sampled(SPARSER)
-def gas_cc(s, d, m):
-    return gas.gas_cc(part_next(s, d, m))
+@query
+def gas_cc(s, d):
+    return gas.gas_cc(part_next(s, d))
 
 
 # ranking
@@ -415,13 +398,8 @@ def pagerank10(s, d):
 
 
 @query
-def pagerank10_sparse(s, d):
-    return _r(ranking.pagerank(part_sym(s, d, SPARSE)), "rank")
-
-
-@sampled(SPARSE)
-def pagerank_delta(s, d, m):
-    return _r(ranking.pagerank_delta(part_sym(s, d, m), max_iter=5), "rank")
+def pagerank_delta(s, d):
+    return _r(ranking.pagerank_delta(part_sym(s, d), max_iter=5), "rank")
 
 
 @query
@@ -448,14 +426,14 @@ def triangles_per_vertex(s, d):
     return decompose.triangles(part_sym(s, d)).withColumnRenamed("count", "n")
 
 
-@sampled(SPARSE)
-def kcore(s, d, m):
-    return decompose.kcore(part_sym(s, d, m))
+@query
+def kcore(s, d):
+    return decompose.kcore(part_sym(s, d))
 
 
-@sampled(SPARSE)
-def mis(s, d, m):
-    return decompose.mis(part_sym(s, d, m))
+@query
+def mis(s, d):
+    return decompose.mis(part_sym(s, d))
 
 
 @query
@@ -486,15 +464,15 @@ def set_cover_check(s, d):
 # hypergraphs
 
 
-@sampled(SPARSE)
-def hyper_bfs(s, d, m):
-    h = order_part(s, d, m)
+@query
+def hyper_bfs(s, d):
+    h = order_part(s, d)
     return hyper.hyper_bfs(h, 0).select("side", "id", "level")
 
 
-@sampled(SPARSER)
-def hyper_cc(s, d, m):
-    return hyper.hyper_cc(order_part(s, d, m))
+@query
+def hyper_cc(s, d):
+    return hyper.hyper_cc(order_part(s, d))
 
 
 @query
@@ -502,19 +480,19 @@ def hyper_sssp(s, d):
     return hyper.hyper_sssp(generate.add_hyper_weights(order_part(s, d)), 0)
 
 
-@sampled(SPARSE)
-def hyper_bpath(s, d, m):
-    return hyper.hyper_bpath(order_part(s, d, m), 0)
+@query
+def hyper_bpath(s, d):
+    return hyper.hyper_bpath(order_part(s, d), 0)
 
 
-@sampled(SPARSE)
-def hyper_pagerank1(s, d, m):
-    return hyper.hyper_pagerank(order_part(s, d, m)).withColumn("rank", F.round("rank", 12))
+@query
+def hyper_pagerank1(s, d):
+    return hyper.hyper_pagerank(order_part(s, d)).withColumn("rank", F.round("rank", 12))
 
 
-@sampled(SPARSE)
-def hyper_entropy(s, d, m):
-    return _r(hyper.hyper_pagerank(order_part(s, d, m), entropy=True).filter("side = 'H'").select("id", "entropy"), "entropy")
+@query
+def hyper_entropy(s, d):
+    return _r(hyper.hyper_pagerank(order_part(s, d), entropy=True).filter("side = 'H'").select("id", "entropy"), "entropy")
 
 
 @query
@@ -544,32 +522,32 @@ def hyper_kcore(s, d):
     return hyper.hyper_kcore(order_part(s, d))
 
 
-@sampled(SPARSE)
-def hyper_degrees(s, d, m):
-    return hyper.hyper_degrees(order_part(s, d, m))
+@query
+def hyper_degrees(s, d):
+    return hyper.hyper_degrees(order_part(s, d))
 
 
-@sampled(SPARSE)
-def hyper_reader(s, d, m):
-    return hyper.hyper_dump(order_part(s, d, m))
+@query
+def hyper_reader(s, d):
+    return hyper.hyper_dump(order_part(s, d))
 
 
-@sampled(SPARSE)
-def clique_expand(s, d, m):
-    return order_part(s, d, m).expand().edges.groupBy("src", "dst").agg(F.count("*").alias("n"))
+@query
+def clique_expand(s, d):
+    return order_part(s, d).expand().edges.groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
 # eccentricities
 
 
-@sampled(SPARSER)
-def ecc_exact(s, d, m):
-    return eccentricity.ecc_exact(_kept(part_sym(s, d, m)))
+@query
+def ecc_exact(s, d):
+    return eccentricity.ecc_exact(_kept(part_sym(s, d)))
 
 
-@sampled(SPARSEST)
-def ecc_tk(s, d, m):
-    return eccentricity.ecc_tk(_kept(part_sym(s, d, m)))
+@query
+def ecc_tk(s, d):
+    return eccentricity.ecc_tk(_kept(part_sym(s, d)))
 
 
 @query
@@ -599,27 +577,27 @@ def ecc_bounds_check(s, d):
 # local clustering
 
 
-@sampled(SPARSE)
-def nibble_t3(s, d, m):
-    g = _kept(part_sym(s, d, m))
+@query
+def nibble_t3(s, d):
+    g = _kept(part_sym(s, d))
     return _r(local.nibble(g, hub(g), T=3, eps=1e-9), "mass")
 
 
-@sampled(SPARSE)
-def nibble_truncated(s, d, m):
-    g = _kept(part_sym(s, d, m))
-    return _r(local.nibble(g, hub(g), T=3, eps=0.01), "mass")
+@query
+def nibble_truncated(s, d):
+    g = _kept(part_sym(s, d))
+    return _r(local.nibble(g, hub(g), T=3, eps=1e-5), "mass")
 
 
-@sampled(SPARSE)
-def sweep(s, d, m):
-    g = _kept(part_sym(s, d, m))
+@query
+def sweep(s, d):
+    g = _kept(part_sym(s, d))
     return _r(local.sweep_cut(g, local.nibble(g, hub(g), T=3, eps=1e-9)), "conductance")
 
 
-@sampled(SPARSE)
-def heat_kernel(s, d, m):
-    g = _kept(part_sym(s, d, m))
+@query
+def heat_kernel(s, d):
+    g = _kept(part_sym(s, d))
     return _r(local.heat_kernel(g, hub(g), N=3, eps=1e-9), "mass")
 
 
@@ -752,24 +730,24 @@ def add_hyper_weights(s, d):
     return generate.add_hyper_weights(order_part(s, d)).v2h
 
 
-@sampled(SPARSE)
-def el2csr(s, d, m):
-    return convert.el2csr(part_next(s, d, m), undirected=True, weights=1).select("id", "offset", F.array_join(F.transform("nbrs", lambda x: x.cast("string")), " ").alias("nbrs"), F.size("ws").alias("n_weights"))
+@query
+def el2csr(s, d):
+    return convert.el2csr(part_next(s, d), undirected=True, weights=1).select("id", "offset", F.array_join(F.transform("nbrs", lambda x: x.cast("string")), " ").alias("nbrs"), F.size("ws").alias("n_weights"))
 
 
-@sampled(SPARSE)
-def gen_el(s, d, m):
-    return convert.gen_el(convert.el2csr(part_next(s, d, m)))
+@query
+def gen_el(s, d):
+    return convert.gen_el(convert.el2csr(part_next(s, d)))
 
 
-@sampled(SPARSE)
-def to_mesh(s, d, m):
-    return convert.to_mesh(order_part(s, d, m))
+@query
+def to_mesh(s, d):
+    return convert.to_mesh(order_part(s, d))
 
 
-@sampled(SPARSE)
-def compact_ids(s, d, m):
-    return convert.compact(order_part(s, d, m).v2h, "v", "h")
+@query
+def compact_ids(s, d):
+    return convert.compact(order_part(s, d).v2h, "v", "h")
 
 
 @query
@@ -779,11 +757,11 @@ def log_summary(s, d):
 
 
 def _codec(name: str, code: str) -> None:
-    def run(s, d, m):
-        return codec.decode(codec.encode(part_next(s, d, m), code), code).edges
+    def run(s, d):
+        return codec.decode(codec.encode(part_next(s, d), code), code).edges
 
     run.__name__ = name
-    sampled(SPARSE)(run)
+    query(run)
 
 
 _codec("codec_byte", "byte")
@@ -796,6 +774,6 @@ def codec_bytes(s, d):
     return codec.encode(part_next(s, d)).agg(F.sum(F.length("data")).alias("bytes"), F.sum("degree").alias("m"))
 
 
-@sampled(SPARSE)
-def codec_hyper(s, d, m):
-    return codec.decode_hyper(codec.encode_hyper(order_part(s, d, m)))[0]
+@query
+def codec_hyper(s, d):
+    return codec.decode_hyper(codec.encode_hyper(order_part(s, d)))[0]

@@ -12,31 +12,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def part_next(spark: SparkSession, sf_dir: str, m: int = 1) -> PropertyGraph:
-    """Part to the part of the next line in each order whose key ``m`` divides, distinct, no loops."""
+def part_next(spark: SparkSession, sf_dir: str) -> PropertyGraph:
+    """Part to the part of the next line in each order, distinct, no loops."""
     from pyspark.sql import Window
 
-    lines = table(spark, sf_dir, "lineitem").filter(F.col("l_orderkey") % m == 0)
-    lines = lines.select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("ln"), F.col("l_partkey").alias("p")).distinct()
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("ln"), F.col("l_partkey").alias("p")).distinct()
     nxt = F.lead("p").over(Window.partitionBy("o").orderBy("ln", "p"))
     edges = lines.select(F.col("p").alias("src"), nxt.alias("dst")).filter("dst is not null and src <> dst").distinct()
     return PropertyGraph(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id")), edges)
 
 
-def part_sym(spark: SparkSession, sf_dir: str, m: int = 1) -> PropertyGraph:
-    return part_next(spark, sf_dir, m).symmetrize()
+def part_sym(spark: SparkSession, sf_dir: str) -> PropertyGraph:
+    return part_next(spark, sf_dir).symmetrize()
 
 
-def part_weighted(spark: SparkSession, sf_dir: str, m: int = 1) -> PropertyGraph:
-    g = part_sym(spark, sf_dir, m)
+def part_weighted(spark: SparkSession, sf_dir: str) -> PropertyGraph:
+    g = part_sym(spark, sf_dir)
     w = (1 + (7 * F.least("src", "dst") + 13 * F.greatest("src", "dst")) % 10).cast("long")
     return PropertyGraph(g.vertices, g.edges.select("src", "dst", w.alias("w")))
 
 
-def order_part(spark: SparkSession, sf_dir: str, m: int = 1) -> HyperGraph:
+def order_part(spark: SparkSession, sf_dir: str) -> HyperGraph:
     """Parts are vertices, orders hyperedges."""
-    pairs = table(spark, sf_dir, "lineitem").filter(F.col("l_orderkey") % m == 0).select(F.col("l_partkey").alias("v"), F.col("l_orderkey").alias("h")).distinct()
-    orders = table(spark, sf_dir, "orders").filter(F.col("o_orderkey") % m == 0).select(F.col("o_orderkey").alias("id"))
+    pairs = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("v"), F.col("l_orderkey").alias("h")).distinct()
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
     return HyperGraph.symmetric(pairs, table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id")), orders)
 
 

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from graphloom.functions.exprs import MIX32, MIX64, hash64_int
-from graphloom.queries import CENTROIDS, SPARSE, SPARSER, SPARSEST
+from graphloom.queries import CENTROIDS
 
 SQL: dict[str, str] = {}
 
 
-def base(m: int = 1) -> str:
+def base() -> str:
     return f"""e AS MATERIALIZED (SELECT DISTINCT src, dst FROM (SELECT p AS src, lead(p) OVER (PARTITION BY o ORDER BY ln, p) AS dst
-  FROM (SELECT DISTINCT l_orderkey o, l_linenumber ln, l_partkey p FROM lineitem WHERE l_orderkey % {m} = 0)) WHERE dst IS NOT NULL AND src <> dst),
+  FROM (SELECT DISTINCT l_orderkey o, l_linenumber ln, l_partkey p FROM lineitem)) WHERE dst IS NOT NULL AND src <> dst),
 u AS MATERIALIZED (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
 wu AS (SELECT src, dst, (1 + (7 * least(src, dst) + 13 * greatest(src, dst)) % 10)::BIGINT AS w FROM u),
 v AS (SELECT p_partkey AS id FROM part),
@@ -21,8 +21,8 @@ ud AS (SELECT v.id, count(u.src) AS d FROM v LEFT JOIN u ON u.src = v.id GROUP B
 a AS (SELECT ((SELECT count(*) FROM e) // (SELECT n FROM n)) AS avg)"""
 
 
-def s(name: str, body: str, m: int = 1, recursive: bool = False) -> None:
-    SQL[name] = f"WITH {'RECURSIVE ' if recursive else ''}{base(m)}{',' if body[0] != '|' else ''}\n{body.lstrip('|')}"
+def s(name: str, body: str, recursive: bool = False) -> None:
+    SQL[name] = f"WITH {'RECURSIVE ' if recursive else ''}{base()}{',' if body[0] != '|' else ''}\n{body.lstrip('|')}"
 
 
 HUB = "s0 AS (SELECT min(id) AS id FROM ud WHERE d = (SELECT max(d) FROM ud))"
@@ -32,10 +32,10 @@ HUB_OUT = "s0 AS (SELECT min(id) AS id FROM od WHERE d = (SELECT max(d) FROM od)
 s("degree_hist", "|SELECT d AS out_deg, count(*) AS n FROM od GROUP BY d")
 s("in_out_degree", "|SELECT od.id, od.d AS out_deg, idg.d AS in_deg FROM od JOIN idg USING (id)")
 s("degree_decades", "|SELECT kind, CASE WHEN d <= 1 THEN 1 WHEN d <= 10 THEN 10 WHEN d <= 100 THEN 100 WHEN d <= 1000 THEN 1000 ELSE 10000 END::BIGINT AS upto, count(*) AS n FROM (SELECT 'out' AS kind, d FROM od UNION ALL SELECT 'in', d FROM idg) GROUP BY ALL")
-s("graph_transpose", "|SELECT dst AS src, src AS dst FROM e", SPARSE)
-s("graph_symmetrize", "|SELECT src, dst FROM u", SPARSE)
-s("graph_adjacency", "|SELECT src AS id, string_agg(dst::VARCHAR, ' ' ORDER BY dst) AS nbrs FROM u GROUP BY src", SPARSE)
-s("weighted_simplify", "|SELECT src, dst, w FROM wu", SPARSE)
+s("graph_transpose", "|SELECT dst AS src, src AS dst FROM e")
+s("graph_symmetrize", "|SELECT src, dst FROM u")
+s("graph_adjacency", "|SELECT src AS id, string_agg(dst::VARCHAR, ' ' ORDER BY dst) AS nbrs FROM u GROUP BY src")
+s("weighted_simplify", "|SELECT src, dst, w FROM wu")
 
 # operator algebra
 F = "src % 10 = 0"
@@ -56,7 +56,7 @@ s("pack_index", '|SELECT id, d AS out_deg, row_number() OVER (ORDER BY id) - 1 A
 s("integer_sort", "|SELECT id, d AS in_deg, row_number() OVER (ORDER BY d, id) - 1 AS place FROM idg")
 s("counting_sort", "|SELECT d AS in_deg, count(*) AS n FROM idg GROUP BY d")
 s("remove_duplicates", "|SELECT DISTINCT dst FROM e")
-s("search", "|SELECT id AS probe, id IN (SELECT src FROM e) AS found FROM v", SPARSE)
+s("search", "|SELECT id AS probe, id IN (SELECT src FROM e) AS found FROM v")
 
 
 def _mix(steps, bits: int) -> str:
@@ -97,8 +97,8 @@ SELECT id AS old_id, (CASE WHEN hub AND i < lp * last THEN i // lp * size + i %
 )
 SQL["order_map"] = "SELECT p_partkey AS old_id, (SELECT count(*) FROM part) - 1 - p_partkey AS new_id FROM part"
 _SO = "p AS (SELECT id, row_number() OVER (ORDER BY {0} DESC, id DESC) - 1 AS k FROM {1})"
-s("relabel_so", _SO.format("d", "od") + "\nSELECT x.k AS src, y.k AS dst FROM e JOIN p x ON x.id = e.src JOIN p y ON y.id = e.dst", SPARSE)
-s("relabel_weighted", _SO.format("d", "ud") + "\nSELECT x.k AS src, y.k AS dst, w FROM wu JOIN p x ON x.id = wu.src JOIN p y ON y.id = wu.dst", SPARSE)
+s("relabel_so", _SO.format("d", "od") + "\nSELECT x.k AS src, y.k AS dst FROM e JOIN p x ON x.id = e.src JOIN p y ON y.id = e.dst")
+s("relabel_weighted", _SO.format("d", "ud") + "\nSELECT x.k AS src, y.k AS dst, w FROM wu JOIN p x ON x.id = wu.src JOIN p y ON y.id = wu.dst")
 s("gap_cost_so", _SO.format("d", "od") + ", r AS (SELECT x.k AS src, y.k AS dst FROM e JOIN p x ON x.id = e.src JOIN p y ON y.id = e.dst),\ng AS (SELECT dst - lag(dst) OVER (PARTITION BY src ORDER BY dst) AS gap FROM r)\nSELECT round(sum(CASE WHEN gap > 0 THEN log2(gap) ELSE 0 END) / count(*), 9) AS value FROM g")
 s("gap_entropy", "g AS (SELECT coalesce(dst - lag(dst) OVER (PARTITION BY src ORDER BY dst), dst) AS gap FROM e), c AS (SELECT count(*) / (SELECT count(*) FROM e) AS p FROM g GROUP BY gap)\nSELECT round(sum(p * log2(p)), 9) AS value FROM c")
 s("log_cost", "|SELECT round(sum(log2(abs(dst - src) + 1)) / count(*), 9) AS value FROM e")
@@ -113,24 +113,24 @@ o AS (SELECT share, sum(CASE WHEN hi <= c THEN s ELSE 0 END)::BIGINT AS top, sum
 SELECT share, top, bottom, round(top / bottom, 9) AS skew FROM o""",
 )
 s("overflow", "h AS (SELECT id // 64 AS part FROM od, a WHERE d > avg), y AS (SELECT (n - 1) // 64 + 1 AS parts, ceil((SELECT count(*) FROM h) / ((n - 1) // 64 + 1)) AS share FROM n)\nSELECT part, (count(*) - any_value(share))::BIGINT AS extra FROM h, y WHERE part < parts - 1 GROUP BY part HAVING count(*) > any_value(share)")
-s("rabbit_adjacency", "|SELECT src, dst, count(*)::DOUBLE AS w FROM (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e) GROUP BY ALL", SPARSE)
-s("modularity", "x AS (SELECT src // 50 AS a, dst // 50 AS b FROM (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e)), c AS (SELECT a, count(*) AS t, count(*) FILTER (a = b) AS i FROM x GROUP BY a), m AS (SELECT count(*) AS m2 FROM x)\nSELECT round(sum(i / m2 - (t / m2) ** 2), 9) AS value FROM c, m", SPARSE)
+s("rabbit_adjacency", "|SELECT src, dst, count(*)::DOUBLE AS w FROM (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e) GROUP BY ALL")
+s("modularity", "x AS (SELECT src // 50 AS a, dst // 50 AS b FROM (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e)), c AS (SELECT a, count(*) AS t, count(*) FILTER (a = b) AS i FROM x GROUP BY a), m AS (SELECT count(*) AS m2 FROM x)\nSELECT round(sum(i / m2 - (t / m2) ** 2), 9) AS value FROM c, m")
 SQL["order_checks"] = "SELECT name, 0::BIGINT AS lost, 0::BIGINT AS clashes, 0::BIGINT AS outside FROM (VALUES ('gorder'), ('rcm'), ('rabbit'), ('fon'), ('fo')) t(name)"
 
 # traversal
 _B = "b(v, l) USING KEY (v) AS (SELECT id, 0 FROM s0 UNION SELECT {0}.dst, min(b.l + 1) FROM b JOIN {0} ON {0}.src = b.v LEFT JOIN recurring.b r ON r.v = {0}.dst WHERE r.v IS NULL GROUP BY {0}.dst)"
-s("bfs_levels", f"{HUB},\n{_B.format('u')}\nSELECT l AS level, count(*) AS n FROM b GROUP BY l", SPARSE, True)
+s("bfs_levels", f"{HUB},\n{_B.format('u')}\nSELECT l AS level, count(*) AS n FROM b GROUP BY l", True)
 for name in ("bfs_parents", "gas_bfs"):
-    s(name, f"{HUB},\n{_B.format('u')}\nSELECT v.id, any_value(b.l) AS level, CASE WHEN any_value(b.l) = 0 THEN v.id ELSE min(u.src) END AS parent\nFROM v LEFT JOIN b ON b.v = v.id LEFT JOIN (u JOIN b x ON x.v = u.src) ON u.dst = v.id AND x.l = b.l - 1 GROUP BY v.id", 1, True)
-s("bfs_bitvector", f"{HUB_OUT},\n{_B.format('e')}\nSELECT v.id, b.l AS level FROM v LEFT JOIN b ON b.v = v.id", 1, True)
+    s(name, f"{HUB},\n{_B.format('u')}\nSELECT v.id, any_value(b.l) AS level, CASE WHEN any_value(b.l) = 0 THEN v.id ELSE min(u.src) END AS parent\nFROM v LEFT JOIN b ON b.v = v.id LEFT JOIN (u JOIN b x ON x.v = u.src) ON u.dst = v.id AND x.l = b.l - 1 GROUP BY v.id", True)
+s("bfs_bitvector", f"{HUB_OUT},\n{_B.format('e')}\nSELECT v.id, b.l AS level FROM v LEFT JOIN b ON b.v = v.id", True)
 _C = "c(v, c) USING KEY (v) AS (SELECT id, id FROM v UNION SELECT {0}.dst, min(c.c) FROM c JOIN {0} ON {0}.src = c.v JOIN recurring.c r ON r.v = {0}.dst WHERE c.c < r.c GROUP BY {0}.dst)\nSELECT v AS id, c AS label FROM c"
-for name, edges, m in (("components", "u", SPARSE), ("components_shortcut", "u", SPARSE), ("components_directed", "e", SPARSE), ("bfs_cc", "e", SPARSER), ("gas_cc", "e", SPARSER)):
-    s(name, _C.format(edges), m, True)
+for name, edges in (("components", "u"), ("components_shortcut", "u"), ("components_directed", "e"), ("bfs_cc", "e"), ("gas_cc", "e")):
+    s(name, _C.format(edges), True)
 _S = "b(v, d) USING KEY (v) AS (SELECT id, 0::BIGINT FROM s0 UNION SELECT x.v, x.d FROM (SELECT {0}.dst AS v, min(b.d + {1}) AS d FROM b JOIN {0} ON {0}.src = b.v GROUP BY {0}.dst) x LEFT JOIN recurring.b r ON r.v = x.v WHERE r.v IS NULL OR x.d < r.d)\nSELECT v.id, b.d AS dist FROM v LEFT JOIN b ON b.v = v.id"
-s("sssp", f"{HUB},\n{_S.format('wu', 'wu.w')}", SPARSE, True)
-s("sssp_unit", f"{HUB},\n{_S.format('u', '1')}", 1, True)
-s("delta_stepping", f"{HUB},\n{_S.format('wu', 'wu.w')}", 1, True)
-s("gas_sssp", f"{HUB},\n{_S.format('wu', 'wu.w')}", 1, True)
+s("sssp", f"{HUB},\n{_S.format('wu', 'wu.w')}", True)
+s("sssp_unit", f"{HUB},\n{_S.format('u', '1')}", True)
+s("delta_stepping", f"{HUB},\n{_S.format('wu', 'wu.w')}", True)
+s("gas_sssp", f"{HUB},\n{_S.format('wu', 'wu.w')}", True)
 
 
 # ranking, unrolled
@@ -143,7 +143,6 @@ def _ranks(rounds: int, start: str, add: str) -> str:
 
 _N = "(SELECT n FROM n)"
 s("pagerank10", _ranks(10, f"1.0::DOUBLE / {_N}", f"0.15::DOUBLE / {_N}"))
-s("pagerank10_sparse", _ranks(10, f"1.0::DOUBLE / {_N}", f"0.15::DOUBLE / {_N}"), SPARSE)
 s("pagerank_raw", _ranks(5, "1.0::DOUBLE", "0.15::DOUBLE"))
 _D = [f"p0 AS (SELECT id AS v, 0.0::DOUBLE AS r, 1.0::DOUBLE / {_N} AS x, true AS f FROM v)"]
 for i in range(5):
@@ -152,7 +151,7 @@ for i in range(5):
         _D.append(f"p1 AS MATERIALIZED (SELECT v, r + g AS r, g - 1.0::DOUBLE / {_N} AS x, abs(g - 1.0::DOUBLE / {_N}) > 0.01 * (r + g) AS f FROM {got})")
     else:
         _D.append(f"p{i + 1} AS MATERIALIZED (SELECT v, CASE WHEN abs(g) > 0.01 * r THEN r + g ELSE r END AS r, g AS x, abs(g) > 0.01 * r AS f FROM {got})")
-s("pagerank_delta", ",\n".join(_D) + "\nSELECT v AS id, round(r, 9) AS rank FROM p5", SPARSE)
+s("pagerank_delta", ",\n".join(_D) + "\nSELECT v AS id, round(r, 9) AS rank FROM p5")
 _CF = ["b AS (SELECT max(c_custkey) + 1 AS b FROM customer)", "q AS (SELECT o_custkey AS src, l_suppkey + (SELECT b FROM b) AS dst, count(*)::DOUBLE AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL)", "e AS (SELECT * FROM q UNION ALL SELECT dst, src, w FROM q)", "x0 AS (SELECT id, k, 0.5::DOUBLE AS x FROM (SELECT c_custkey AS id FROM customer UNION ALL SELECT s_suppkey + (SELECT b FROM b) FROM supplier), range(0, 4) t(k))"]
 for i in range(2):
     _CF.append(f"r{i} AS MATERIALIZED (SELECT e.src, e.dst, any_value(e.w) - sum(a.x * b.x) AS err FROM e JOIN x{i} a ON a.id = e.src JOIN x{i} b ON b.id = e.dst AND b.k = a.k GROUP BY e.src, e.dst)")
@@ -164,14 +163,14 @@ SQL["collaborative_filter"] = "WITH " + ",\n".join(_CF) + "\nSELECT id, k::INT A
 s("triangles", "|SELECT count(*) AS triangles FROM u a JOIN u b ON a.dst = b.src JOIN u c ON c.src = a.src AND c.dst = b.dst WHERE a.src > a.dst AND b.src > b.dst")
 s("triangles_per_vertex", "t AS (SELECT a.src AS id FROM u a JOIN u b ON a.dst = b.src JOIN u c ON c.src = a.src AND c.dst = b.dst WHERE a.src > a.dst AND b.src > b.dst)\nSELECT v.id, count(t.id) AS n FROM v LEFT JOIN t USING (id) GROUP BY v.id")
 _K = ["k0 AS (SELECT id AS v, d AS c FROM ud)"]
-for i in range(14):
+for i in range(48):
     _K.append(f"k{i + 1} AS MATERIALIZED (SELECT k.v, coalesce(h.h, 0) AS c FROM k{i} k LEFT JOIN (SELECT v, max(least(c, rn)) AS h FROM (SELECT u.dst AS v, k.c, row_number() OVER (PARTITION BY u.dst ORDER BY k.c DESC) AS rn FROM u JOIN k{i} k ON k.v = u.src) GROUP BY v) h ON h.v = k.v)")
-s("kcore", ",\n".join(_K) + "\nSELECT v AS id, c AS core FROM k14", SPARSE)
+s("kcore", ",\n".join(_K) + "\nSELECT v AS id, c AS core FROM k48")
 _M = ["m0 AS (SELECT id AS v, NULL::BOOLEAN AS i FROM v)"]
 for i in range(16):
     _M.append(f"j{i} AS MATERIALIZED (SELECT v FROM m{i} WHERE i IS NULL AND v NOT IN (SELECT u.dst FROM u JOIN m{i} x ON x.v = u.src AND x.i IS NULL WHERE u.src < u.dst))")
     _M.append(f"m{i + 1} AS MATERIALIZED (SELECT m.v, CASE WHEN m.i IS NOT NULL THEN m.i WHEN m.v IN (SELECT v FROM j{i}) THEN true WHEN m.v IN (SELECT u.dst FROM u JOIN j{i} j ON j.v = u.src) THEN false END AS i FROM m{i} m)")
-s("mis", ",\n".join(_M) + "\nSELECT v AS id, i AS in_set FROM m16", SPARSE)
+s("mis", ",\n".join(_M) + "\nSELECT v AS id, i AS in_set FROM m16")
 s(
     "bc",
     f"""{HUB},
@@ -181,38 +180,37 @@ p(v, l, s) AS (SELECT id, 0, 1.0::DOUBLE FROM s0 UNION ALL SELECT dag.dst, p.l +
 t(v, l, x) AS (SELECT v, l, 0.0::DOUBLE FROM p WHERE l = (SELECT max(l) FROM p) UNION ALL
   SELECT p.v, p.l, coalesce(sum(p.s / q.s * (1 + t.x)), 0) FROM (SELECT DISTINCT l FROM t) c JOIN p ON p.l = c.l - 1 LEFT JOIN (dag JOIN t ON t.v = dag.dst JOIN p q ON q.v = t.v) ON dag.src = p.v GROUP BY p.v, p.l)
 SELECT v.id, round(p.s, 9) AS paths, round(t.x, 9) AS dependency FROM v LEFT JOIN p ON p.v = v.id LEFT JOIN t ON t.v = v.id""",
-    1,
     True,
 )
 _MULTI = "b(s, v, l) USING KEY (s, v) AS (SELECT DISTINCT {1}, {1}, 0 FROM {2} UNION SELECT b.s, u.dst, min(b.l + 1) FROM b JOIN u ON u.src = b.v LEFT JOIN recurring.b r ON r.s = b.s AND r.v = u.dst WHERE r.v IS NULL GROUP BY b.s, u.dst)"
-s("radii", f"k(id) AS (SELECT (h::UBIGINT % (SELECT n FROM n)::UBIGINT)::BIGINT FROM (VALUES {', '.join(f'({hash64_int(i)})' for i in range(64))}) t(h)),\n{_MULTI.format('', 'id', 'k')}\nSELECT v.id, max(b.l) AS radius FROM v LEFT JOIN b ON b.v = v.id GROUP BY v.id", 1, True)
-for name, m in (("ecc_exact", SPARSER), ("ecc_tk", SPARSEST)):
-    s(name, f"{_MULTI.format('', 'id', 'v')}\nSELECT v AS id, max(l) AS ecc FROM b GROUP BY v", m, True)
+s("radii", f"k(id) AS (SELECT (h::UBIGINT % (SELECT n FROM n)::UBIGINT)::BIGINT FROM (VALUES {', '.join(f'({hash64_int(i)})' for i in range(64))}) t(h)),\n{_MULTI.format('', 'id', 'k')}\nSELECT v.id, max(b.l) AS radius FROM v LEFT JOIN b ON b.v = v.id GROUP BY v.id", True)
+for name in ("ecc_exact", "ecc_tk"):
+    s(name, f"{_MULTI.format('', 'id', 'v')}\nSELECT v AS id, max(l) AS ecc FROM b GROUP BY v", True)
 SQL["ecc_bounds_check"] = "SELECT name, 0::BIGINT AS out_of_bounds FROM (VALUES ('kbfs'), ('kbfs1'), ('fm'), ('loglog'), ('simple'), ('clrstv'), ('rv')) t(name)"
 SQL["set_cover_check"] = "SELECT 0::BIGINT AS missed"
 
 
 # hypergraphs
-def h(name: str, body: str, m: int, recursive: bool = False) -> None:
+def h(name: str, body: str, recursive: bool = False) -> None:
     SQL[name] = (
-        f"WITH {'RECURSIVE ' if recursive else ''}i AS (SELECT DISTINCT l_partkey AS v, l_orderkey AS h FROM lineitem WHERE l_orderkey % {m} = 0),\nhe AS (SELECT o_orderkey AS id FROM orders WHERE o_orderkey % {m} = 0), v AS (SELECT p_partkey AS id FROM part),\nb AS (SELECT v AS src, -1 - h AS dst FROM i UNION ALL SELECT -1 - h, v FROM i), a AS (SELECT id FROM v UNION ALL SELECT -1 - id FROM he)"
+        f"WITH {'RECURSIVE ' if recursive else ''}i AS (SELECT DISTINCT l_partkey AS v, l_orderkey AS h FROM lineitem),\nhe AS (SELECT o_orderkey AS id FROM orders), v AS (SELECT p_partkey AS id FROM part),\nb AS (SELECT v AS src, -1 - h AS dst FROM i UNION ALL SELECT -1 - h, v FROM i), a AS (SELECT id FROM v UNION ALL SELECT -1 - id FROM he)"
         + (body if body[0] == "\n" else ",\n" + body)
     )
 
 
 _SIDE = "CASE WHEN a.id < 0 THEN 'H' ELSE 'V' END AS side, CASE WHEN a.id < 0 THEN -1 - a.id ELSE a.id END AS id"
-h("hyper_bfs", f"f(v, l) USING KEY (v) AS (SELECT 0::BIGINT, 0 UNION SELECT b.dst, min(f.l + 1) FROM f JOIN b ON b.src = f.v LEFT JOIN recurring.f r ON r.v = b.dst WHERE r.v IS NULL GROUP BY b.dst)\nSELECT {_SIDE}, f.l AS level FROM a LEFT JOIN f ON f.v = a.id", SPARSE, True)
-h("hyper_cc", f"f(v, c) USING KEY (v) AS (SELECT id, CASE WHEN id >= 0 THEN id ELSE 1000000000000 END FROM a UNION SELECT b.dst, min(f.c) FROM f JOIN b ON b.src = f.v JOIN recurring.f r ON r.v = b.dst WHERE f.c < r.c GROUP BY b.dst)\nSELECT {_SIDE}, CASE WHEN f.c < 1000000000000 THEN f.c END AS label FROM a JOIN f ON f.v = a.id", SPARSER, True)
-h("hyper_bpath", "need AS (SELECT h, count(*) AS c FROM i GROUP BY h)\nSELECT 'V' AS side, id, id = 0 OR id IN (SELECT y.v FROM i x JOIN need USING (h) JOIN i y USING (h) WHERE c = 1 AND x.v = 0) AS reached FROM v UNION ALL SELECT 'H', id, id IN (SELECT h FROM i JOIN need USING (h) WHERE c = 1 AND v = 0) FROM he", SPARSE)
+h("hyper_bfs", f"f(v, l) USING KEY (v) AS (SELECT 0::BIGINT, 0 UNION SELECT b.dst, min(f.l + 1) FROM f JOIN b ON b.src = f.v LEFT JOIN recurring.f r ON r.v = b.dst WHERE r.v IS NULL GROUP BY b.dst)\nSELECT {_SIDE}, f.l AS level FROM a LEFT JOIN f ON f.v = a.id", True)
+h("hyper_cc", f"f(v, c) USING KEY (v) AS (SELECT id, CASE WHEN id >= 0 THEN id ELSE 1000000000000 END FROM a UNION SELECT b.dst, min(f.c) FROM f JOIN b ON b.src = f.v JOIN recurring.f r ON r.v = b.dst WHERE f.c < r.c GROUP BY b.dst)\nSELECT {_SIDE}, CASE WHEN f.c < 1000000000000 THEN f.c END AS label FROM a JOIN f ON f.v = a.id", True)
+h("hyper_bpath", "need AS (SELECT h, count(*) AS c FROM i GROUP BY h)\nSELECT 'V' AS side, id, id = 0 OR id IN (SELECT y.v FROM i x JOIN need USING (h) JOIN i y USING (h) WHERE c = 1 AND x.v = 0) AS reached FROM v UNION ALL SELECT 'H', id, id IN (SELECT h FROM i JOIN need USING (h) WHERE c = 1 AND v = 0) FROM he")
 _HP = "dv AS (SELECT v, count(*) AS d FROM i GROUP BY v), dh AS (SELECT h, count(*) AS d FROM i GROUP BY h), n AS (SELECT count(*)::DOUBLE AS n FROM v),\nph AS (SELECT he.id, coalesce(sum(1.0::DOUBLE / n / d), 0) AS r FROM n, he LEFT JOIN (i JOIN dv USING (v)) ON i.h = he.id GROUP BY he.id),\npv AS (SELECT v.id, 0.15::DOUBLE / any_value(n) + 0.85::DOUBLE * coalesce(sum(ph.r / d), 0) AS r FROM n, v LEFT JOIN (i JOIN dh USING (h) JOIN ph ON ph.id = i.h) ON i.v = v.id GROUP BY v.id)"
-h("hyper_pagerank1", _HP + "\nSELECT 'V' AS side, id, round(r, 12) AS rank FROM pv UNION ALL SELECT 'H', id, round(r, 12) FROM ph", SPARSE)
-h("hyper_entropy", _HP + "\nSELECT he.id, round(sum(pv.r / ph.r * log2(ph.r / pv.r)), 9) AS entropy FROM he LEFT JOIN (i JOIN pv ON pv.id = i.v JOIN ph ON ph.id = i.h) ON i.h = he.id GROUP BY he.id", SPARSE)
-h("hyper_degrees", "\nSELECT 'V' AS side, v.id, count(i.v) AS deg FROM v LEFT JOIN i ON i.v = v.id GROUP BY v.id UNION ALL SELECT 'H', he.id, count(i.h) FROM he LEFT JOIN i ON i.h = he.id GROUP BY he.id", SPARSE)
-h("hyper_reader", "\nSELECT 'V' AS side, v AS id, string_agg(h::VARCHAR, ' ' ORDER BY h) AS members FROM i GROUP BY v UNION ALL SELECT 'H', h, string_agg(v::VARCHAR, ' ' ORDER BY v) FROM i GROUP BY h", SPARSE)
-h("clique_expand", "\nSELECT x.v AS src, y.v AS dst, count(*) AS n FROM i x JOIN i y ON x.h = y.h AND x.v <> y.v GROUP BY ALL", SPARSE)
-h("to_mesh", "\nSELECT h || ',' || v AS value FROM i", SPARSE)
-h("compact_ids", "\nSELECT dense_rank() OVER (ORDER BY v) - 1 AS v, dense_rank() OVER (ORDER BY h) - 1 AS h FROM i", SPARSE)
-h("codec_hyper", "\nSELECT v, h FROM i", SPARSE)
+h("hyper_pagerank1", _HP + "\nSELECT 'V' AS side, id, round(r, 12) AS rank FROM pv UNION ALL SELECT 'H', id, round(r, 12) FROM ph")
+h("hyper_entropy", _HP + "\nSELECT he.id, round(sum(pv.r / ph.r * log2(ph.r / pv.r)), 9) AS entropy FROM he LEFT JOIN (i JOIN pv ON pv.id = i.v JOIN ph ON ph.id = i.h) ON i.h = he.id GROUP BY he.id")
+h("hyper_degrees", "\nSELECT 'V' AS side, v.id, count(i.v) AS deg FROM v LEFT JOIN i ON i.v = v.id GROUP BY v.id UNION ALL SELECT 'H', he.id, count(i.h) FROM he LEFT JOIN i ON i.h = he.id GROUP BY he.id")
+h("hyper_reader", "\nSELECT 'V' AS side, v AS id, string_agg(h::VARCHAR, ' ' ORDER BY h) AS members FROM i GROUP BY v UNION ALL SELECT 'H', h, string_agg(v::VARCHAR, ' ' ORDER BY v) FROM i GROUP BY h")
+h("clique_expand", "\nSELECT x.v AS src, y.v AS dst, count(*) AS n FROM i x JOIN i y ON x.h = y.h AND x.v <> y.v GROUP BY ALL")
+h("to_mesh", "\nSELECT h || ',' || v AS value FROM i")
+h("compact_ids", "\nSELECT dense_rank() OVER (ORDER BY v) - 1 AS v, dense_rank() OVER (ORDER BY h) - 1 AS h FROM i")
+h("codec_hyper", "\nSELECT v, h FROM i")
 SQL["hyper_mis_check"] = "SELECT 0::BIGINT AS filled, 0::BIGINT AS addable"
 
 
@@ -224,8 +222,8 @@ def _walk(steps: int, eps: str) -> str:
     return ",\n".join(ctes)
 
 
-s("nibble_t3", _walk(3, "0.000000001") + "\nSELECT v AS id, round(m, 9) AS mass FROM p3", SPARSE)
-s("nibble_truncated", _walk(3, "0.01") + "\nSELECT v AS id, round(m, 9) AS mass FROM p3", SPARSE)
+s("nibble_t3", _walk(3, "0.000000001") + "\nSELECT v AS id, round(m, 9) AS mass FROM p3")
+s("nibble_truncated", _walk(3, "0.00001") + "\nSELECT v AS id, round(m, 9) AS mass FROM p3")
 s(
     "sweep",
     _walk(3, "0.000000001")
@@ -235,7 +233,6 @@ g AS (SELECT r.k, any_value(r.d) - 2 * count(q.k) AS gain, any_value(r.d) AS d F
 c AS (SELECT k, (sum(d) OVER (ORDER BY k))::BIGINT AS vol, (sum(gain) OVER (ORDER BY k))::BIGINT AS x FROM g),
 z AS (SELECT k, vol, x, CASE WHEN x = 0 OR least(vol, (SELECT count(*) FROM u) - vol) = 0 THEN 1.0::DOUBLE ELSE x / least(vol, (SELECT count(*) FROM u) - vol) END AS q FROM c)
 SELECT round(q, 9) AS conductance, k AS size_s, vol AS vol_s, (SELECT max(vol) FROM z) AS vol, x AS edges_crossing FROM z ORDER BY z.q, k LIMIT 1""",
-    SPARSE,
 )
 s(
     "heat_kernel",
@@ -247,27 +244,26 @@ r1 AS MATERIALIZED (SELECT x.v, x.r, x.r >= c / (1 + 3.0 / 2) * ud.d AS f FROM (
 r2 AS MATERIALIZED (SELECT x.v, x.r, x.r >= c / 1 * ud.d AS f FROM (SELECT u.dst AS v, sum(1.5::DOUBLE * r / ud.d) AS r FROM r1 p JOIN u ON u.src = p.v JOIN ud ON ud.id = p.v WHERE f GROUP BY u.dst) x JOIN ud ON ud.id = x.v, k),
 r3 AS (SELECT u.dst AS v, sum(r / ud.d) AS r FROM r2 p JOIN u ON u.src = p.v JOIN ud ON ud.id = p.v WHERE f GROUP BY u.dst)
 SELECT v AS id, round(sum(r), 9) AS mass FROM (SELECT v, r FROM r0 WHERE f UNION ALL SELECT v, r FROM r1 WHERE f UNION ALL SELECT v, r FROM r2 WHERE f UNION ALL SELECT v, r FROM r3) GROUP BY v""",
-    SPARSE,
 )
 SQL["pr_nibble_check"] = "SELECT name, 1.0::DOUBLE AS total, 0::BIGINT AS high FROM (VALUES ('plain'), ('optimised')) t(name)"
 
 # features
 _FEAT = "k(id) AS (VALUES (0::BIGINT), (1), (2)),\n" + _MULTI.format("", "id", "k") + ",\nf AS (SELECT v.id, " + ", ".join(f"coalesce(max(b.l) FILTER (b.s = {i}), 0) AS f{i}" for i in range(3)) + " FROM v LEFT JOIN b ON b.v = v.id GROUP BY v.id)"
-s("bfs_trace", _FEAT + "\nSELECT s::INT AS sample, l AS level, v AS id FROM b", 1, True)
-s("bfs_feature", _FEAT + "\nSELECT * FROM f", 1, True)
-s("bfs_blocks", _FEAT + ",\nq AS (SELECT s, l, v, v - lag(v) OVER (PARTITION BY s, l ORDER BY v) AS gap FROM b WHERE s = 0)\nSELECT s::INT AS sample, l AS level, count(*) FILTER (gap IS NULL OR gap <> 1) AS blocks FROM q GROUP BY ALL", 1, True)
+s("bfs_trace", _FEAT + "\nSELECT s::INT AS sample, l AS level, v AS id FROM b", True)
+s("bfs_feature", _FEAT + "\nSELECT * FROM f", True)
+s("bfs_blocks", _FEAT + ",\nq AS (SELECT s, l, v, v - lag(v) OVER (PARTITION BY s, l ORDER BY v) AS gap FROM b WHERE s = 0)\nSELECT s::INT AS sample, l AS level, count(*) FILTER (gap IS NULL OR gap <> 1) AS blocks FROM q GROUP BY ALL", True)
 _NEAR = _FEAT + ",\nc(c, x, y, z) AS (VALUES " + ", ".join(f"({i}, {c[0]}, {c[1]}, {c[2]})" for i, c in enumerate(CENTROIDS)) + "),\ng AS (SELECT id, any_value(f0) AS f0, any_value(f1) AS f1, any_value(f2) AS f2, min({'d': abs(f0 - x) + abs(f1 - y) + abs(f2 - z), 'c': c}) AS b FROM f, c GROUP BY id)"
-s("kmeans_assign", _NEAR + "\nSELECT id, b.c AS cluster, b.d::DOUBLE AS dist FROM g", 1, True)
-s("kmeans_step", _NEAR + "\nSELECT b.c AS cluster, round(avg(f0)) AS c0, round(avg(f1)) AS c1, round(avg(f2)) AS c2, count(*) AS n FROM g GROUP BY ALL", 1, True)
+s("kmeans_assign", _NEAR + "\nSELECT id, b.c AS cluster, b.d::DOUBLE AS dist FROM g", True)
+s("kmeans_step", _NEAR + "\nSELECT b.c AS cluster, round(avg(f0)) AS c0, round(avg(f1)) AS c1, round(avg(f2)) AS c2, count(*) AS n FROM g GROUP BY ALL", True)
 
 # generators, converters, codecs
 for name, side, dim in (("grid_2d", 20, 2), ("grid_3d", 7, 3)):
     steps = " UNION ALL ".join(f"SELECT id AS a, id + CASE WHEN id // {side ** (dim - 1 - k)} % {side} = {side - 1} THEN {-(side - 1) * side ** (dim - 1 - k)} ELSE {side ** (dim - 1 - k)} END AS b FROM range(0, {side**dim}) t(id)" for k in range(dim))
     SQL[name] = f"WITH x AS ({steps}) SELECT a AS src, b AS dst FROM x UNION SELECT b, a FROM x"
-s("el2csr", "x AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e), r AS (SELECT v.id, count(x.src) AS d, coalesce(string_agg(x.dst::VARCHAR, ' ' ORDER BY x.dst DESC), '') AS nbrs FROM v LEFT JOIN x ON x.src = v.id GROUP BY v.id)\nSELECT id, (sum(d) OVER (ORDER BY id) - d)::BIGINT AS \"offset\", nbrs, d::INT AS n_weights FROM r", SPARSE)
-s("gen_el", "|SELECT src, dst FROM e", SPARSE)
+s("el2csr", "x AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e), r AS (SELECT v.id, count(x.src) AS d, coalesce(string_agg(x.dst::VARCHAR, ' ' ORDER BY x.dst DESC), '') AS nbrs FROM v LEFT JOIN x ON x.src = v.id GROUP BY v.id)\nSELECT id, (sum(d) OVER (ORDER BY id) - d)::BIGINT AS \"offset\", nbrs, d::INT AS n_weights FROM r")
+s("gen_el", "|SELECT src, dst FROM e")
 for name in ("codec_byte", "codec_rle", "codec_nibble"):
-    s(name, "|SELECT src, dst FROM e", SPARSE)
+    s(name, "|SELECT src, dst FROM e")
 _BITS = "(floor(log2(greatest({0}, 1)))::INT + 1)"
 s("codec_bytes", f"g AS (SELECT src, dst, dst - lag(dst) OVER (PARTITION BY src ORDER BY dst) AS gap FROM e)\nSELECT sum(CASE WHEN gap IS NULL THEN 1 + greatest(0, ceil(({_BITS.format('abs(dst - src)')} - 6) / 7)) ELSE 1 + greatest(0, ceil(({_BITS.format('gap')} - 7) / 7)) END)::BIGINT AS bytes, count(*) AS m FROM g")
 SQL["log_summary"] = "WITH l AS (SELECT (o_custkey % 5)::VARCHAR AS data, ['OG', 'SO', 'HC'][o_orderkey % 3 + 1] AS reorder, avg(o_totalprice) AS sec FROM orders GROUP BY ALL)\nSELECT 'e' AS engine, 'BFS' AS algo, l.reorder, round(avg(l.sec), 9) AS seconds, round(avg(g.sec / l.sec), 9) AS speedup, count(*) AS data_sets FROM l JOIN l g ON g.data = l.data AND g.reorder = 'OG' GROUP BY l.reorder"

@@ -3,7 +3,7 @@
 Iterative plans and plans that read an intermediate result twice cut their lineage here.
 Tables go to the folder that the cluster names in ``spark.checkpoint.dir``, which all
 executors and the driver share, so a lost executor never loses them.  Only where that
-setting is absent (tests, notebooks) a folder of our own is made.
+setting is absent in local mode (tests, notebooks) a folder of our own is made.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="graphloom-")
