@@ -67,6 +67,14 @@ class Scratch:
         _delete(self.spark, self.path(name))
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Has the JVM look for plans that nothing refers to any more, whose shuffle files Spark then deletes.
+
+    Without it they stay until the driver's next full collection, long after their phase.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 @atexit.register
 def _sweep() -> None:
     for spark, root in _ROOTS:
