@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import BROADCAST_IDS, Shingler, bit_map, bytes_of, drop_rows, map_holds, needed, pick_rows, tune
 from graphloom.operators.components import min_labels
-from graphloom.store import Scratch
+from graphloom.store import Scratch, free_shuffles
 
 #: Counters in each of the two rows of each frequency sketch, whatever the input's size: 8 MB in all.
 SKETCH_WIDTH = 1 << 19
@@ -237,18 +237,21 @@ class JaccardJoin:
         heads = put(heads.select("doc_id", "n", "odd", "head"), "heads")
         live = put(self._live(heads), "live")
         self.scratch.drop("heads")
+        free_shuffles(self.spark)
         self.labels = self.spark.createDataFrame([], "id long, label long")
         self.tested: list[DataFrame] = []
         for r in range(STAR_ROUNDS):
             found = put(self._near(self._stars(live, r), f"star{r}"), f"links{r}")
             links = found.count()
             self.scratch.drop(f"hubs{r}")
+            free_shuffles(self.spark)
             if links:
                 self._join_up(found, f"labels{r}")
             if STAR_YIELD * links < self.scratch.read(f"star{r}", "a long, b long").count():
                 break
         found = put(self._near(self._across(live), "across"), "links")
         self.scratch.drop("open")
+        free_shuffles(self.spark)
         if not found.isEmpty():
             self._join_up(found, "labels")
 
@@ -339,6 +342,7 @@ class JaccardJoin:
         for done in self.tested:
             fresh = fresh.join(done, ["lo", "hi"], "left_anti")
         pairs = self.scratch.table(fresh.select("a", "b"), name)
+        free_shuffles(self.spark)
         self.tested.append(pairs.select(*ends))
         hubs = self.scratch.table(pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB_PAIRS).cast("int").alias("salts")), f"{name}-hubs")
         member = pairs.join(hubs, "a").select(F.col("b").alias("doc_id"), F.struct(F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt")).alias("t"))
