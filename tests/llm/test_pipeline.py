@@ -3,8 +3,7 @@
 import re
 
 import corpus_pipeline
-from graphloom.llm import mixing
-from test_operators import brute_components, sets, squeeze
+from test_operators import brute_components, sets, squeeze, targets
 
 
 def test_pipeline(spark, data):
@@ -24,7 +23,7 @@ def test_pipeline(spark, data):
     for _, t, _, s in docs:
         size[s] = size.get(s, 0) + len(t.split())
     order = sorted(size)
-    want = dict(zip(order, mixing.targets([size[s] for s in order], [(5, 2, 1)[i % 3] for i in range(len(order))], 1.5 * sum(size.values()), 2.0), strict=True))
+    want = dict(zip(order, targets([size[s] for s in order], [(5, 2, 1)[i % 3] for i in range(len(order))], 1.5 * sum(size.values()), 2.0), strict=True))
     for i, t, _, s in docs:
         assert (got[i].size, got[i].source_size) == (len(t.split()), size[s]) and abs(got[i].target - want[s]) < 1e-6
     for s in order:
