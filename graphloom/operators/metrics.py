@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.graph import PropertyGraph
+from graphloom.operators.primitives import ranks
 from graphloom.operators.reorder import rabbit_adjacency
 
 
@@ -57,7 +58,8 @@ def skew_locality(g: PropertyGraph, size: int) -> DataFrame:
     n = g.vertices.count()
     parts = (n - 1) // size + 1
     sums = g.degrees().groupBy(F.floor(F.col("id") / size).alias("p")).agg(F.sum("out_deg").alias("s")).filter(F.col("p") < parts - 1)
-    ranked = sums.withColumn("lo", F.row_number().over(Window.orderBy("s", "p"))).withColumn("hi", F.row_number().over(Window.orderBy(F.col("s").desc(), F.col("p").desc())))
+    ranked = ranks(sums, F.col("s"), F.col("p"), name="lo").withColumn("lo", F.col("lo") + 1)
+    ranked = ranked.withColumn("hi", F.lit(ranked.count() + 1) - F.col("lo"))
     shares = [(s, math.ceil(parts * s / 100)) for s in (1, 10, 20, 30, 40, 50)]
     counts = F.broadcast(g.edges.sparkSession.createDataFrame(shares, "share int, c int"))  # six rows
     both = ranked.join(counts, (F.col("lo") <= F.col("c")) | (F.col("hi") <= F.col("c")))

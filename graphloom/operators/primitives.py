@@ -28,10 +28,16 @@ def edge_map_data(g: PropertyGraph, frontier: DataFrame, msg: Column, combine: s
     return sent.groupBy("id").agg(COMBINE[combine](F.col("msg")).alias("msg")) if dedup else sent
 
 
-def edge_map(g: PropertyGraph, frontier: DataFrame, cond: DataFrame | None = None, remove_duplicates: bool = True) -> DataFrame:
-    """(id): the targets of the frontier's edges that ``cond`` lets in."""
-    out = edge_map_data(g, frontier.select("id"), F.col("src"), cond=cond, dedup=False).select("id")
-    return out.distinct() if remove_duplicates else out
+def edge_map(g: PropertyGraph, frontier: DataFrame, cond: DataFrame | None = None, remove_duplicates: bool = True, no_output: bool = False, pack: Column | None = None):
+    """(id): the targets of the frontier's edges that ``cond`` lets in.
+
+    ``no_output`` gives an empty frontier; with ``pack`` (a condition on src and dst) only edges that
+    meet it are followed, and the graph in which the frontier's other edges are gone comes second.
+    """
+    kept = pack_edges(g, frontier, pack) if pack is not None else g
+    out = edge_map_data(kept, frontier.select("id"), F.col("src"), cond=cond, dedup=False).select("id")
+    out = out.filter(F.lit(False)) if no_output else out.distinct() if remove_duplicates else out
+    return (out, kept) if pack is not None else out
 
 
 def edge_map_induced(g: PropertyGraph, frontier: DataFrame) -> DataFrame:
@@ -75,6 +81,17 @@ def vertex_filter(state: DataFrame, pred: Column) -> DataFrame:
     return state.filter(pred)
 
 
+def vertex_filter_data(subset: DataFrame, data: DataFrame, pred: Column) -> DataFrame:
+    """The subset's rows that meet ``pred``, which may name the subset's own columns and those of ``data`` (by id)."""
+    return subset.join(data, "id").filter(pred).select(*subset.columns)
+
+
+def transpose_matrix(cells: DataFrame, block: int = 1024) -> DataFrame:
+    """(row, col, value) with row and column exchanged, laid out by square blocks of the result."""
+    out = cells.select(F.col("col").alias("row"), F.col("row").alias("col"), "value")
+    return out.repartitionByRange(F.floor(F.col("row") / block), F.floor(F.col("col") / block)).sortWithinPartitions("row", "col")
+
+
 def histogram(values: DataFrame, key: str, value: Column | None = None, reduce: str = "count") -> DataFrame:
     return values.groupBy(key).agg(COMBINE[reduce](F.lit(1) if value is None else value).alias("value"))
 
@@ -83,24 +100,21 @@ def reduce_column(values: DataFrame, column: str, how: str = "sum") -> DataFrame
     return values.agg(COMBINE[how](F.col(column)).alias("value"))
 
 
-def scan(values: DataFrame, order: str, value: str, inclusive: bool = False, backward: bool = False, blocks: int = 64) -> DataFrame:
-    """``values`` with a prefix sum ``scan`` by the integer column ``order``.
+def scan(values: DataFrame, order: str, value: str, inclusive: bool = False, backward: bool = False) -> DataFrame:
+    """``values`` with a prefix sum ``scan`` by the integer column ``order``, whose values differ.
 
-    Two levels: sums of ``blocks`` ranges of the order first, then sums inside each range, so no
-    task ever holds all rows.
+    Two levels, as in ``ranks``: sums of the range partitions before, then sums inside each one.
     """
-    span = values.agg(F.min(order).alias("lo"), F.max(order).alias("hi")).first()
-    if span["lo"] is None:
-        return values.withColumn("scan", F.lit(0).cast("long"))
-    width = max(1, -(-(span["hi"] - span["lo"] + 1) // blocks))
+    from graphloom.store import Scratch
+
     key = F.col(order).desc() if backward else F.col(order).asc()
-    placed = values.withColumn("_b", F.floor((F.col(order) - span["lo"]) / width))
-    sums = placed.groupBy("_b").agg(F.sum(value).alias("_s"))
-    before = Window.orderBy(F.col("_b").desc() if backward else F.col("_b")).rowsBetween(Window.unboundedPreceding, -1)
-    sums = F.broadcast(sums.select("_b", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_before")))  # ``blocks`` rows
-    upto = Window.partitionBy("_b").orderBy(key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = placed.join(sums, "_b").withColumn("scan", F.col("_before") + F.sum(value).over(upto) - (F.lit(0) if inclusive else F.col(value)))
-    return out.drop("_b", "_before")
+    fixed = Scratch(values.sparkSession, "scan").table(values.repartitionByRange(key).withColumn("_p", F.spark_partition_id()), "rows")
+    sums = fixed.groupBy("_p").agg(F.sum(value).alias("_s"))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    sums = F.broadcast(sums.select("_p", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_before")))  # one row a partition
+    upto = Window.partitionBy("_p").orderBy(key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = fixed.join(sums, "_p").withColumn("scan", F.col("_before") + F.sum(value).over(upto) - (F.lit(0) if inclusive else F.col(value)))
+    return out.drop("_p", "_before")
 
 
 def ranks(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:

@@ -7,7 +7,7 @@ from collections import deque
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.graph import PropertyGraph
@@ -91,41 +91,39 @@ def order_balanced(g: PropertyGraph, clusters: DataFrame, part_kb: int = 512, th
     """Clusters dealt over partitions: hubs and left-over cold vertices round robin, cold vertices in
     equal runs, what doesn't fit into the last partition.
 
-    Whether a partition is full depends on all vertices before, so one task deals out
-    (cluster, hub, id) rows in order; it keeps 16 bytes a vertex.
+    A partition is full once as many vertices as it holds were offered to it, and the number of offers
+    before a vertex follows from its rank and from the sizes of the clusters before: no task deals.
     """
     size, parts = partition_size(g.vertices.count(), part_kb, threads)
     if parts < 2:
         raise ValueError("needs two partitions or more")
+    ring = parts - 1
     deg, _ = _hubs(g)
-    rows = clusters.select("id", "cluster").join(deg, "id").select("id", "cluster", "hub")
-
-    def deal(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["cluster", "id"], kind="stable")
-        bins: list[list[int]] = [[] for _ in range(parts)]
-        turn = 0
-
-        def round_robin(ids) -> None:
-            nonlocal turn
-            for v in ids:
-                full = len(bins[turn]) >= size
-                bins[parts - 1 if full else turn].append(v)
-                turn = (turn + 1) % (parts - 1)
-
-        for _, group in pdf.groupby("cluster", sort=True):
-            cold = group.id[~group.hub].tolist()
-            round_robin(group.id[group.hub].tolist())
-            run = len(cold) // (parts - 1)
-            for p in range(parts - 1):
-                mine = cold[p * run : (p + 1) * run]
-                room = max(0, size - len(bins[p]))
-                bins[p] += mine[:room]
-                bins[parts - 1] += mine[room:]
-            round_robin(cold[run * (parts - 1) :])
-        order = [v for b in bins for v in b]
-        return pd.DataFrame({"old_id": order, "new_id": np.arange(len(order))})
-
-    return rows.groupBy().applyInPandas(deal, "old_id long, new_id long")
+    rows = ranks(clusters.select("id", "cluster").join(deg, "id").select("id", "cluster", "hub"), F.col("cluster"), F.col("hub").desc(), F.col("id"), name="r")
+    sizes = rows.groupBy("cluster").agg(F.count_if("hub").alias("hubs"), F.count_if(~F.col("hub")).alias("cold")).withColumn("run", F.floor(F.col("cold") / ring))
+    w = Window.orderBy("cluster").rowsBetween(Window.unboundedPreceding, -1)  # one row a cluster
+    before = lambda c: F.coalesce(F.sum(c).over(w), F.lit(0))
+    turns = F.col("hubs") + F.col("cold") % ring
+    sizes = sizes.select("cluster", "hubs", "run", turns.alias("turns"), before(F.col("hubs") + F.col("cold")).alias("start"), before(turns).alias("turn"), before(F.col("run")).alias("runs"))
+    end = sizes.agg(F.sum("turns").alias("turns"), F.sum("run").alias("runs")).first()
+    turn, runs, run = F.col("turn"), F.col("runs"), F.col("run")
+    i = F.col("r") - F.col("start") - F.when(F.col("hub"), 0).otherwise(F.col("hubs"))
+    t = F.when(F.col("hub"), turn + i).otherwise(turn + F.col("hubs") + i - run * ring)
+    in_run = ~F.col("hub") & (i < run * ring)
+    run_bin = F.floor(i / F.greatest(run, F.lit(1)))
+    offers = F.floor((turn + F.col("hubs") + ring - 1 - run_bin) / ring) + runs + i % F.greatest(run, F.lit(1))
+    placed = rows.join(sizes, "cluster").select(
+        "id", "r",
+        F.when(in_run, run_bin).otherwise(t % ring).alias("bin"),
+        F.when(in_run, offers).otherwise(F.floor(t / ring) + runs + F.when(F.col("hub"), 0).otherwise(run)).alias("at"),
+    )
+    turns, runs = int(end["turns"] or 0), int(end["runs"] or 0)
+    few, extra = min(size, turns // ring + runs), turns % ring
+    more = min(size, turns // ring + runs + 1) - few
+    first = F.col("bin") * few + F.least("bin", F.lit(extra)) * more
+    fits = placed.filter(F.col("at") < size).select(F.col("id").alias("old_id"), (first + F.col("at")).cast("long").alias("new_id"))
+    rest = ranks(placed.filter(F.col("at") >= size).select("id", "r"), F.col("r"), name="k")
+    return fits.unionByName(rest.select(F.col("id").alias("old_id"), (F.col("k") + ring * few + extra * more).cast("long").alias("new_id")))
 
 
 def order_map(perm: DataFrame) -> DataFrame:

@@ -9,25 +9,21 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.graph import HyperGraph, PropertyGraph
-from graphloom.operators.convert import compact, el2csr
+from graphloom.operators.convert import compact
 from graphloom.operators.primitives import ranks
+from graphloom.sources.binary import adjacency_pieces, open_fs, string_together
 from graphloom.store import Scratch
 
 #: Numbers in one range of a binary file.
 RANGE = 1 << 20
 
 
-def open_fs(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
-
-
-def read_u32(spark: SparkSession, path: str, start: int, count: int) -> DataFrame:
-    """at, value: ``count`` little-endian 32-bit numbers from number ``start`` on; each range is a row's task."""
+def read_u32(spark: SparkSession, path: str, start: int, count: int, base: int = 0) -> DataFrame:
+    """at, value: ``count`` little-endian 32-bit numbers from number ``start`` on, counted from byte ``base``; each range is a row's task."""
     pieces = spark.range(max(1, -(-count // RANGE)), numPartitions=max(1, min(10_000, -(-count // RANGE))))
 
     def run(batches):
@@ -36,7 +32,7 @@ def read_u32(spark: SparkSession, path: str, start: int, count: int) -> DataFram
             for i in batch.column(0).to_pylist():
                 lo, n = i * RANGE, max(0, min(RANGE, count - i * RANGE))
                 with store.open_input_file(where) as file:
-                    got = np.frombuffer(file.read_at(4 * n, 4 * (start + lo)), "<u4").astype(np.int64)
+                    got = np.frombuffer(file.read_at(4 * n, base + 4 * (start + lo)), "<u4").astype(np.int64)
                 if len(got) != n:
                     raise ValueError(f"{path} is too short")
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(lo, lo + n)), pa.array(got)], ["at", "value"])
@@ -84,18 +80,24 @@ def read_triple(spark: SparkSession, stem: str, weighted: bool = False) -> Prope
 
 
 def write_csr(g: PropertyGraph, path: str, ascending: bool = False) -> None:
-    """One flat file, which is what readers of the format expect: rows stream through the driver in id order."""
-    rows = el2csr(g, weights=0 if g.weighted else None).orderBy("id")
-    m = g.edges.filter("src <> dst").count()
-    store, where = open_fs(path)
-    with store.open_output_stream(where) as out:
-        out.write(np.array([g.vertices.count(), m], "<u4").tobytes())
-        for row in rows.select("offset").toLocalIterator(prefetchPartitions=True):
-            out.write(np.array([row.offset], "<u4").tobytes())
-        for column in ["nbrs", *(["ws"] if g.weighted else [])]:
-            for row in rows.select(column).toLocalIterator(prefetchPartitions=True):
-                values = row[0][::-1] if ascending else row[0]
-                out.write(np.array(values, "<u4").tobytes())
+    """One flat file, which is what readers of the format expect: loops go, repeats stay."""
+    edges = g.edges.filter("src <> dst")
+    offsets, targets, weights = adjacency_pieces(edges, g.vertices, "src", "dst", path, descending=not ascending)
+    string_together(path, np.array([g.vertices.count(), edges.count()], "<u4").tobytes(), offsets, targets, weights)
+
+
+def read_hyper_binary(spark: SparkSession, stem: str) -> HyperGraph:
+    """.config holds the four counts; weights follow the members where the files have room for them."""
+    store, where = open_fs(f"{stem}.vadj")
+    nv, mv, nh, mh = (int(x) for x in spark.read.text(f"{stem}.config").first()["value"].split()[:4])
+    weighted = mv > 0 and store.get_file_info(where).size == 8 * mv
+    sides = []
+    for side, n, m, a, b in (("v", nv, mv, "v", "h"), ("h", nh, mh, "h", "v")):
+        edges = _edges_of(spark, read_u32(spark, f"{stem}.{side}idx", 0, n), read_u32(spark, f"{stem}.{side}adj", 0, m), m)
+        if weighted:
+            edges = edges.join(read_u32(spark, f"{stem}.{side}adj", m, m).withColumnRenamed("value", "w"), "at")
+        sides.append(edges.drop("at").withColumnRenamed("src", a).withColumnRenamed("dst", b))
+    return HyperGraph(sides[0], sides[1], spark.range(nv), spark.range(nh))
 
 
 def read_edgelist(spark: SparkSession, path: str, drop_loops: bool = True, weighted: bool = False) -> PropertyGraph:

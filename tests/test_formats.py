@@ -1,5 +1,6 @@
 """Readers undo writers; codecs undo themselves."""
 
+import itertools
 import random
 
 import numpy as np
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from graphloom.graph import HyperGraph, PropertyGraph
 from graphloom.operators import cluster, generate
 from graphloom.operators.traverse import bfs
-from graphloom.sources import codec, formats
+from graphloom.sources import binary, codec, formats
 
 
 @pytest.fixture(scope="module")
@@ -103,11 +104,86 @@ def test_perm_trace_features_log(spark, g, tmp_path):
     assert spark.read.text(f"{tmp_path}/e").count() == 33
 
 
+def plain_code(vertex, nbrs, code):
+    """A value at a time: what the coded rows must be."""
+    bits = 3 if code == "nibble" else 7
+
+    def groups(value, first=False, minus=False):
+        width, out = bits - first, []
+        while True:
+            part, value = value % (1 << width), value >> width
+            out.append(part + (minus << width) * (first and not out) + (bool(value) << bits))
+            width = bits
+            if not value:
+                return out
+
+    if not nbrs:
+        return b""
+    gaps = [b - a for a, b in zip(nbrs, nbrs[1:])]
+    out = groups(abs(nbrs[0] - vertex), True, nbrs[0] < vertex)
+    if code == "rle":
+        while gaps:
+            size = max(1, (gaps[0].bit_length() + 7) // 8)
+            run = [x for _, x in zip(range(64), itertools.takewhile(lambda x: max(1, (x.bit_length() + 7) // 8) == size, gaps))]
+            out += groups((size - 1) * 64 + len(run) - 1) + [b for x in run for b in x.to_bytes(size, "little")]
+            gaps = gaps[len(run) :]
+        return bytes(out)
+    out += [x for g in gaps for x in groups(g)]
+    return bytes(out) if code == "byte" else bytes(a + b * 16 for a, b in itertools.zip_longest(out[::2], out[1::2], fillvalue=0))
+
+
 def test_codecs(spark, g):
     rng = random.Random(5)
     for code in ("byte", "rle", "nibble"):
         for _ in range(200):
-            v, nbrs = rng.randrange(10**6), sorted(rng.sample(range(10**7), rng.randrange(30)))
-            assert codec.decode_row(v, len(nbrs), codec.encode_row(v, nbrs, code), code) == nbrs
-        got = codec.decode(codec.encode(g, code), code)
-        assert sorted(got.edges.collect()) == sorted(g.edges.collect())
+            ids = [rng.randrange(10**6) for _ in range(rng.randrange(1, 5))]
+            rows = [sorted(rng.sample(range(10 ** rng.choice([3, 7])), rng.choice([0, 1, 2, 30, 150]))) for _ in ids]
+            coded = codec.encode_rows(ids, rows, code)
+            assert coded == [plain_code(v, r, code) for v, r in zip(ids, rows, strict=True)]
+            assert [x.tolist() for x in codec.decode_rows(ids, [len(r) for r in rows], coded, code)] == rows
+        for chunk in (None, 2):
+            got = codec.decode(codec.encode(g, code, chunk), code)
+            assert sorted(got.edges.collect()) == sorted(g.edges.collect())
+
+
+@pytest.mark.parametrize("code,chunk", [("byte", None), ("rle", None), ("nibble", 2), ("byte", 2)])
+def test_coded_files(spark, g, tmp_path, code, chunk):
+    for i, symmetric in enumerate((True, False)):
+        binary.write_coded(g, f"{tmp_path}/c{i}", code, chunk, symmetric)
+        same(g, binary.read_coded(spark, f"{tmp_path}/c{i}", code, chunk))
+    assert not [x for x in tmp_path.iterdir() if "pieces" in x.name]
+    pairs = spark.createDataFrame([(0, 0), (1, 0), (2, 0), (2, 1), (3, 1), (0, 2)], "v long, h long")
+    h = HyperGraph.symmetric(pairs, spark.range(5), spark.range(3))
+    binary.write_hyper_coded(h, f"{tmp_path}/h", code, chunk)
+    got = binary.read_hyper_coded(spark, f"{tmp_path}/h", code, chunk)
+    assert sorted(got.v2h.collect()) == sorted(pairs.collect()) == sorted(got.h2v.select("v", "h").collect())
+    with open(f"{tmp_path}/c0", "r+b") as file:
+        file.truncate(300)
+    with pytest.raises(Exception):
+        binary.read_coded(spark, f"{tmp_path}/c0", code, chunk).edges.count()
+
+
+def test_coded_layout(spark, tmp_path):
+    """Bytes by hand: n, m, bytes; offsets; degrees; a row in chunks begins with the place of its second chunk."""
+    g = PropertyGraph(spark.range(4), spark.createDataFrame([(0, 1), (0, 2), (0, 3), (2, 1)], "src long, dst long"))
+    binary.write_coded(g, f"{tmp_path}/a", chunk=2)
+    raw = (tmp_path / "a").read_bytes()
+    assert np.frombuffer(raw, "<i8", 3).tolist() == [4, 4, 8]
+    assert np.frombuffer(raw, "<u4", 9, 24).tolist() == [0, 7, 7, 8, 8, 3, 0, 1, 0]
+    assert raw[60:] == bytes([6, 0, 0, 0, 1, 1, 3, 65])
+
+
+def test_binary_writers(spark, g, gw, tmp_path):
+    for i, x in enumerate((g, gw)):
+        binary.write_triple(x, f"{tmp_path}/t{i}")
+        same(x, formats.read_triple(spark, f"{tmp_path}/t{i}", weighted=x.weighted))
+    pairs = spark.createDataFrame([(0, 0), (1, 0), (2, 1), (3, 1), (0, 2)], "v long, h long")
+    h = HyperGraph.symmetric(pairs, spark.range(5), spark.range(3))
+    for i, x in enumerate((h, generate.add_hyper_weights(h))):
+        binary.write_hyper_binary(x, f"{tmp_path}/h{i}")
+        y = formats.read_hyper_binary(spark, f"{tmp_path}/h{i}")
+        for side in ("v2h", "h2v"):
+            cols = sorted(getattr(x, side).columns)
+            assert sorted(getattr(y, side).select(cols).collect()) == sorted(getattr(x, side).select(cols).collect())
+    with pytest.raises(Exception):
+        binary.write_triple(PropertyGraph(g.vertices, g.edges.select("src", (F.col("dst") - 100).alias("dst"))), f"{tmp_path}/bad")

@@ -1,5 +1,6 @@
 """Toy graphs with known answers, invariants, and properties under relabelling."""
 
+import collections
 import math
 import random
 
@@ -264,3 +265,39 @@ def test_empty_graph(spark):
 def test_el2csr(spark):
     g = graph(spark, 3, [(0, 1), (0, 2), (1, 1), (0, 1)], symmetric=False)
     assert [(r.id, r.offset, list(r.nbrs)) for r in convert.el2csr(g).orderBy("id").collect()] == [(0, 0, [2, 1, 1]), (1, 3, []), (2, 3, [])]
+
+
+def plain_deal(rows, size, parts):
+    """Vertices dealt one by one. ``rows``: (cluster, id, hub)."""
+    bins, turn = [[] for _ in range(parts)], 0
+
+    def offer(b, v):
+        bins[b if len(bins[b]) < size else parts - 1].append(v)
+
+    for cluster in sorted({c for c, _, _ in rows}):
+        hubs = sorted(v for c, v, hub in rows if c == cluster and hub)
+        cold = sorted(v for c, v, hub in rows if c == cluster and not hub)
+        run = len(cold) // (parts - 1)
+        for v in hubs:
+            offer(turn, v)
+            turn = (turn + 1) % (parts - 1)
+        for i, v in enumerate(cold):
+            if i < run * (parts - 1):
+                offer(i // run, v)
+            else:
+                offer(turn, v)
+                turn = (turn + 1) % (parts - 1)
+    return {v: i for i, v in enumerate(v for b in bins for v in b)}
+
+
+def test_balanced_order_deals_one_by_one(spark):
+    rng = random.Random(2)
+    for n, threads, clusters in ((60, 2, 3), (97, 1, 5), (40, 3, 1), (130, 2, 40)):
+        edges = [(min(int(rng.paretovariate(0.7)), n) - 1, rng.randrange(n)) for _ in range(3 * n)]
+        g = PropertyGraph(spark.range(n), spark.createDataFrame(edges, "src long, dst long"))
+        own = {v: rng.randrange(clusters) for v in range(n)}
+        size, parts = reorder.partition_size(n, 512, threads)
+        deg = collections.Counter(a for a, _ in edges)
+        want = plain_deal([(own[v], v, deg[v] > len(edges) // n) for v in range(n)], size, parts)
+        got = reorder.order_balanced(g, spark.createDataFrame(list(own.items()), "id long, cluster long"), 512, threads)
+        assert {r.old_id: r.new_id for r in got.collect()} == want
