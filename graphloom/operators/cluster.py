@@ -30,7 +30,12 @@ def bfs_trace(g: PropertyGraph, sources: list[int]) -> DataFrame:
 
 def embed(trace: DataFrame, vertices: DataFrame, samples: int) -> DataFrame:
     """id, feat: level in each sample, 0 for the source and for what isn't reached."""
-    cols = [F.coalesce(F.max(F.when(F.col("sample") == i, F.col("level"))), F.lit(0)).alias(f"s{i}") for i in range(samples)]
+    return attributes(trace, vertices, samples).withColumn("feat", F.transform("feat", lambda x: F.coalesce(x, F.lit(0))))
+
+
+def attributes(trace: DataFrame, vertices: DataFrame, samples: int) -> DataFrame:
+    """id, feat: level in each sample, null for what isn't reached."""
+    cols = [F.max(F.when(F.col("sample") == i, F.col("level"))).alias(f"s{i}") for i in range(samples)]
     wide = vertices.select("id").join(trace, "id", "left").groupBy("id").agg(*cols)
     return wide.select("id", F.array(*[f"s{i}" for i in range(samples)]).alias("feat"))
 

@@ -194,7 +194,13 @@ def hyper_degrees(h: HyperGraph) -> DataFrame:
 
 
 def hyper_dump(h: HyperGraph) -> DataFrame:
-    """side, id, members: adjacency of both sides as text, sorted."""
-    v = h.v2h.groupBy(F.col("v").alias("id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list("h")), lambda x: x.cast("string")), " ").alias("members")).withColumn("side", F.lit("V"))
-    e = h.h2v.groupBy(F.col("h").alias("id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list("v")), lambda x: x.cast("string")), " ").alias("members")).withColumn("side", F.lit("H"))
-    return v.unionByName(e).select("side", "id", "members")
+    """side, id, members: adjacency of both sides as text, sorted; ``member:weight`` where there are weights."""
+
+    def side(pairs: DataFrame, name: str, own: str, other: str) -> DataFrame:
+        weighted = "w" in pairs.columns
+        member = F.struct(other, *(["w"] if weighted else []))
+        text = lambda x: F.concat_ws(":", x[other], *([x["w"]] if weighted else []))
+        rows = pairs.groupBy(F.col(own).alias("id")).agg(F.sort_array(F.collect_list(member)).alias("m"))
+        return rows.select(F.lit(name).alias("side"), "id", F.array_join(F.transform("m", text), " ").alias("members"))
+
+    return side(h.v2h, "V", "v", "h").unionByName(side(h.h2v, "H", "h", "v"))

@@ -33,17 +33,6 @@ class Rounds:
         return self.scratch.table(df, name)
 
 
-def fixpoint(init: DataFrame, step: Callable[[DataFrame, int], DataFrame], changed: Column, max_iter: int = 1000, label: str = "fixpoint") -> DataFrame:
-    """Repeats ``step`` until no row of its result meets ``changed``."""
-    rounds = Rounds(init.sparkSession, label)
-    state, _ = rounds.cut(init)
-    for i in range(1, max_iter + 1):
-        state, seen = rounds.cut(step(state, i), changed=changed)
-        if not seen["changed"]:
-            return state
-    raise RuntimeError(f"{label} still changes after {max_iter} rounds")
-
-
 def bucket_loop(state: DataFrame, step: Callable[[DataFrame, DataFrame, int], DataFrame], order: str = "increasing", max_iter: int = 10_000, label: str = "buckets") -> DataFrame:
     """Takes the lowest (or highest) open bucket until none is left.
 

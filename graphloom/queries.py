@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from graphloom.functions.exprs import hash32, hash64, l1, mismatches
 from graphloom.graph import PropertyGraph
 from graphloom.operators import cluster, convert, decompose, eccentricity, gas, generate, hyper, local, metrics, primitives, ranking, reorder, traverse
-from graphloom.sources import codec
+from graphloom.plans.rounds import bucket_loop
+from graphloom.sources import binary, codec, formats
 from graphloom.sources.derived import cust_supp, hub, order_part, part_next, part_sym, part_weighted, table
 from graphloom.store import Scratch
 
@@ -777,3 +778,208 @@ def codec_bytes(s, d):
 @query
 def codec_hyper(s, d):
     return codec.decode_hyper(codec.encode_hyper(order_part(s, d)))[0]
+
+
+# sources and sinks: each query writes a graph in a format and reads it back
+
+
+def _path(s, name: str) -> str:
+    return Scratch(s, "files").path(name)
+
+
+def _files(name: str, graph, write, read) -> None:
+    def run(s, d):
+        path = _path(s, name)
+        write(graph(s, d), path)
+        return read(s, path).edges
+
+    run.__name__ = name
+    query(run)
+
+
+_files("io_csr", part_next, formats.write_csr, formats.read_csr)
+_files("io_csr_weighted", part_weighted, formats.write_csr, lambda s, p: formats.read_csr(s, p, weighted=True))
+_files("io_edgelist", part_next, formats.write_edgelist, formats.read_edgelist)
+_files("io_snap", part_next, lambda g, p: formats.write_edgelist(g, p, sep="\t"), lambda s, p: formats.read_snap(s, p, symmetric=True))
+_files("io_snap_weighted", part_weighted, formats.write_edgelist, lambda s, p: formats.read_snap(s, p, weighted=True))
+_files("io_adjacency", part_sym, formats.write_adjacency, formats.read_adjacency)
+_files("io_adjacency_weighted", part_weighted, formats.write_adjacency, formats.read_adjacency)
+_files("io_triple", part_next, binary.write_triple, formats.read_triple)
+_files("io_triple_weighted", part_weighted, binary.write_triple, lambda s, p: formats.read_triple(s, p, weighted=True))
+_files("io_coded_byte", part_next, lambda g, p: binary.write_coded(g, p, "byte", symmetric=False), lambda s, p: binary.read_coded(s, p, "byte"))
+_files("io_coded_rle", part_sym, lambda g, p: binary.write_coded(g, p, "rle"), lambda s, p: binary.read_coded(s, p, "rle"))
+_files("io_coded_nibble", part_sym, lambda g, p: binary.write_coded(g, p, "nibble"), lambda s, p: binary.read_coded(s, p, "nibble"))
+_files("io_coded_chunks", part_sym, lambda g, p: binary.write_coded(g, p, "byte", 16), lambda s, p: binary.read_coded(s, p, "byte", 16))
+
+
+def _hyper_files(name: str, graph, write, read) -> None:
+    def run(s, d):
+        path = _path(s, name)
+        write(graph(s, d), path)
+        return read(s, path).v2h
+
+    run.__name__ = name
+    query(run)
+
+
+def _order_part_weighted(s, d):
+    return generate.add_hyper_weights(order_part(s, d))
+
+
+_hyper_files("io_hyper", order_part, formats.write_hyper, formats.read_hyper)
+_hyper_files("io_hyper_weighted", _order_part_weighted, formats.write_hyper, formats.read_hyper)
+_hyper_files("io_hyper_binary", order_part, binary.write_hyper_binary, formats.read_hyper_binary)
+_hyper_files("io_hyper_binary_weighted", _order_part_weighted, binary.write_hyper_binary, formats.read_hyper_binary)
+_hyper_files("io_hyper_coded", order_part, binary.write_hyper_coded, binary.read_hyper_coded)
+
+
+def _members(h, path: str) -> None:
+    """A line a hyperedge, in the order of their ids."""
+    lines = h.v2h.groupBy("h").agg(F.sort_array(F.collect_list("v")).alias("v")).orderBy("h")
+    lines.select(F.array_join(F.transform("v", lambda x: x.cast("string")), " ").alias("value")).write.text(path)
+
+
+_hyper_files("io_community", order_part, _members, formats.read_community)
+_hyper_files("io_konect", order_part, lambda h, p: h.v2h.select(F.concat_ws(" ", "v", "h").alias("value")).write.text(p), lambda s, p: formats.read_konect(s, p))
+
+
+@query
+def community_to_clique(s, d):
+    path = _path(s, "members")
+    _members(order_part(s, d), path)
+    return formats.read_community(s, path).expand().edges.groupBy("src", "dst").agg(F.count("*").alias("n"))
+
+
+@query
+def konect_to_hyper(s, d):
+    """From pairs to a hypergraph file, as it is read again."""
+    pairs, path = _path(s, "pairs"), _path(s, "hyper")
+    order_part(s, d).v2h.select(F.concat_ws(" ", "v", "h").alias("value")).write.text(pairs)
+    formats.write_hyper(formats.read_konect(s, pairs), path)
+    return formats.read_hyper(s, path).h2v
+
+
+@query
+def snap_to_adjacency(s, d):
+    """From an edge list to adjacency text, as it is read again."""
+    lines, path = _path(s, "lines"), _path(s, "adjacency")
+    formats.write_edgelist(part_next(s, d), lines)
+    formats.write_adjacency(formats.read_snap(s, lines, symmetric=True), path)
+    return formats.read_adjacency(s, path).edges
+
+
+@query
+def adjacency_to_binary(s, d):
+    text, stem = _path(s, "text"), _path(s, "binary")
+    formats.write_adjacency(part_weighted(s, d), text)
+    binary.write_triple(formats.read_adjacency(s, text), stem)
+    return formats.read_triple(s, stem, weighted=True).edges
+
+
+@query
+def io_permutation(s, d):
+    g, path = part_next(s, d), _path(s, "map")
+    formats.write_perm(reorder.order_sort(g), 0, path)
+    return formats.read_perm(s, path)
+
+
+@query
+def io_trace(s, d):
+    g, path = _kept(part_sym(s, d)), _path(s, "trace")
+    formats.write_trace(cluster.bfs_trace(g, [0]), 0, path)
+    return formats.read_trace(s, f"{path}/sample=0", 0)
+
+
+@query
+def io_features(s, d):
+    path = _path(s, "features")
+    formats.write_features(_features(s, d), path)
+    return formats.read_features(s, path).select("id", *[F.col("feat")[i].alias(f"f{i}") for i in range(3)])
+
+
+@query
+def io_log(s, d):
+    path = _path(s, "log")
+    times = table(s, d, "orders").groupBy((F.col("o_custkey") % 5).alias("run")).agg(F.max("o_orderkey").alias("sec"))
+    times.select(F.concat(F.lit("Avg time of run "), F.col("run"), F.lit(" is "), F.col("sec")).alias("value")).write.text(path)
+    return formats.read_log(s, path, engine="e", algo="BFS")
+
+
+# further parts of the operator algebra
+
+
+@query
+def edge_map_pack(s, d):
+    """Targets over the edges that stay, and how many edges the packed graph has."""
+    g = part_next(s, d)
+    out, packed = primitives.edge_map(g, _front(g), pack=F.col("dst") % 2 == 0)
+    return out.join(packed.edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n")), "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query
+def edge_map_no_output(s, d):
+    g = part_next(s, d)
+    return primitives.edge_map(g, _front(g), no_output=True).agg(F.count("*").alias("n"))
+
+
+@query
+def vertex_filter_data(s, d):
+    g = part_next(s, d)
+    return primitives.vertex_filter_data(_front(g).select("id", (F.col("id") % 7).alias("datum")), g.degrees(), F.col("out_deg") + F.col("datum") > 24)
+
+
+@query
+def transpose_matrix(s, d):
+    cells = table(s, d, "part").select(F.floor(F.col("p_partkey") / 50).alias("row"), (F.col("p_partkey") % 50).alias("col"), F.col("p_partkey").alias("value"))
+    return primitives.transpose_matrix(cells).withColumnsRenamed({"row": "r", "col": "c", "value": "x"})
+
+
+@query
+def sorted_order(s, d):
+    """Places in a sort by a key with many ties."""
+    return primitives.ranks(part_next(s, d).edges, F.col("dst").desc(), F.col("src"), name="place")
+
+
+@query
+def bucket_rounds(s, d):
+    """Vertices in buckets of out-degree, lowest first; odd ones move on by two buckets once: the bucket in which each is done."""
+    start = part_next(s, d).degrees().select("id", F.floor(F.col("out_deg") / 8).alias("bucket"), F.lit(None).cast("long").alias("done"), (F.col("id") % 2 == 1).alias("waits"))
+
+    def step(state, active, bucket):
+        mine = F.coalesce(F.col("bucket") == bucket, F.lit(False))
+        goes = mine & F.col("waits")
+        return state.select("id", F.when(goes, F.col("bucket") + 2).when(mine, F.lit(None)).otherwise(F.col("bucket")).alias("bucket"), F.when(mine & ~F.col("waits"), F.lit(bucket)).otherwise(F.col("done")).cast("long").alias("done"), (F.col("waits") & ~mine).alias("waits"))
+
+    return bucket_loop(start, step).select("id", "done")
+
+
+@query
+def frontier(s, d):
+    """A loaded frontier, its rows filtered, with the messages that each would repeat."""
+    g = part_next(s, d)
+    front = gas.load_frontier(g, list(range(0, 100, 3))).filter("id % 2 = 0").withColumn("times", F.col("id") % 4)
+    return gas.repeat_messages(front, "times").select("id", "nth")
+
+
+@query
+def hyper_reader_weighted(s, d):
+    return hyper.hyper_dump(_order_part_weighted(s, d))
+
+
+@query
+def hyper_bipartite(s, d):
+    return order_part(s, d).bipartite().edges
+
+
+@query
+def bfs_attributes(s, d):
+    """Levels from three sources on the directed graph; null where a source doesn't reach."""
+    g = _kept(part_next(s, d))
+    return cluster.attributes(cluster.bfs_trace(g, [0, 1, 2]), g.vertices, 3).select("id", *[F.col("feat")[i].alias(f"f{i}") for i in range(3)])
+
+
+@query
+def bfs_starters(s, d):
+    """The first ten vertices with out-edges in the order of a hash."""
+    ids = cluster.starters(part_next(s, d), 10)
+    return table(s, d, "part").filter(F.col("p_partkey").isin(ids)).select(F.col("p_partkey").alias("id"))

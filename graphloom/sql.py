@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom.functions.exprs import MIX32, MIX64, hash64_int
+from graphloom.functions.exprs import MIX32, MIX64, hash32_int, hash64_int
 from graphloom.queries import CENTROIDS
 
 SQL: dict[str, str] = {}
@@ -59,16 +59,16 @@ s("remove_duplicates", "|SELECT DISTINCT dst FROM e")
 s("search", "|SELECT id AS probe, id IN (SELECT src FROM e) AS found FROM v")
 
 
-def _mix(steps, bits: int) -> str:
-    """The mix as a chain of subqueries over unsigned 128-bit numbers."""
-    sql, mask = "SELECT p_partkey AS id, p_partkey::UHUGEINT AS a FROM part", (1 << bits) - 1
+def _mix(steps, bits: int, rows: str = "SELECT p_partkey AS id, p_partkey::UHUGEINT AS a FROM part", keep: str = "id") -> str:
+    """The mix of column ``a`` as a chain of subqueries over unsigned 128-bit numbers; ``keep`` names the other columns."""
+    sql, mask = rows, (1 << bits) - 1
     for constant, op, shift, join, way in steps:
         left = f"((a + {constant}::UHUGEINT) & {mask}::UHUGEINT)" if op == "+" else f"xor(a, {constant}::UHUGEINT)"
         right = f"((a * {1 << shift}::UHUGEINT) & {mask}::UHUGEINT)" if way == "<" else f"(a // {1 << shift}::UHUGEINT)"
         if way == "<" and bits == 64 and shift > 8:  # keep below 2**128
             right = f"((a & {(1 << (64 - shift)) - 1}::UHUGEINT) * {1 << shift}::UHUGEINT)"
         a = f"(({left} + {right}) & {mask}::UHUGEINT)" if join == "+" else f"xor({left}, {right})"
-        sql = f"SELECT id, {a} AS a FROM ({sql})"
+        sql = f"SELECT {keep}, {a} AS a FROM ({sql})"
     return sql
 
 
@@ -267,3 +267,78 @@ for name in ("codec_byte", "codec_rle", "codec_nibble"):
 _BITS = "(floor(log2(greatest({0}, 1)))::INT + 1)"
 s("codec_bytes", f"g AS (SELECT src, dst, dst - lag(dst) OVER (PARTITION BY src ORDER BY dst) AS gap FROM e)\nSELECT sum(CASE WHEN gap IS NULL THEN 1 + greatest(0, ceil(({_BITS.format('abs(dst - src)')} - 6) / 7)) ELSE 1 + greatest(0, ceil(({_BITS.format('gap')} - 7) / 7)) END)::BIGINT AS bytes, count(*) AS m FROM g")
 SQL["log_summary"] = "WITH l AS (SELECT (o_custkey % 5)::VARCHAR AS data, ['OG', 'SO', 'HC'][o_orderkey % 3 + 1] AS reorder, avg(o_totalprice) AS sec FROM orders GROUP BY ALL)\nSELECT 'e' AS engine, 'BFS' AS algo, l.reorder, round(avg(l.sec), 9) AS seconds, round(avg(g.sec / l.sec), 9) AS speedup, count(*) AS data_sets FROM l JOIN l g ON g.data = l.data AND g.reorder = 'OG' GROUP BY l.reorder"
+
+# files: what was written is read
+for name in ("io_csr", "io_edgelist", "io_triple", "io_coded_byte"):
+    s(name, "|SELECT src, dst FROM e")
+for name in ("io_snap", "io_adjacency", "io_coded_rle", "io_coded_nibble", "io_coded_chunks", "snap_to_adjacency"):
+    s(name, "|SELECT src, dst FROM u")
+for name in ("io_csr_weighted", "io_snap_weighted", "io_adjacency_weighted", "io_triple_weighted", "adjacency_to_binary"):
+    s(name, "|SELECT src, dst, w FROM wu")
+for name in ("io_hyper", "io_hyper_binary", "io_hyper_coded"):
+    h(name, "\nSELECT v, h FROM i")
+_DENSE = "d AS (SELECT dense_rank() OVER (ORDER BY v) - 1 AS v, dense_rank() OVER (ORDER BY h) - 1 AS h FROM i)"
+for name in ("io_community", "io_konect", "konect_to_hyper"):
+    h(name, _DENSE + "\nSELECT v, h FROM d")
+h("community_to_clique", _DENSE + "\nSELECT x.v AS src, y.v AS dst, count(*) AS n FROM d x JOIN d y ON x.h = y.h AND x.v <> y.v GROUP BY ALL")
+SQL["io_permutation"] = SQL["order_so"]
+s("io_trace", _FEAT + "\nSELECT s::INT AS sample, l AS level, v AS id FROM b WHERE s = 0", True)
+SQL["io_features"] = SQL["bfs_feature"]
+SQL["io_log"] = "SELECT 'e' AS engine, 'BFS' AS algo, max(o_orderkey)::DOUBLE AS sec FROM orders GROUP BY o_custkey % 5"
+
+# further parts of the operator algebra
+s("edge_map_pack", "t AS (SELECT DISTINCT dst AS id FROM e WHERE src % 10 = 0 AND dst % 2 = 0), k AS (SELECT src, dst FROM e WHERE src % 10 <> 0 OR dst % 2 = 0)\nSELECT t.id, count(k.src) AS n FROM t LEFT JOIN k ON k.src = t.id GROUP BY t.id")
+SQL["edge_map_no_output"] = "SELECT 0::BIGINT AS n"
+s("vertex_filter_data", "|SELECT id, id % 7 AS datum FROM od WHERE id % 10 = 0 AND d + id % 7 > 24")
+SQL["transpose_matrix"] = "SELECT p_partkey % 50 AS r, p_partkey // 50 AS c, p_partkey AS x FROM part"
+s("sorted_order", "|SELECT src, dst, row_number() OVER (ORDER BY dst DESC, src) - 1 AS place FROM e")
+s("bucket_rounds", "|SELECT id, d // 8 + CASE WHEN id % 2 = 1 THEN 2 ELSE 0 END AS done FROM od")
+SQL["frontier"] = "SELECT id, unnest(range(1, id % 4 + 1)) AS nth FROM (SELECT p_partkey AS id FROM part WHERE p_partkey < 100 AND p_partkey % 6 = 0)"
+h("hyper_bipartite", "\nSELECT src, dst FROM b")
+s("bfs_attributes", "k(id) AS (VALUES (0::BIGINT), (1), (2)),\n" + _MULTI.format("", "id", "k").replace("JOIN u ON u.src", "JOIN e u ON u.src") + "\nSELECT v.id, " + ", ".join(f"max(b.l) FILTER (b.s = {i}) AS f{i}" for i in range(3)) + " FROM v LEFT JOIN b ON b.v = v.id GROUP BY v.id", True)
+
+
+# weights and generators: the same integer mixes
+def _hashed(rows: str, keep: str, bits: int = 32) -> str:
+    """``keep`` and ``h``: the mix of column ``a``."""
+    return f"(SELECT {keep}, a AS h FROM ({_mix(MIX32 if bits == 32 else MIX64, bits, rows, keep)}))"
+
+
+_TOP = "greatest(1, floor(log2(greatest(2, (SELECT count(*) FROM part))))::BIGINT)"
+s(
+    "add_weights",
+    f"""q AS (SELECT src, dst, (row_number() OVER (ORDER BY src, dst) - 1)::UHUGEINT AS a FROM u),
+x AS MATERIALIZED (SELECT src, dst, ((h % (2 * {_TOP})::UHUGEINT) // 2 + 1)::BIGINT AS w FROM {_hashed('SELECT src, dst, a FROM q', 'src, dst')})
+SELECT x.src, x.dst, CASE WHEN x.dst > x.src THEN coalesce(y.w, x.w) ELSE x.w END AS w FROM x LEFT JOIN x y ON y.src = x.dst AND y.dst = x.src""",
+)
+_HTOP = "greatest(1, floor(log2(greatest(2, (SELECT count(*) FROM he), (SELECT count(*) FROM v))))::BIGINT)"
+_HW = f"hw AS MATERIALIZED (SELECT id, (h % {_HTOP}::UHUGEINT + 1)::BIGINT AS w FROM {_hashed('SELECT id, id::UHUGEINT AS a FROM he', 'id')}),\nho AS MATERIALIZED (SELECT id, (h % {_HTOP}::UHUGEINT + 1)::BIGINT AS w FROM {_hashed('SELECT id, (id + (SELECT count(*) FROM he))::UHUGEINT AS a FROM he', 'id')})"
+for name in ("add_hyper_weights", "io_hyper_weighted", "io_hyper_binary_weighted"):
+    h(name, _HW + "\nSELECT v, h, w FROM i JOIN hw ON hw.id = i.h")
+h("hyper_reader_weighted", _HW + "\nSELECT 'V' AS side, v AS id, string_agg(h || ':' || w, ' ' ORDER BY h) AS members FROM i JOIN hw ON hw.id = i.h GROUP BY v UNION ALL SELECT 'H', h, string_agg(v || ':' || w, ' ' ORDER BY v) FROM i JOIN ho ON ho.id = i.h GROUP BY h")
+h("hyper_sssp", _HW + f""",
+wb AS MATERIALIZED (SELECT v AS src, -1 - h AS dst, w FROM i JOIN hw ON hw.id = i.h UNION ALL SELECT -1 - h, v, w FROM i JOIN ho ON ho.id = i.h),
+f(v, d) USING KEY (v) AS (SELECT 0::BIGINT, 0::BIGINT UNION SELECT x.v, x.d FROM (SELECT wb.dst AS v, min(f.d + wb.w) AS d FROM f JOIN wb ON wb.src = f.v GROUP BY wb.dst) x LEFT JOIN recurring.f r ON r.v = x.v WHERE r.v IS NULL OR x.d < r.d)
+SELECT {_SIDE}, f.d AS dist FROM a LEFT JOIN f ON f.v = a.id""", True)
+SQL["rand_hyper"] = f"SELECT DISTINCT (h % 200::UHUGEINT)::BIGINT AS v, k // 3 AS h FROM {_hashed('SELECT k, k::UHUGEINT AS a FROM range(0, 6000) t(k)', 'k', bits=64)}"
+
+
+def _rmat(n: int, m: int, bits: int, seed: int, a: float, b: float) -> str:
+    """Two mixes give an edge its first number and its step, a third one each level's draw."""
+    mul = hash32_int(seed)
+    two = "((2 * id{0}) * {1}) % 4294967296"
+    first, step = (_hashed(f"SELECT id, ({two.format(x, mul)})::UHUGEINT AS a FROM range(0, {m}) t(id)", "id") for x in ("", " + 1"))
+    draws = _hashed(f"SELECT id, l, (f.h + l::UHUGEINT * g.h) % 4294967296::UHUGEINT AS a FROM f JOIN g USING (id), range(0, {bits}) t(l)", "id, l")
+    r, fa, fb = "(h::DOUBLE / 4294967295)", f"{a!r}::FLOAT::DOUBLE", f"{b!r}::FLOAT::DOUBLE"
+    half = f"CASE WHEN {{}} THEN 1::BIGINT << ({bits - 1} - l)::INT ELSE 0 END"
+    low = half.format(f"{r} >= {fa} + {fb}")
+    high = half.format(f"({r} >= {fa} AND {r} < {fa} + {fb}) OR {r} >= {fa} + {fb} + {fb}")
+    return f"WITH f AS MATERIALIZED {first}, g AS MATERIALIZED {step}, e AS (SELECT id, sum({low})::BIGINT AS src, sum({high})::BIGINT AS dst FROM {draws} GROUP BY id)\nSELECT src, dst, count(*) AS n FROM e GROUP BY ALL"
+
+
+SQL["rmat"] = _rmat(1000, 10_000, 10, 1, 0.5, 0.1)
+# hashed again while an end equals the source; five times in a row doesn't happen among these edges
+_ENDS = _hashed("SELECT k, k::UHUGEINT AS a FROM range(0, 5000) t(k)", "k")
+for _i in range(4):
+    _ENDS = _hashed(f"SELECT k, {''.join(f'h{j}, ' for j in range(_i))}h AS h{_i}, h AS a FROM {_ENDS}", ", ".join(["k", *(f"h{j}" for j in range(_i + 1))]))
+SQL["rand_uniform"] = f"WITH x AS (SELECT k // 10 AS src, [h0, h1, h2, h3, h] AS hs FROM {_ENDS}), e AS (SELECT src, list_filter(list_transform(hs, lambda z: (z % 500::UHUGEINT)::BIGINT), lambda j: j <> src)[1] AS dst FROM x)\nSELECT src, dst, count(*) AS n FROM e GROUP BY ALL"
