@@ -301,3 +301,37 @@ def test_balanced_order_deals_one_by_one(spark):
         want = plain_deal([(own[v], v, deg[v] > len(edges) // n) for v in range(n)], size, parts)
         got = reorder.order_balanced(g, spark.createDataFrame(list(own.items()), "id long, cluster long"), 512, threads)
         assert {r.old_id: r.new_id for r in got.collect()} == want
+
+
+def plain_cover(sets, epsilon=0.01):
+    """Rounds of the highest bucket, a set at a time."""
+    bucket = lambda d: math.floor(math.log(d) / math.log1p(epsilon)) if d else None
+    own, covered, cover = {s: bucket(len(e)) for s, e in sets.items()}, set(), set()
+    while any(b is not None for b in own.values()):
+        top = max(b for b in own.values() if b is not None)
+        active = [s for s, b in own.items() if b == top]
+        left = {s: sets[s] - covered for s in active}
+        own.update({s: bucket(len(left[s])) for s in active})
+        wins = collections.defaultdict(set)
+        for s in sorted(active, reverse=True):
+            if own[s] == top:
+                for x in left[s]:
+                    wins[min(c for c in active if own[c] == top and x in left[c])].add(x)
+        for s, xs in wins.items():
+            if len(xs) >= max(1, math.ceil((1 + epsilon) ** (top - 1) - 1e-9)):
+                cover.add(s)
+                covered |= xs
+                own[s] = None
+    return cover, covered
+
+
+def test_set_cover_takes_the_sets_of_the_plain_version(spark):
+    rng = random.Random(4)
+    for n, m in ((25, 60), (40, 300)):
+        pairs = sorted({(min(int(rng.paretovariate(0.8)), n) - 1, rng.randrange(n)) for _ in range(m)})
+        sets = collections.defaultdict(set)
+        for a, b in pairs:
+            sets[a].add(b)
+        cover, covered = plain_cover(dict(sets))
+        rows = decompose.set_cover(PropertyGraph(spark.range(n), spark.createDataFrame(pairs, "src long, dst long"))).collect()
+        assert {r.id for r in rows if r.in_cover} == cover and {r.id for r in rows if r.covered} == covered == {b for _, b in pairs}

@@ -10,6 +10,7 @@ import __spark_entry__ as entry
 QUICK = [
     "degree_hist", "in_out_degree", "edge_map_data", "edge_map_filter", "prefix_scan", "pack_index", "hash_int32", "order_so", "order_dbg", "order_co", "relabel_weighted", "locality_w5", "modularity",
     "bfs_levels", "components_shortcut", "sssp", "pagerank10", "triangles_per_vertex", "kcore", "mis", "bc", "radii", "hyper_pagerank1", "clique_expand", "nibble_t3", "sweep", "kmeans_step", "el2csr", "codec_bytes", "log_summary",
+    "io_csr_weighted", "io_triple", "io_coded_chunks", "io_hyper_binary_weighted", "io_community", "io_trace", "edge_map_pack", "bucket_rounds", "hyper_sssp", "rmat", "rand_uniform", "rand_hyper", "add_weights",
 ]
 
 
