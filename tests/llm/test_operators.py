@@ -2,6 +2,7 @@
 repeated rows, empty tables and clashing columns."""
 
 import hashlib
+import itertools
 import os
 import random
 import re
@@ -488,6 +489,60 @@ def test_patience_alignment():
     assert len(license_scan.align(a, unique)) == lcs(a, unique) == 28
 
 
+def plain_align(a, b):
+    """Matched places by the definition, or None where two choices of anchors are equally long."""
+    if not a or not b:
+        return []
+    if a[0] == b[0]:
+        rest = plain_align(a[1:], b[1:])
+        return None if rest is None else [(0, 0)] + [(i + 1, j + 1) for i, j in rest]
+    if a[-1] == b[-1]:
+        rest = plain_align(a[:-1], b[:-1])
+        return None if rest is None else rest + [(len(a) - 1, len(b) - 1)]
+    shared = set(a) & set(b)
+    anchors = {w for w in shared if a.count(w) == b.count(w) == 1} or {w for w in shared if b.count(w) == 1} or shared
+    places = sorted((a.index(w), b.index(w)) for w in anchors)
+    if not places:
+        return []
+    for size in range(len(places), 0, -1):
+        rising = [c for c in itertools.combinations(places, size) if all(p[1] < q[1] for p, q in zip(c, c[1:]))]
+        if len(rising) > 1:
+            return None
+        if rising:
+            break
+    out, edges = list(rising[0]), [(-1, -1), *rising[0], (len(a), len(b))]
+    for (p, r), (q, s) in zip(edges, edges[1:]):
+        rest = plain_align(a[p + 1 : q], b[r + 1 : s])
+        if rest is None:
+            return None
+        out += [(i + p + 1, j + r + 1) for i, j in rest]
+    return sorted(out)
+
+
+def test_alignment_equals_the_definition():
+    rng, seen = random.Random(11), 0
+    for _ in range(1500):
+        b = [b"%d" % rng.randrange(14) for _ in range(rng.randrange(12))]
+        a = [w for w in b if rng.random() < 0.8]
+        for _ in range(rng.randrange(4)):
+            a.insert(rng.randrange(len(a) + 1), b"%d" % rng.randrange(14))
+        want = plain_align(a, b)
+        seen += want is not None and len(want) > 1
+        assert want is None or license_scan.align(a, b) == want, (a, b)
+    assert seen > 500
+
+
+def test_licences_of_near_wording():
+    """Of templates that nearly agree the right one is found; ties go to the first place, then by name; repeated copies are all found."""
+    scanner = license_scan.Scanner(license_scan.TEMPLATES)
+    for name in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "BSD-2-Clause", "BSD-3-Clause", "MIT", "BSL-1.0", "Zlib", "CC0-1.0"):
+        text = f"some words before {license_scan.TEMPLATES[name]} and after".encode()
+        assert [m[0] for m in scanner.scan(text)] == [name]
+        assert [m[0] for m in scanner.scan(text + b"\n" + text)] == [name] * 2
+    same = license_scan.Scanner({"b": "one two three four five", "a": "one two three four five"})
+    assert [m[:3] for m in same.scan(b"x one two three four five")] == [("a", 1, 6)]
+
+
 def test_license_scan(spark, none):
     rng = random.Random(2)
     mit, isc = license_scan.TEMPLATES["MIT"], license_scan.TEMPLATES["ISC"]
