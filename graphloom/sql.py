@@ -342,3 +342,25 @@ _ENDS = _hashed("SELECT k, k::UHUGEINT AS a FROM range(0, 5000) t(k)", "k")
 for _i in range(4):
     _ENDS = _hashed(f"SELECT k, {''.join(f'h{j}, ' for j in range(_i))}h AS h{_i}, h AS a FROM {_ENDS}", ", ".join(["k", *(f"h{j}" for j in range(_i + 1))]))
 SQL["rand_uniform"] = f"WITH x AS (SELECT k // 10 AS src, [h0, h1, h2, h3, h] AS hs FROM {_ENDS}), e AS (SELECT src, list_filter(list_transform(hs, lambda z: (z % 500::UHUGEINT)::BIGINT), lambda j: j <> src)[1] AS dst FROM x)\nSELECT src, dst, count(*) AS n FROM e GROUP BY ALL"
+
+# peeling, shortest paths over hyperedges, and pushes, each round a step of the recursion
+h("hyper_kcore", """z(it, k, v, h) AS (SELECT 0, 1::BIGINT, v, h FROM (SELECT v, h FROM i UNION ALL SELECT id, -1 FROM v) UNION ALL (
+  WITH g AS (SELECT v, count(*) FILTER (h >= 0) AS d FROM z GROUP BY v), x AS (SELECT greatest((SELECT max(k) FROM z), (SELECT min(d) FROM g) + 1) AS k),
+  dead AS (SELECT DISTINCT z.h FROM z JOIN g USING (v), x WHERE z.h >= 0 AND g.d < x.k)
+  SELECT z.it + 1, x.k, z.v, z.h FROM z JOIN g USING (v), x WHERE g.d >= x.k AND z.h NOT IN (SELECT h FROM dead))),
+g AS (SELECT it, v, any_value(k) AS k, count(*) FILTER (h >= 0) AS d FROM z GROUP BY it, v), x AS (SELECT it, greatest(any_value(k), min(d) + 1) AS k FROM g GROUP BY it)
+SELECT y.v AS id, (x.k - 1)::BIGINT AS core FROM (SELECT v, max(it) AS it FROM g GROUP BY v) y JOIN x USING (it)""", True)
+h("hyper_bc", """f(v, l) USING KEY (v) AS (SELECT 0::BIGINT, 0 UNION SELECT b.dst, min(f.l + 1) FROM f JOIN b ON b.src = f.v LEFT JOIN recurring.f r ON r.v = b.dst WHERE r.v IS NULL GROUP BY b.dst),
+dag AS MATERIALIZED (SELECT b.src, b.dst FROM b JOIN f x ON x.v = b.src JOIN f y ON y.v = b.dst WHERE y.l = x.l + 1),
+p(v, l, s) AS (SELECT 0::BIGINT, 0, 1.0::DOUBLE UNION ALL SELECT dag.dst, p.l + 1, sum(p.s) FROM p JOIN dag ON dag.src = p.v GROUP BY dag.dst, p.l),
+t(v, l, x) AS (SELECT v, l, 1.0::DOUBLE FROM p WHERE l = (SELECT max(l) - max(l) % 2 FROM p) UNION ALL
+  SELECT p.v, p.l, CASE WHEN p.l % 2 = 1 THEN coalesce(sum(t.x / q.s), 0) ELSE coalesce(sum(t.x), 0) * any_value(p.s) + CASE WHEN p.l = 0 THEN 0 ELSE 1 END END
+  FROM (SELECT DISTINCT l FROM t) c JOIN p ON p.l = c.l - 1 LEFT JOIN (dag JOIN t ON t.v = dag.dst JOIN p q ON q.v = t.v) ON dag.src = p.v GROUP BY p.v, p.l)
+SELECT v.id, round(p.s, 9) AS paths, round(t.x, 9) AS dependency FROM v LEFT JOIN p ON p.v = v.id LEFT JOIN t ON t.v = v.id""", True)
+s("pr_nibble", f"""{HUB},
+p(it, v, m, r) AS (SELECT 0, id, 0.0::DOUBLE, 1.0::DOUBLE FROM s0 UNION ALL (
+  WITH c AS (SELECT p.*, ud.d, p.r > 0.001::DOUBLE * ud.d AS f FROM p JOIN ud ON ud.id = p.v)
+  SELECT it + 1, v, sum(m), sum(r) FROM (
+    SELECT it, v, m + CASE WHEN f THEN 0.15::DOUBLE * r ELSE 0 END AS m, CASE WHEN f THEN 0.425::DOUBLE * r ELSE r END AS r FROM c
+    UNION ALL SELECT c.it, u.dst, 0, 0.425::DOUBLE * c.r / c.d FROM c JOIN u ON u.src = c.v WHERE c.f) WHERE (SELECT bool_or(f) FROM c) GROUP BY it, v))
+SELECT v AS id, round(m, 9) AS mass, round(r, 9) AS residual FROM p WHERE it = (SELECT max(it) FROM p)""", True)
