@@ -52,6 +52,8 @@ def encoding(folder: str = TOKENIZERS, vocabulary: str = VOCABULARY):
 
     with open(os.path.join(folder, vocabulary), "rb") as file:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in file)}
+    if max(ranks.values()) >= END:
+        raise ValueError(f"ids of the vocabulary must lie below {END}, the end of a document")
     return tiktoken.Encoding("flat", pat_str=pattern(folder), mergeable_ranks=ranks, special_tokens={})
 
 

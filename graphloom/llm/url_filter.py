@@ -10,7 +10,7 @@ so those that end before the next key are popped and what is left applies.  Of t
 rules whose path starts the URL's path the longest wins (ties: the longer host).
 
 Defined results: null urls and urls without ``://`` have empty host and path and match no rule;
-repeated urls each get a row; without rules everything gets the default verdict.
+repeated urls each get a row; urls of any length are read whole; without rules everything gets the default verdict.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from graphloom.store import Scratch
 
 #: Keys, about, in the hash sample that places shard borders; it bounds what the driver sees, not what is joined.
 SAMPLE = 20_000
+#: Characters of a sampled key that go to the driver: a prefix of a key is as good a border.
+BORDER = 2_000
 TOP = "\U0010ffff"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -87,7 +89,7 @@ def apply_rules(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
 
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     part = min(1.0, SAMPLE / max(1, urls.count()))
-    sample = sorted(r.key for r in urls.filter(F.hash("h") <= F.lit(min(2**31 - 1, int(-(2**31) + part * 2**32)))).select("key").collect())
+    sample = sorted(r.key for r in urls.filter(F.hash("h") <= F.lit(min(2**31 - 1, int(-(2**31) + part * 2**32)))).select(F.substring("key", 1, BORDER).alias("key")).collect())
     borders = sorted({sample[len(sample) * i // shards] for i in range(1, shards)}) if sample else []
     shared = spark.sparkContext.broadcast(borders)  # at most one key a shard
 

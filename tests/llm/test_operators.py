@@ -181,6 +181,7 @@ def test_url_filter(spark):
     hosts = ["org", "example.org", "a.example.org", "b.a.example.org", "badexample.org", "com", "x.com", "EXAMPLE.org", "example.org:80", ""]
     paths = ["", "/", "/es/", "/es/a", "/en/1", "/en/12/x", "/e", "/fr/", "/de/q"]
     urls = [f"http://{rng.choice(hosts)}{rng.choice(paths)}{rng.choice(['', '?q=/es/', '#top'])}" for _ in range(300)] + [None, "", "no-scheme.org/es/", "http://a.example.org/es/"] * 2
+    urls += ["http://example.org/es/" + "ab" * 100_000] * 3 + ["http://" + "a." * 5_000 + "example.org/x", "http://example.org/e" + "?" * 50_000]
     rules = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"), ("a.example.org", "/e", "block")]
     pages = spark.createDataFrame([(i, u, "h", "r") for i, u in enumerate(urls)], "page_id long, url string, host string, rule string")
     got = url_filter.apply_rules(pages, spark.createDataFrame(rules, "host string, path string, verdict string")).collect()
@@ -565,6 +566,13 @@ def test_license_scan(spark, none):
 needs_tokenizers = pytest.mark.skipif(not os.path.isdir(token_files.TOKENIZERS), reason="no vocabulary files here")
 
 
+@needs_tokenizers
+def test_vocabulary_must_leave_room_for_the_end(monkeypatch):
+    monkeypatch.setattr(token_files, "END", 1000)
+    with pytest.raises(ValueError):
+        token_files.encoding()
+
+
 @needs_tokenizers
 @pytest.mark.parametrize("block", [3, 1000, 1 << 20])
 def test_token_counts(docs, rows, none, block):
