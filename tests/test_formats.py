@@ -187,3 +187,17 @@ def test_binary_writers(spark, g, gw, tmp_path):
             assert sorted(getattr(y, side).select(cols).collect()) == sorted(getattr(x, side).select(cols).collect())
     with pytest.raises(Exception):
         binary.write_triple(PropertyGraph(g.vertices, g.edges.select("src", (F.col("dst") - 100).alias("dst"))), f"{tmp_path}/bad")
+
+
+def test_flat_files_are_never_broadcast(spark, gw, tmp_path):
+    """Spark takes a file's ranges for a handful of rows: a join would send a whole weight array through the driver."""
+    formats.write_csr(gw, f"{tmp_path}/w.csr")
+    binary.write_triple(gw, f"{tmp_path}/w")
+    h = HyperGraph.symmetric(gw.edges.select(F.col("src").alias("v"), F.col("dst").alias("h"), "w"), gw.vertices, gw.vertices)
+    binary.write_hyper_binary(h, f"{tmp_path}/h")
+    binary.write_coded(gw, f"{tmp_path}/c")
+    hyper = formats.read_hyper_binary(spark, f"{tmp_path}/h")
+    read = [formats.read_csr(spark, f"{tmp_path}/w.csr", weighted=True).edges, formats.read_triple(spark, f"{tmp_path}/w", weighted=True).edges, hyper.v2h, hyper.h2v, binary.read_coded(spark, f"{tmp_path}/c").edges]
+    assert all("BroadcastHashJoin" not in x._jdf.queryExecution().executedPlan().toString() for x in read)
+    for x in read[:3]:
+        assert sorted(map(tuple, x.collect())) == sorted(map(tuple, gw.edges.collect()))
