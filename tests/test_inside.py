@@ -113,3 +113,12 @@ def test_sequential_orders_deal_components_over_tasks(spark):
     g = PropertyGraph(spark.range(60), spark.createDataFrame(several(3, m=300), "src long, dst long"))
     assert not hasattr(reorder, "SEQUENTIAL_EDGES")
     assert reorder.order_rcm_gorder(g).distinct().count() == 60
+
+
+def test_covers_and_eccentricities_inside_tasks_equal_the_rounds(spark):
+    from graphloom.operators import decompose, eccentricity
+
+    pairs = several(5, m=260, directed=False)
+    g = PropertyGraph(spark.range(60), spark.createDataFrame(pairs, "src long, dst long"))
+    for f in (decompose.set_cover, eccentricity.ecc_exact, eccentricity.ecc_tk):
+        assert sorted(map(tuple, f(g, inside=0).collect())) == sorted(map(tuple, f(g).collect())) == sorted(map(tuple, f(g, inside=30).collect()))
