@@ -17,8 +17,12 @@ compares its members with one hub only, and links found merge classes into compo
 go on while they merge.  Then shingles that still lie in two or more components are joined, and
 only pairs from different components count.  No link that could join two components is skipped,
 so components are exact, while a tight group of m near copies costs a few times m verifications,
-not m squared.  A pair comes from the first prefix shingle that it shares: a later one skips it
-if the first LEADS shingles of the two documents show an earlier one in common.
+not m squared.
+
+The steps that move most bytes (counts of prefix shingles, joins on them, sets that meet for
+verification) run in up to SLICES parts by a hash of their key, one after the other, and each
+part's shuffle files go before the next one starts.  Keys never meet across parts, so nothing is
+left out.
 
 Defined results: null and empty texts have an empty set, link with nothing and are components
 of their own; rows with a null id link with nothing and get a null component; rows that share an
@@ -27,6 +31,9 @@ id are one document, whose text is the smallest of theirs.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -45,9 +52,10 @@ MAP_BITS_LOG = 27
 #: Rounds of hubs before all remaining pairs of different components are looked at, at most; the last one is the
 #: first whose links are fewer than one in STAR_YIELD of its pairs.
 STAR_ROUNDS, STAR_YIELD = 3, 5
-#: Shared prefix shingles of a document, rarest first, that each of its postings carries.
-LEADS = 8
 HUB_PAIRS = 500
+#: Parts of a step that moves many rows, at most, and the rows that make another part worth its job:
+#: prefix shingles, candidate pairs (each moves a whole set or two).
+SLICES, SLICE_ROWS, SLICE_PAIRS = 4, 500_000, 8_000
 #: Documents in candidate pairs up to which their ids are broadcast to the texts.
 BROADCAST_TARGETS = 200_000
 #: Longs of a set's parity: the number of its shingles, modulo 2, in each of 64 times as many hash places.
@@ -128,7 +136,7 @@ def _prefixes(k: int, percent: int, sketch):
 
 
 def _chosen(bits, size: int):
-    """The prefix shingles that a bit map may hold, with their places."""
+    """The prefix shingles that a bit map may hold, with their places: those of column 4, else the order in column 3."""
 
     def run(batches):
         marks = np.frombuffer(bits.value, np.uint8)
@@ -139,7 +147,7 @@ def _chosen(bits, size: int):
                 at = np.flatnonzero(map_holds(marks, size, head.view(np.uint64)))
                 if len(at):
                     kept.append(row)
-                    places.append(at.astype(np.int32))
+                    places.append(batch.column(4)[row].values.to_numpy()[at] if batch.num_columns > 4 else at.astype(np.int32))
                     tokens.append(head[at])
             rows = [batch.column(c).take(pa.array(kept, pa.int64())) for c in range(3)]
             yield pa.RecordBatch.from_arrays([*rows, pa.array(places, pa.list_(pa.int32())), pa.array(tokens, pa.list_(pa.int64()))], ["rep", "n", "odd", "pos", "tok"])
@@ -232,41 +240,61 @@ class JaccardJoin:
         )
         sketch = self._sketch(measured.filter("chunk is not null").select("chunk", "body"))
         self.scratch.drop("measured")
-        heads = self.docs.mapInArrow(_prefixes(self.words, self.percent, sketch), "doc_id long, n int, odd array<long>, head array<long>")
-        heads = heads.join(self.classes.select(F.col("rep").alias("doc_id"), F.col("n").cast("int").alias("n")), ["doc_id", "n"], "left_semi")
-        heads = put(heads.select("doc_id", "n", "odd", "head"), "heads")
+        copies = self.sets.filter("n > 0 and doc_id is not null").select("doc_id").join(self.classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_anti")
+        copies = put(copies, "copies")
+        free_shuffles(self.spark)
+        own = drop_rows(self.docs, F.col("doc_id"), copies)  # copies go before their prefixes are made: those don't move
+        heads = put(own.mapInArrow(_prefixes(self.words, self.percent, sketch), "doc_id long, n int, odd array<long>, head array<long>"), "heads")
         live = put(self._live(heads), "live")
         self.scratch.drop("heads")
         free_shuffles(self.spark)
         self.labels = self.spark.createDataFrame([], "id long, label long")
         self.tested: list[DataFrame] = []
         for r in range(STAR_ROUNDS):
-            found = put(self._near(self._stars(live, r), f"star{r}"), f"links{r}")
+            found = self._near(self._stars(live, r), f"star{r}")
             links = found.count()
             self.scratch.drop(f"hubs{r}")
-            free_shuffles(self.spark)
             if links:
                 self._join_up(found, f"labels{r}")
             if STAR_YIELD * links < self.scratch.read(f"star{r}", "a long, b long").count():
                 break
-        found = put(self._near(self._across(live), "across"), "links")
-        self.scratch.drop("open")
-        free_shuffles(self.spark)
+        found = self._near(self._across(live), "across")
         if not found.isEmpty():
             self._join_up(found, "labels")
 
+    def _slices(self, count: int, each: int) -> int:
+        return max(1, min(SLICES, -(-count // each)))
+
+    def _parts(self, make: Callable[[int], DataFrame], slices: int, name: str) -> DataFrame:
+        """Writes each slice's table; the shuffle files of one slice at a time are on disk."""
+        tables = []
+        for i in range(slices):
+            tables.append(self.scratch.table(make(i), f"{name}/{i}"))
+            free_shuffles(self.spark)
+        return reduce(DataFrame.unionByName, tables)
+
     def _live(self, heads: DataFrame) -> DataFrame:
         """rep, n, odd and the places and hashes of prefix shingles that other classes may share.
 
         Most prefix shingles are sole; a bit map drops them before rows move.  Those that it lets
         through by mistake meet nothing in the joins.
         """
-        shared = heads.select(F.explode("head").alias("tok")).groupBy("tok").agg(F.count("*").alias("n")).filter("n > 1").select("tok")
-        shared = self.scratch.table(shared, "shared")
-        size = 1 << min(MAP_BITS_LOG, max(16, (64 * shared.count()).bit_length()))
-        bits = self.spark.sparkContext.broadcast(bit_map(shared, size))
-        self.scratch.drop("shared")
-        return heads.mapInArrow(_chosen(bits, size), "rep long, n int, odd array<long>, pos array<int>, tok array<long>")
+        shingles = self.classes.agg(F.sum("n")).first()[0] or 0
+        slices = self._slices(shingles * (100 - self.percent) // 100, SLICE_ROWS)
+
+        def shared(i: int) -> DataFrame:
+            mine = F.filter("head", lambda tok: F.pmod(tok, F.lit(slices)) == i) if slices > 1 else F.col("head")
+            return heads.select(F.explode(mine).alias("tok")).groupBy("tok").agg(F.count("*").alias("n")).filter("n > 1").select("tok")
+
+        return self._holding(heads, self._parts(shared, slices, "shared"), "shared")
+
+    def _holding(self, rows: DataFrame, toks: DataFrame, name: str) -> DataFrame:
+        """``rows`` with those of their shingles that a bit map of ``toks``, the table ``name``, may hold."""
+        size = 1 << min(MAP_BITS_LOG, max(16, (64 * toks.count()).bit_length()))
+        bits = self.spark.sparkContext.broadcast(bit_map(toks, size))
+        self.scratch.drop(name)
+        free_shuffles(self.spark)
+        return rows.mapInArrow(_chosen(bits, size), "rep long, n int, odd array<long>, pos array<int>, tok array<long>")
 
     def _sketch(self, chunks: DataFrame):
         sums = chunks.repartition(SKETCH_CHUNKS, "chunk").mapInArrow(_add_up, "chunk int, body binary")
@@ -275,14 +303,16 @@ class JaccardJoin:
             whole[row.chunk] = np.frombuffer(row.body, np.int32)
         return self.spark.sparkContext.broadcast(whole.tobytes())
 
-    def _posts(self, live: DataFrame) -> DataFrame:
-        """One row a document and prefix shingle, with the component so far."""
+    def _posts(self, live: DataFrame, i: int = 0, slices: int = 1) -> DataFrame:
+        """One row a document and prefix shingle of slice ``i``, with the component so far."""
         known = self.labels.select(F.col("id").alias("rep"), "label")
         small = known.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS  # counted, else a shuffled join
         live = live.join(F.broadcast(known) if small else known, "rep", "left").withColumn("comp", F.coalesce("label", "rep")).drop("label")
-        posts = live.select("rep", "n", "odd", "comp", F.slice("tok", 1, LEADS).alias("lead"), F.posexplode(F.arrays_zip("pos", "tok")).alias("nth", "p"))
-        before = F.slice("lead", 1, F.least("nth", F.lit(LEADS)))
-        return posts.select("rep", "n", "odd", "comp", before.alias("before"), F.col("p.pos").alias("pos"), F.col("p.tok").alias("tok"))
+        places = F.arrays_zip("pos", "tok")
+        if slices > 1:  # before rows are made: no slice makes those of the others
+            places = F.filter(places, lambda p: F.pmod(p.tok, F.lit(slices)) == i)
+        posts = live.select("rep", "n", "odd", "comp", F.explode(places).alias("p"))
+        return posts.select("rep", "n", "odd", "comp", F.col("p.pos").alias("pos"), F.col("p.tok").alias("tok"))
 
     def _stars(self, live: DataFrame, r: int) -> DataFrame:
         """Each member of a shingle and length band against one hub, if it isn't in the hub's component yet.
@@ -305,7 +335,7 @@ class JaccardJoin:
 
     @staticmethod
     def _doc():
-        return F.struct("rep", "n", "pos", "comp", "before", *[F.col("odd")[i].alias(f"odd{i}") for i in range(PARITY_WORDS)])
+        return F.struct("rep", "n", "pos", "comp", *[F.col("odd")[i].alias(f"odd{i}") for i in range(PARITY_WORDS)])
 
     def _alike(self):
         """Length filter, and parities that differ in no more places than similar sets may differ in
@@ -316,22 +346,36 @@ class JaccardJoin:
         return (100 * F.least(x.n, y.n) >= p * F.greatest(x.n, y.n)) & (differ <= most)
 
     def _across(self, live: DataFrame) -> DataFrame:
-        """All pairs of different components that share a shingle and pass the filters."""
-        posts = self._posts(live)
-        split = posts.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("tok")
-        open_ = self.scratch.table(posts.join(split, "tok", "left_semi").select("tok", self._doc().alias("x")), "open")
+        """All pairs of different components that share a shingle and pass the filters.
+
+        A bit map of the shingles that lie in two or more components drops the others before rows
+        move; those that it lets through by mistake meet only their own component.
+        """
+        split = self._posts(live).groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("posts"))
+        split = self.scratch.table(split.filter("lo < hi").select("tok", "posts"), "split")
+        slices = self._slices(split.agg(F.sum("posts")).first()[0] or 0, SLICE_ROWS)
+        open_ = live.select("rep", "n", "odd", "tok", "pos")
+        open_ = self.scratch.table(self._holding(open_, split.select("tok"), "split"), "open")
+
+        def pairs(i: int) -> DataFrame:
+            return self._meet(self._posts(open_, i, slices).select("tok", self._doc().alias("x")))
+
+        found = self._parts(pairs, slices, "met")
+        self.scratch.drop("open")
+        return found.distinct() if slices > 1 else found
+
+    def _meet(self, posts: DataFrame) -> DataFrame:
         x, y, p = F.col("x"), F.col("y"), self.percent
         # the smaller set's index prefix meets the larger one's whole prefix
-        index = open_.filter(x.pos < x.n - F.ceil(F.lit(2 * p) * x.n / F.lit(100 + p)) + 1)
-        pairs = index.join(open_.withColumnRenamed("x", "y"), "tok")
+        index = posts.filter(x.pos < x.n - F.ceil(F.lit(2 * p) * x.n / F.lit(100 + p)) + 1)
+        pairs = index.join(posts.withColumnRenamed("x", "y"), "tok")
         smaller = F.struct(x.n, x.rep) < F.struct(y.n, y.rep)
-        # positional filter: from the first shared shingle on, enough must be left in both
+        # positional filter: from this shared shingle on, enough must be left in both, or an earlier one is shared too
         left = F.least(x.n - x.pos, y.n - y.pos) >= F.ceil(F.lit(p) * (x.n + y.n) / F.lit(100 + p))
-        first = ~F.arrays_overlap(x.before, y.before)
-        return pairs.filter(smaller & (x.comp != y.comp) & left & self._alike() & first).select(x.rep.alias("a"), y.rep.alias("b")).distinct()
+        return pairs.filter(smaller & (x.comp != y.comp) & left & self._alike()).select(x.rep.alias("a"), y.rep.alias("b")).distinct()
 
     def _near(self, pairs: DataFrame, name: str) -> DataFrame:
-        """Those of the candidate pairs that are similar.
+        """Those of the candidate pairs that are similar, as a table.
 
         Pairs of earlier rounds aren't verified again.  Both sets of a pair meet at its first end,
         the hub; a hub with many pairs is copied, one
@@ -344,6 +388,10 @@ class JaccardJoin:
         pairs = self.scratch.table(fresh.select("a", "b"), name)
         free_shuffles(self.spark)
         self.tested.append(pairs.select(*ends))
+        slices = self._slices(pairs.count(), SLICE_PAIRS)
+        return self._parts(lambda i: self._similar(pairs.filter(F.pmod(F.xxhash64("a"), F.lit(slices)) == i), f"{name}-{i}"), slices, f"{name}-links")
+
+    def _similar(self, pairs: DataFrame, name: str) -> DataFrame:
         hubs = self.scratch.table(pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB_PAIRS).cast("int").alias("salts")), f"{name}-hubs")
         member = pairs.join(hubs, "a").select(F.col("b").alias("doc_id"), F.struct(F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt")).alias("t"))
         own = hubs.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))

@@ -130,6 +130,44 @@ def test_jaccard_join_of_a_dense_group(spark):
     assert got == label and 1 < len(set(label.values())) < 150
 
 
+def test_jaccard_join_in_slices(spark, monkeypatch):
+    """Documents that share passages without being similar: many postings, few links, and little disk at a time."""
+    rng = random.Random(5)
+    pool = [" ".join(f"w{rng.randrange(5000)}" for _ in range(40)) for _ in range(120)]
+    rows = [(i, " ".join(rng.sample(pool, 10)), "en", "s") for i in range(400)]
+    rows += [(400 + i, rows[i][1] + f" and{i}", "en", "s") for i in range(0, 60, 3)] + [(500, rows[7][1], "en", "s")]
+    _, label = brute_components(rows, 5, 80)
+    monkeypatch.setattr(ngram_join, "SLICE_ROWS", 2000, raising=False)
+    monkeypatch.setattr(ngram_join, "SLICE_PAIRS", 4, raising=False)
+    block = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    write, sizes = ngram_join.Scratch.table, []
+
+    def shuffle_bytes():
+        files = block.getAllFiles()
+        return sum(f.length() for f in (files.apply(i) for i in range(files.size())) if f.getName().startswith("shuffle_"))
+
+    def table(self, df, name):
+        out = write(self, df, name)
+        sizes.append(shuffle_bytes())
+        return out
+
+    docs = docs_of(spark, rows)
+    docs.count()
+    ngram_join.free_shuffles(spark)
+    time.sleep(2)  # files of earlier tests go
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffle_bytes()
+        monkeypatch.setattr(ngram_join.Scratch, "table", table)
+        got = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(docs, words=5, percent=80).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == label and len(set(label.values())) == 400
+    most = (max(sizes) - before) / sum(len(t) for _, t, *_ in rows)
+    print(f"shuffle files: {most:.2f} x text")
+    assert most < 1.5
+
+
 def test_similar():
     rng = np.random.default_rng(2)
     for _ in range(300):
