@@ -122,3 +122,35 @@ def test_covers_and_eccentricities_inside_tasks_equal_the_rounds(spark):
     g = PropertyGraph(spark.range(60), spark.createDataFrame(pairs, "src long, dst long"))
     for f in (decompose.set_cover, eccentricity.ecc_exact, eccentricity.ecc_tk, eccentricity.ecc_clrstv, eccentricity.ecc_rv):
         assert sorted(map(tuple, f(g, inside=0).collect())) == sorted(map(tuple, f(g, inside=30).collect()))
+
+
+
+def test_shares_of_a_component_and_hubs(spark):
+    """A component's sources are dealt over tasks; a hub has more neighbours than are taken column by column."""
+    from graphloom.operators import eccentricity as e
+
+    ends = [(0, i) for i in range(1, 400)] + [(i, i + 400) for i in range(1, 300)] + [(700, 800), (800, 801)]
+    pairs = sorted({(a, b) for a, b in ends} | {(b, a) for a, b in ends})
+    g = PropertyGraph(spark.range(810), spark.createDataFrame(pairs, "src long, dst long"))
+    near = {v: [] for v in range(810)}
+    for a, b in pairs:
+        near[a].append(b)
+
+    def ecc(v):
+        seen, front, d = {v}, [v], 0
+        while front := [u for u in {u for x in front for u in near[x]} if u not in seen]:
+            seen.update(front)
+            d += 1
+        return d
+
+    want = {v: ecc(v) for v in range(810)}
+    for f in (e.ecc_exact, e.ecc_tk):
+        assert {r.id: r.ecc for r in f(g, work=100_000).collect()} == want
+
+
+def test_stars_keep_components(spark):
+    from graphloom.operators.components import contracted, min_labels
+
+    g = spark.createDataFrame([(i + 1, i) for i in range(500)] + [(600, 601), (602, 602)], "src long, dst long").repartition(7)
+    labels = {r.id: r.label for r in min_labels(contracted(g)).collect()}
+    assert labels == {**{i: 0 for i in range(501)}, 600: 600, 601: 600, 602: 602}
