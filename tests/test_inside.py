@@ -124,6 +124,23 @@ def test_covers_and_eccentricities_inside_tasks_equal_the_rounds(spark):
         assert sorted(map(tuple, f(g, inside=0).collect())) == sorted(map(tuple, f(g, inside=30).collect()))
 
 
+def test_all_estimates_at_once_equal_the_operators(spark):
+    from graphloom.operators import eccentricity as e
+
+    pairs = several(6, n=90, m=300, directed=False)
+    pairs += [(100, 101), (101, 100)] + [(110 + a, 110 + b) for a in range(6) for b in (a - 1, a + 1) if 0 <= b < 6]  # a pair, a path
+    g = PropertyGraph(spark.range(151), spark.createDataFrame(pairs, "src long, dst long"))
+    apart = {
+        "exact": e.ecc_exact(g, inside=0), "kbfs": e.ecc_kbfs(g, least=20), "kbfs1": e.ecc_kbfs(g, phases=1), "fm": e.ecc_fm(g), "loglog": e.ecc_loglog(g),
+        "simple": e.ecc_simple(g), "clrstv": e.ecc_clrstv(g, inside=0), "rv": e.ecc_rv(g, inside=0),
+    }
+    want = {name: {r.id: r.ecc for r in df.collect()} for name, df in apart.items()}
+    for inside in (30, 1000):
+        rows = e.ecc_estimates(g, least=20, inside=inside).collect()
+        assert len(rows) == 151
+        for name in apart:
+            assert {r.id: r[name] for r in rows} == want[name], (name, inside)
+
 
 def test_shares_of_a_component_and_hubs(spark):
     """A component's sources are dealt over tasks; a hub has more neighbours than are taken column by column."""
