@@ -181,3 +181,10 @@ def test_components_of_six_million_arcs_are_covered_inside_tasks(spark, monkeypa
     monkeypatch.setattr(decompose, "_cover_rounds", None)
     assert decompose.INSIDE_ARCS >= 10_000_000
     assert decompose.set_cover(g).filter("in_cover").count()
+
+
+def test_greedy_order_by_scan_and_by_buckets(spark):
+    pairs = several(4, m=500)
+    g = PropertyGraph(spark.range(60), spark.createDataFrame(pairs, "src long, dst long"))
+    for scan in (0, 1000):
+        assert [r.old_id for r in reorder.order_gorder(g, scan=scan).orderBy("new_id").collect()] == plain_gorder(60, pairs)
